@@ -82,21 +82,44 @@ def union_find(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return parent.select("node", F.col("up").alias("component")).union(top.select("node", F.col("node").alias("component")))
 
 
-def open_pairs(placed: DataFrame, least: float) -> DataFrame:
-    """Distinct pairs (a, b) of a bucket that lie in different components and can reach a Jaccard similarity of `least`.
+def open_members(placed: DataFrame, least: float) -> DataFrame:
+    """Rows of a bucket's members that may reach a Jaccard similarity of `least` to one in another component.
 
     placed: bucket, x (member), n (size of its set), component, and lo and hi, bounds of its Jaccard distance to one
-    member of the bucket. Sizes and the triangle inequality exclude pairs; members that are excluded from every
-    other component go before pairs are made.
+    member of the bucket; the triangle inequality excludes members.
     """
     # Per bucket the two components with the least lower bounds: what stands nearest beside a member's own component.
     span = placed.groupBy("bucket", "component").agg(F.min("lo").alias("lo0"))
     first = span.groupBy("bucket").agg(F.min(F.struct("lo0", "component")).alias("first"), F.count("*").alias("c")).where("c > 1")
     second = span.join(first, "bucket").where("component <> first.component").groupBy("bucket").agg(F.first("first").alias("first"), F.min("lo0").alias("second"))
-    reach = 1 - least + 1e-9
     other = F.when(F.col("component") == F.col("first.component"), F.col("second")).otherwise(F.col("first.lo0"))
-    left = placed.join(second, "bucket").where(other - F.col("hi") <= reach)
-    u, v = (left.select("bucket", F.col("x").alias(k), *(F.col(c).alias(c + k) for c in ("n", "component", "lo", "hi"))) for k in "ab")
+    return placed.join(second, "bucket").where(other - F.col("hi") <= 1 - least + 1e-9).select(*placed.columns)
+
+
+def purest_leaders(members: DataFrame, own: DataFrame, least: float) -> DataFrame:
+    """bucket, x, n, leader, ln: every bucket's open members with the one that has least of its own, by share, as leader.
+
+    In a group of copies that were changed each for itself it stands nearest to what they were copied from.
+    """
+    shared = members.join(own, "x", "left").withColumn("m", (F.col("n") - F.coalesce("u", F.lit(0))) / F.col("n")).where(F.col("m") >= least - 1e-9)
+    lead = shared.groupBy("bucket").agg(F.max(F.struct("m", "x", "n")).alias("lead")).select("bucket", F.col("lead.x").alias("leader"), F.col("lead.n").alias("ln"))
+    return shared.select("bucket", "x", "n").join(lead, "bucket")
+
+
+def open_pairs(members: DataFrame, own: DataFrame, bins: DataFrame, least: float) -> DataFrame:
+    """Distinct pairs (a, b) of a bucket that lie in different components and can reach a Jaccard similarity of `least`.
+
+    members: as open_members gives them; own: (x, u), how many elements of x's set no other member has; bins: (x, hist),
+    the set's elements counted by bins of a hash. What two sets have in common is at most what either shares with
+    anyone, and at most the sum over the bins of the smaller count. So a member of which more than 1 - `least` is its
+    own is similar to none, and of the pairs only those go on whose bound reaches `least`.
+    """
+    shared = members.join(bins, "x").join(own, "x", "left").withColumn("m", F.col("n") - F.coalesce("u", F.lit(0))).drop("u")
+    left = open_members(shared.where(F.col("m") >= F.col("n") * least - 1e-9), least)
+    u, v = (left.select("bucket", F.col("x").alias(k), *(F.col(c).alias(c + k) for c in ("n", "m", "component", "lo", "hi", "hist"))) for k in "ab")
+    reach = 1 - least + 1e-9
     apart = (F.col("loa") - F.col("hib") > reach) | (F.col("lob") - F.col("hia") > reach)
-    sizes = F.least("na", "nb") >= F.greatest("na", "nb") * (least - 1e-9)
-    return u.join(v, "bucket").where((F.col("a") < F.col("b")) & (F.col("componenta") != F.col("componentb")) & sizes & ~apart).select("a", "b").distinct()
+    enough = lambda common: common >= (F.col("na") + F.col("nb") - common) * least - 1e-9
+    binned = F.aggregate(F.zip_with("hista", "histb", lambda p, q: F.least(p, q)), F.lit(0), lambda t, k: t + k)
+    similar = enough(F.least("ma", "mb")) & F.coalesce(enough(binned), F.lit(True))
+    return u.join(v, "bucket").where((F.col("a") < F.col("b")) & (F.col("componenta") != F.col("componentb")) & ~apart & similar).select("a", "b").distinct()

@@ -7,11 +7,13 @@ least document of each class carries 200 universal hash minima in 40 bands of
 five: a pair of similarity 0.75 shares no band with a chance of 2e-5.
 
 Within a bucket of documents that share a band nothing is paired up front. Each
-member is compared with the bucket's least member. Only members that are not
-in one component after that are paired, and of these pairs those that sizes or
-the triangle inequality of the Jaccard distance exclude are left out. So a
-large group of near copies costs a comparison per member and band, and no pair
-of a bucket goes unexamined. Pairs whose signatures agree in under half of the
+member is compared with one of them, chosen anew for every bucket, so that a
+group meets many of its members over its bands. Only members that are not
+in one component after that are paired, and of these pairs those are left out
+that cannot be similar: by the triangle inequality of the Jaccard distance, or
+because too many shingles of one are in no other of these documents, or because
+counts of their shingles by bins of a hash differ too much. So no pair
+of a bucket goes unexamined, and a large group of near copies costs few pairs. Pairs whose signatures agree in under half of the
 minima are not similar (the chance of such a miss is below 1e-10); the others
 are confirmed on the full sets of both texts. Alternating large-star and
 small-star give the components.
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import materialise, slices
-from .graph import open_pairs, star_components
+from .graph import open_members, open_pairs, purest_leaders, star_components
 
 WORDS, BANDS, ROWS, SEED = 5, 40, 5, 1
 LEAST_NUMERATOR = 75  # 100 * intersection >= 75 * union
@@ -92,11 +94,11 @@ def band_keys(m: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-SIGNATURES = "doc_id long, n_shingles long, digest binary, agree binary, bands array<long>"
+SIGNATURES = "doc_id long, n_shingles long, digest binary, agree binary, bands array<long>, hist array<int>"
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """Minima (one byte each, for estimates) and band keys of each document, with size and digest of its set."""
+    """Minima (one byte each, for estimates), band keys and 64 bins of each document, with size and digest of its set."""
 
     def run(batches):
         sh = Shingler()
@@ -106,13 +108,13 @@ def signatures(docs: DataFrame) -> DataFrame:
                 for doc, s in zip(part.column("doc_id").to_pylist(), map(sh.shingles, part.column("text").to_pylist())):
                     if len(s):
                         m = minima(s)
-                        rows.append((doc, len(s), xxhash.xxh3_128_digest(s.tobytes()), (m >> np.uint64(24)).astype(np.uint8).tobytes(), band_keys(m)))
+                        rows.append((doc, len(s), xxhash.xxh3_128_digest(s.tobytes()), (m >> np.uint64(24)).astype(np.uint8).tobytes(), band_keys(m), np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=64)))
                     else:
-                        rows.append((doc, 0, None, None, None))
-                doc, n, dig, agree, bands = zip(*rows)
+                        rows.append((doc, 0, None, None, None, None))
+                doc, n, dig, agree, bands, hist = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(dig, pa.binary()), pa.array(agree, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "digest", "agree", "bands"],
+                    [pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(dig, pa.binary()), pa.array(agree, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(hist, pa.list_(pa.int32()))],
+                    names=["doc_id", "n_shingles", "digest", "agree", "bands", "hist"],
                 )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SIGNATURES)
@@ -155,6 +157,21 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, common long, union long")
 
 
+def own_shingles(texts: DataFrame) -> DataFrame:
+    """(x, u): how many shingles of x no other of these documents has."""
+
+    def run(batches):
+        sh = Shingler()
+        for batch in batches:
+            for part in slices(batch, 64):
+                sets = [sh.shingles(t).view(np.int64) for t in part.column("text").to_pylist()]
+                doc = np.repeat(part.column("doc_id").to_numpy(), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(np.concatenate(sets))], names=["x", "h"])
+
+    each = texts.mapInArrow(run, "x long, h long").groupBy("h").agg(F.min("x").alias("x"), F.count("*").alias("c"))
+    return each.where("c = 1").groupBy("x").agg(F.count("*").alias("u"))
+
+
 def components(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     every = materialise(signatures(docs), "signatures")
@@ -165,7 +182,7 @@ def components(docs: DataFrame) -> DataFrame:
     # A document with several rows may stand for several sets: signs has a row for each.
     signs = every.join(reps, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
     member = materialise(signs.select(F.col("doc_id").alias("x"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")), "bands")
-    shared = member.groupBy("bucket").agg(F.min(F.struct("x", "n")).alias("lead"), F.count("*").alias("c")).where("c > 1").select("bucket", F.col("lead.x").alias("leader"), F.col("lead.n").alias("ln"))
+    shared = member.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "x").alias("o"), "x", "n")).alias("lead"), F.count("*").alias("c")).where("c > 1").select("bucket", F.col("lead.x").alias("leader"), F.col("lead.n").alias("ln"))
     inside = materialise(member.join(shared, "bucket"), "inside")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
 
@@ -178,28 +195,43 @@ def components(docs: DataFrame) -> DataFrame:
 
     is_link = f"100 * common >= {LEAST_NUMERATOR} * union"
     size_fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * LEAST_NUMERATOR
-    stars = inside.where((F.col("x") != F.col("leader")) & size_fits("n", "ln")).select(F.col("leader").alias("a"), F.col("x").alias("b")).distinct()
-    guess, seen = examine(stars, "stars")
-    links = seen.where(is_link).select("a", "b")
-    comp = materialise(star_components(links.union(_rows_of_one(sets, classes))), "components-1")
-
+    def links_of(seen: DataFrame) -> DataFrame:
+        return seen.where(is_link).select("a", "b")
+
+    def stars(inside: DataFrame) -> DataFrame:
+        return inside.where((F.col("x") != F.col("leader")) & size_fits("n", "ln")).select(F.least("leader", "x").alias("a"), F.greatest("leader", "x").alias("b")).distinct()
+
+    def placed(inside: DataFrame, comp: DataFrame, guess: DataFrame, seen: DataFrame) -> DataFrame:
+        """Members with their components and bounds of the Jaccard distance to the bucket's leader."""
+        exact = seen.groupBy("a", "b").agg(F.min(1 - F.col("common") / F.col("union")).alias("d"))
+        known = guess.join(exact, ["a", "b"], "left").select(F.col("a").alias("leader"), F.col("b").alias("x"), "d", (1 - F.col("share")).alias("g"))
+        known = known.union(known.select("x", "leader", "d", "g"))
+        own, by_size = F.col("x") == F.col("leader"), 1 - F.least("n", "ln") / F.greatest("n", "ln")
+        return (
+            inside.join(comp.select(F.col("node").alias("x"), "component"), "x", "left")
+            .withColumn("component", F.coalesce("component", "x"))
+            .join(known, ["leader", "x"], "left")
+            .withColumn("lo", F.when(own, 0.0).otherwise(F.coalesce("d", F.greatest(by_size, F.col("g") - MARGIN))))
+            .withColumn("hi", F.when(own, 0.0).otherwise(F.coalesce("d", F.least(F.lit(1.0), F.col("g") + MARGIN), F.lit(1.0))))
+            .select("bucket", "x", "n", "component", "lo", "hi")
+        )
+
+    def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+        return materialise(star_components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)), "components")
+
+    least = LEAST_NUMERATOR / 100
+    guess, seen = examine(stars(inside), "stars")
+    comp = materialise(star_components(links_of(seen).union(_rows_of_one(sets, classes))), "components")
     # What the stars leave open: buckets whose members lie in more than one component.
-    exact = seen.groupBy(F.col("a").alias("leader"), F.col("b").alias("x")).agg(F.min(1 - F.col("common") / F.col("union")).alias("d"))
-    about = guess.select(F.col("a").alias("leader"), F.col("b").alias("x"), (1 - F.col("share")).alias("g"))
-    own = F.col("x") == F.col("leader")
-    by_size = 1 - F.least("n", "ln") / F.greatest("n", "ln")
-    placed = (
-        inside.join(comp.select(F.col("node").alias("x"), "component"), "x", "left")
-        .withColumn("component", F.coalesce("component", "x"))
-        .join(exact, ["leader", "x"], "left")
-        .join(about, ["leader", "x"], "left")
-        # Bounds of the Jaccard distance to the bucket's leader.
-        .withColumn("lo", F.when(own, 0.0).otherwise(F.coalesce("d", F.greatest(by_size, F.col("g") - MARGIN))))
-        .withColumn("hi", F.when(own, 0.0).otherwise(F.coalesce("d", F.least(F.lit(1.0), F.col("g") + MARGIN), F.lit(1.0))))
-    )
-    placed = materialise(placed.select("bucket", "x", "n", "component", "lo", "hi"), "placed")
-    _, late = examine(open_pairs(placed, LEAST_NUMERATOR / 100).join(guess, ["a", "b"], "left_anti"), "rest")
-    final = star_components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late.where(is_link).select("a", "b")))
+    members = materialise(open_members(placed(inside, comp, guess, seen), least), "members")
+    alone = materialise(own_shingles(texts.join(members.select(F.col("x").alias("doc_id")).distinct(), "doc_id", "left_semi")), "alone")
+    again = materialise(purest_leaders(members, alone, least), "again")
+    guess2, seen2 = examine(stars(again).join(guess, ["a", "b"], "left_anti"), "again")
+    guess, seen, comp = guess.union(guess2), seen.union(seen2), joined(comp, links_of(seen2))
+    members = materialise(open_members(placed(again, comp, guess, seen), least), "members")
+    bins = signs.groupBy(F.col("doc_id").alias("x")).agg(F.first("hist").alias("hist"), F.count("*").alias("c")).select("x", F.when(F.col("c") == 1, F.col("hist")).alias("hist"))
+    _, late = examine(open_pairs(members, alone, bins, least).join(guess, ["a", "b"], "left_anti"), "rest")
+    final = joined(comp, links_of(late))
 
     out = sets.join(classes.select("digest", "rep"), "digest", "left").join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
