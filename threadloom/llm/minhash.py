@@ -37,6 +37,8 @@ WORDS, BANDS, ROWS, SEED = 5, 40, 5, 1
 LEAST_NUMERATOR = 75  # 100 * intersection >= 75 * union
 LEAST_AGREEING, MARGIN = 0.5, 0.2  # the margin is over five standard deviations of an estimate
 CACHE_WORDS = 500_000
+#: Most document ids that are broadcast (8 bytes each); beyond it they are joined by a shuffle.
+BROADCAST_IDS = 500_000
 _RNG = np.random.default_rng(SEED)
 #: Odd multipliers and offsets: of the words of a shingle, and of the universal hashes.
 MIX = _RNG.integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -120,41 +122,34 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SIGNATURES)
 
 
-def estimates(pairs: DataFrame, signs: DataFrame) -> DataFrame:
-    """Pairs (a, b) with the share of minima that agree, corrected for minima that agree by chance in their one byte."""
-    s = signs.select("doc_id", "agree")
-    both = pairs.join(s.withColumnsRenamed({"doc_id": "a", "agree": "sa"}), "a").join(s.withColumnsRenamed({"doc_id": "b", "agree": "sb"}), "b")
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
-                share = ((x == y).mean(axis=1) * 256 - 1) / 255
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(share)], names=["a", "b", "share"])
-
-    return both.mapInArrow(run, "a long, b long, share double")
-
-
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) with the sizes of their sets' intersection and union."""
-    t = texts.select("doc_id", "text")
-    both = pairs.join(t.withColumnsRenamed({"doc_id": "a", "text": "ta"}), "a").join(t.withColumnsRenamed({"doc_id": "b", "text": "tb"}), "b")
+    """Pairs (a, b) with the share of minima that agree and, unless it is too small, the sizes of the sets' intersection and union.
+
+    texts: doc_id, text, agree. The share is corrected for minima that agree by chance in their one byte.
+    """
+    sides = [texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"t{k}"), F.col("agree").alias(f"s{k}")) for k in "ab"]
+    both = pairs.join(sides[0], "a").join(sides[1], "b")
 
     def run(batches):
         sh = Shingler()
         last: tuple = (None, None)
         for batch in batches:
             for part in slices(batch):
-                common, union = [], []
-                for a, ta, tb in zip(*(part.column(c).to_pylist() for c in ("a", "ta", "tb"))):
-                    if last[0] != a:
-                        last = (a, sh.shingles(ta))
-                    y = sh.shingles(tb)
-                    common.append(len(np.intersect1d(last[1], y, assume_unique=True)))
-                    union.append(len(last[1]) + len(y) - common[-1])
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(common, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "common", "union"])
-
-    return both.mapInArrow(run, "a long, b long, common long, union long")
+                out = []
+                for ta, tb, x, y in zip(*(part.column(c).to_pylist() for c in ("ta", "tb", "sa", "sb"))):
+                    share = (float((np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).mean()) * 256 - 1) / 255
+                    if share < LEAST_AGREEING:
+                        out.append((share, None, None))
+                        continue
+                    if last[0] != ta:
+                        last = (ta, sh.shingles(ta))
+                    other = sh.shingles(tb)
+                    common = len(np.intersect1d(last[1], other, assume_unique=True))
+                    out.append((share, common, len(last[1]) + len(other) - common))
+                share, common, union = zip(*out)
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(share), pa.array(common, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "share", "common", "union"])
+
+    return both.mapInArrow(run, "a long, b long, share double, common long, union long")
 
 
 def own_shingles(texts: DataFrame) -> DataFrame:
@@ -186,12 +181,13 @@ def components(docs: DataFrame) -> DataFrame:
     inside = materialise(member.join(shared, "bucket"), "inside")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
 
-    def examine(pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        """Estimates of all pairs; common and union counts of those whose signatures allow the similarity."""
-        guess = materialise(estimates(pairs, signs).groupBy("a", "b").agg(F.max("share").alias("share")), f"{name}-estimates")
-        near = guess.where(F.col("share") >= LEAST_AGREEING).select("a", "b")
-        ends = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
-        return guess, materialise(verify(near, texts.join(ends, "doc_id", "left_semi").distinct()), f"{name}-verified")
+    # Texts that any comparison needs, once: those of documents that share a bucket.
+    ids = materialise(inside.select(F.col("x").alias("doc_id")).distinct(), "wanted-ids")
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = materialise(texts.join(few, "doc_id", "left_semi").distinct().join(signs.join(few, "doc_id", "left_semi").select("doc_id", "agree"), "doc_id"), "wanted")
+
+    def examine(pairs: DataFrame, name: str) -> DataFrame:
+        return materialise(verify(pairs, texts), name)
 
     is_link = f"100 * common >= {LEAST_NUMERATOR} * union"
     size_fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * LEAST_NUMERATOR
@@ -201,10 +197,10 @@ def components(docs: DataFrame) -> DataFrame:
     def stars(inside: DataFrame) -> DataFrame:
         return inside.where((F.col("x") != F.col("leader")) & size_fits("n", "ln")).select(F.least("leader", "x").alias("a"), F.greatest("leader", "x").alias("b")).distinct()
 
-    def placed(inside: DataFrame, comp: DataFrame, guess: DataFrame, seen: DataFrame) -> DataFrame:
+    def placed(inside: DataFrame, comp: DataFrame, seen: DataFrame) -> DataFrame:
         """Members with their components and bounds of the Jaccard distance to the bucket's leader."""
-        exact = seen.groupBy("a", "b").agg(F.min(1 - F.col("common") / F.col("union")).alias("d"))
-        known = guess.join(exact, ["a", "b"], "left").select(F.col("a").alias("leader"), F.col("b").alias("x"), "d", (1 - F.col("share")).alias("g"))
+        exact = F.min(1 - F.col("common") / F.col("union")).alias("d")
+        known = seen.groupBy(F.col("a").alias("leader"), F.col("b").alias("x")).agg(exact, F.min(1 - F.col("share")).alias("g"))
         known = known.union(known.select("x", "leader", "d", "g"))
         own, by_size = F.col("x") == F.col("leader"), 1 - F.least("n", "ln") / F.greatest("n", "ln")
         return (
@@ -220,17 +216,17 @@ def components(docs: DataFrame) -> DataFrame:
         return materialise(star_components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)), "components")
 
     least = LEAST_NUMERATOR / 100
-    guess, seen = examine(stars(inside), "stars")
+    seen = examine(stars(inside), "stars")
     comp = materialise(star_components(links_of(seen).union(_rows_of_one(sets, classes))), "components")
     # What the stars leave open: buckets whose members lie in more than one component.
-    members = materialise(open_members(placed(inside, comp, guess, seen), least), "members")
+    members = materialise(open_members(placed(inside, comp, seen), least), "members")
     alone = materialise(own_shingles(texts.join(members.select(F.col("x").alias("doc_id")).distinct(), "doc_id", "left_semi")), "alone")
     again = materialise(purest_leaders(members, alone, least), "again")
-    guess2, seen2 = examine(stars(again).join(guess, ["a", "b"], "left_anti"), "again")
-    guess, seen, comp = guess.union(guess2), seen.union(seen2), joined(comp, links_of(seen2))
-    members = materialise(open_members(placed(again, comp, guess, seen), least), "members")
+    seen2 = examine(stars(again).join(seen, ["a", "b"], "left_anti"), "again-verified")
+    seen, comp = seen.union(seen2), joined(comp, links_of(seen2))
+    members = materialise(open_members(placed(again, comp, seen), least), "members")
     bins = signs.groupBy(F.col("doc_id").alias("x")).agg(F.first("hist").alias("hist"), F.count("*").alias("c")).select("x", F.when(F.col("c") == 1, F.col("hist")).alias("hist"))
-    _, late = examine(open_pairs(members, alone, bins, least).join(guess, ["a", "b"], "left_anti"), "rest")
+    late = examine(open_pairs(members, alone, bins, least).join(seen, ["a", "b"], "left_anti"), "rest")
     final = joined(comp, links_of(late))
 
     out = sets.join(classes.select("digest", "rep"), "digest", "left").join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
