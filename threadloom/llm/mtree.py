@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import materialise
 from .vectors import matrix, usable
 
-PAGE, FANOUT, QUERY_ROWS = 64, 16, 4096
+PAGE, FANOUT, QUERY_ROWS = 256, 16, 4096
 MARGIN = 1e-6
 
 
@@ -79,9 +79,11 @@ def search(root: Node, q: np.ndarray, q_lift: float, reach2: float, own: int, k:
             break
         if node.children is None:
             near = np.abs(d - node.child_to_parent) <= limit
-            scores = node.points[near] @ q
-            for s, i in zip(scores.tolist(), node.ids[near].tolist()):
-                if i != own and s >= least and (len(found) < k or (s, -i) > found[0]):
+            points, ids = (node.points, node.ids) if near.all() else (node.points[near], node.ids[near])
+            scores = points @ q
+            hits = np.flatnonzero(scores >= (max(least, found[0][0]) if len(found) == k else least))
+            for s, i in zip(scores[hits].tolist(), ids[hits].tolist()):
+                if i != own and (len(found) < k or (s, -i) > found[0]):
                     (heapq.heapreplace if len(found) == k else heapq.heappush)(found, (s, -i))
             continue
         near = np.flatnonzero(np.abs(d - node.child_to_parent) - node.child_radii <= limit)
