@@ -1,6 +1,6 @@
 """Language identification by averaged hashed subword embeddings and a linear softmax.
 
-A text's features are its words and their character n-grams of 2 to 4 letters,
+A text's features are its words and their character n-grams of 3 letters,
 hashed into buckets with one embedding each; the mean embedding goes through a
 linear softmax. Both are trained by stochastic gradient descent in numpy, on at
 most `sample` labelled documents of at most `train_chars` characters each,
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .common import slices
 
 UNDETERMINED = "und"
-CACHE_WORDS = 200_000
+CACHE_WORDS = 500_000
 
 
 @dataclass
@@ -37,7 +37,7 @@ class LanguageModel:
     threshold: float = 0.0
 
     def grams(self, word: str) -> np.ndarray:
-        """Buckets of a word: the word and its character n-grams; none if it has no letter."""
+        """Buckets of a word: the word and its character trigrams; none if it has no letter."""
         return grams(word, len(self.weights))
 
 
@@ -46,7 +46,7 @@ def grams(word: str, buckets: int) -> np.ndarray:
     if not any(map(str.isalpha, w)):
         return np.empty(0, np.int64)
     w = f"<{w}>"
-    pieces = [w] + [w[i : i + n] for n in (2, 3, 4) for i in range(len(w) - n + 1)]
+    pieces = [w] + [w[i : i + 3] for i in range(len(w) - 2)]
     return np.array([zlib.crc32(p.encode("utf-8", "surrogatepass")) % buckets for p in pieces], np.int64)
 
 
@@ -100,13 +100,10 @@ def train(texts: list[str], langs: list[str], buckets: int = 1 << 16, dim: int =
 
 def fit(docs: DataFrame, sample: int = 3000, train_chars: int = 50_000, seed: int = 0, **options) -> LanguageModel:
     """Learn from (doc_id, text, lang) rows with both; the sample is bounded by `sample` rows of `train_chars` characters."""
-    rows = (
-        docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= train_chars))
-        .select("text", "lang", F.xxhash64(F.lit(seed), F.col("doc_id")).alias("h"), "doc_id")
-        .orderBy("h", "doc_id", "text", "lang")
-        .limit(sample)
-        .collect()
-    )
+    known = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= train_chars))
+    h = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    chosen = known.select("doc_id", h.alias("h")).distinct().orderBy("h", "doc_id").limit(sample)  # ids first: texts come for these only
+    rows = known.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").orderBy("h", "doc_id", "text", "lang").limit(sample).collect()
     return train([r.text for r in rows], [r.lang for r in rows], seed=seed, **options)
 
 
@@ -124,8 +121,6 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFram
 
         def add(words):
             nonlocal rows
-            if len(ids) > CACHE_WORDS:
-                ids.clear()
             for w in words:
                 if w not in ids:
                     if len(ids) == len(rows):
@@ -136,19 +131,22 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFram
 
         for batch in batches:
             for part in slices(batch):
-                sums = np.zeros((part.num_rows, k + 1))
+                sums, flat, owners = np.zeros((part.num_rows, k + 1)), [], []
+                if len(ids) > CACHE_WORDS:
+                    ids.clear()
                 for i, t in enumerate(part.column(text).to_pylist()):
-                    if t:
-                        words = t.split()
+                    words = t.split() if t else ()
+                    if words:
                         try:
                             at = [ids[w] for w in words]
                         except KeyError:
                             add(words)
                             at = [ids[w] for w in words]
-                        if at:
-                            n = np.bincount(at, minlength=1)
-                            used = np.flatnonzero(n)
-                            sums[i] = n[used] @ rows[used]
+                        flat.append(np.array(at, np.int32))
+                        owners.append(i)
+                if flat:
+                    starts = np.cumsum([0, *map(len, flat)])[:-1]
+                    sums[owners] = np.add.reduceat(rows[np.concatenate(flat)], starts, axis=0)
                 known = sums[:, -1] > 0
                 p = softmax((sums[:, :-1] / np.maximum(sums[:, -1:], 1) + m.bias[:k]) / m.temperature) if k else np.zeros((part.num_rows, 1))
                 score = np.where(known, p.max(axis=1), 0.0)
