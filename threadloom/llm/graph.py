@@ -106,20 +106,23 @@ def purest_leaders(members: DataFrame, own: DataFrame, least: float) -> DataFram
     return shared.select("bucket", "x", "n").join(lead, "bucket")
 
 
-def open_pairs(members: DataFrame, own: DataFrame, bins: DataFrame, least: float) -> DataFrame:
+def open_pairs(members: DataFrame, own: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
     """Distinct pairs (a, b) of a bucket that lie in different components and can reach a Jaccard similarity of `least`.
 
-    members: as open_members gives them; own: (x, u), how many elements of x's set no other member has; bins: (x, hist),
-    the set's elements counted by bins of a hash. What two sets have in common is at most what either shares with
-    anyone, and at most the sum over the bins of the smaller count. So a member of which more than 1 - `least` is its
-    own is similar to none, and of the pairs only those go on whose bound reaches `least`.
+    members: as open_members gives them; own: (x, u), how many elements of x's set no other member has; sketches:
+    (x, sketch), longs whose bits are flipped by each element whose hash names them. What two sets have in
+    common is at most what either shares with anyone, and common elements cancel in the exclusive or of two sketches:
+    it has at most as many bits as the sets differ in elements, and nearly as many while these are few beside the bits.
+    So a member of which more than 1 - `least` is its own is similar to none, and of the pairs only those go on whose
+    bounds reach `least`. A null sketch excludes nothing.
     """
-    shared = members.join(bins, "x").join(own, "x", "left").withColumn("m", F.col("n") - F.coalesce("u", F.lit(0))).drop("u")
-    left = open_members(shared.where(F.col("m") >= F.col("n") * least - 1e-9), least)
-    u, v = (left.select("bucket", F.col("x").alias(k), *(F.col(c).alias(c + k) for c in ("n", "m", "component", "lo", "hi", "hist"))) for k in "ab")
+    shared = members.join(own, "x", "left").withColumn("m", F.col("n") - F.coalesce("u", F.lit(0))).drop("u")
+    left = open_members(shared.where(F.col("m") >= F.col("n") * least - 1e-9), least).join(sketches, "x", "left")
+    u, v = (left.select("bucket", F.col("x").alias(k), *(F.col(c).alias(c + k) for c in ("n", "m", "component", "lo", "hi", "sketch"))) for k in "ab")
     reach = 1 - least + 1e-9
     apart = (F.col("loa") - F.col("hib") > reach) | (F.col("lob") - F.col("hia") > reach)
-    enough = lambda common: common >= (F.col("na") + F.col("nb") - common) * least - 1e-9
-    binned = F.aggregate(F.zip_with("hista", "histb", lambda p, q: F.least(p, q)), F.lit(0), lambda t, k: t + k)
-    similar = enough(F.least("ma", "mb")) & F.coalesce(enough(binned), F.lit(True))
-    return u.join(v, "bucket").where((F.col("a") < F.col("b")) & (F.col("componenta") != F.col("componentb")) & ~apart & similar).select("a", "b").distinct()
+    common = F.least("ma", "mb")
+    enough = common >= (F.col("na") + F.col("nb") - common) * least - 1e-9
+    differ = F.aggregate(F.zip_with("sketcha", "sketchb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, k: t + k)
+    near = F.coalesce(differ <= (F.col("na") + F.col("nb")) * ((1 - least) / (1 + least)) + 1e-9, F.lit(True))
+    return u.join(v, "bucket").where((F.col("a") < F.col("b")) & (F.col("componenta") != F.col("componentb")) & ~apart & enough & near).select("a", "b").distinct()

@@ -37,6 +37,8 @@ WORDS, BANDS, ROWS, SEED = 5, 40, 5, 1
 LEAST_NUMERATOR = 75  # 100 * intersection >= 75 * union
 LEAST_AGREEING, MARGIN = 0.5, 0.2  # the margin is over five standard deviations of an estimate
 CACHE_WORDS = 500_000
+#: Longs of a sketch: 2048 bits, each flipped by the shingles whose hash names it.
+SKETCH = 32
 #: Most document ids that are broadcast (8 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_IDS = 500_000
 _RNG = np.random.default_rng(SEED)
@@ -96,11 +98,17 @@ def band_keys(m: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-SIGNATURES = "doc_id long, n_shingles long, digest binary, agree binary, bands array<long>, hist array<int>"
+def sketch(h: np.ndarray) -> np.ndarray:
+    """The parity of the number of hashes at each of the bits."""
+    odd = np.bincount((h >> np.uint64(53)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+SIGNATURES = "doc_id long, n_shingles long, digest binary, agree binary, bands array<long>, sketch array<long>"
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """Minima (one byte each, for estimates), band keys and 64 bins of each document, with size and digest of its set."""
+    """Minima (one byte each, for estimates), band keys and a sketch of each document, with size and digest of its set."""
 
     def run(batches):
         sh = Shingler()
@@ -110,13 +118,13 @@ def signatures(docs: DataFrame) -> DataFrame:
                 for doc, s in zip(part.column("doc_id").to_pylist(), map(sh.shingles, part.column("text").to_pylist())):
                     if len(s):
                         m = minima(s)
-                        rows.append((doc, len(s), xxhash.xxh3_128_digest(s.tobytes()), (m >> np.uint64(24)).astype(np.uint8).tobytes(), band_keys(m), np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=64)))
+                        rows.append((doc, len(s), xxhash.xxh3_128_digest(s.tobytes()), (m >> np.uint64(24)).astype(np.uint8).tobytes(), band_keys(m), sketch(s)))
                     else:
                         rows.append((doc, 0, None, None, None, None))
-                doc, n, dig, agree, bands, hist = zip(*rows)
+                doc, n, dig, agree, bands, bits = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(dig, pa.binary()), pa.array(agree, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(hist, pa.list_(pa.int32()))],
-                    names=["doc_id", "n_shingles", "digest", "agree", "bands", "hist"],
+                    [pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(dig, pa.binary()), pa.array(agree, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+                    names=["doc_id", "n_shingles", "digest", "agree", "bands", "sketch"],
                 )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SIGNATURES)
@@ -225,8 +233,8 @@ def components(docs: DataFrame) -> DataFrame:
     seen2 = examine(stars(again).join(seen, ["a", "b"], "left_anti"), "again-verified")
     seen, comp = seen.union(seen2), joined(comp, links_of(seen2))
     members = materialise(open_members(placed(again, comp, seen), least), "members")
-    bins = signs.groupBy(F.col("doc_id").alias("x")).agg(F.first("hist").alias("hist"), F.count("*").alias("c")).select("x", F.when(F.col("c") == 1, F.col("hist")).alias("hist"))
-    late = examine(open_pairs(members, alone, bins, least).join(seen, ["a", "b"], "left_anti"), "rest")
+    bits = signs.groupBy(F.col("doc_id").alias("x")).agg(F.first("sketch").alias("sketch"), F.count("*").alias("c")).select("x", F.when(F.col("c") == 1, F.col("sketch")).alias("sketch"))
+    late = examine(open_pairs(members, alone, bits, least).join(seen, ["a", "b"], "left_anti"), "rest")
     final = joined(comp, links_of(late))
 
     out = sets.join(classes.select("digest", "rep"), "digest", "left").join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
