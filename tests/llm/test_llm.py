@@ -162,6 +162,16 @@ def test_line_dedup(spark):
     assert lines.dedup(docs(spark, [])).count() == 0
 
 
+def test_lines_are_compared_in_every_character(spark):
+    a, b = "https://www.example.com/alpha/one.html", "https://www.example.org/zzz"
+    han = "".join(chr(0x4E00 + 7 * k) for k in range(60))
+    words = "the committee will publish its annual findings before winter and every member receives one printed copy by ordinary mail"
+    near = words.replace("every", "each")
+    texts = [a, b, han, han[:20] + han[40:][::-1], words, near, "abc", "abd"]
+    got = [r.text for r in lines.dedup(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [a, b, *texts[2:5], "", "abc", "abd"]
+
+
 def embeddings(spark, x):
     return spark.createDataFrame([(k, v) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
 

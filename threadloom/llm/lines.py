@@ -1,11 +1,12 @@
 """Fuzzy line deduplication, in DataFrame operations only.
 
 A line is compared in lower case without outer white space. Its shingles are
-the runs of up to 16 characters that begin where a word begins. Their hashes,
-sorted, give a one-permutation MinHash signature: the least hash of each of 64
-equal ranges, an empty range taking the next one's. Sixteen bands of three
-ranges each, drawn at random, let two long lines of Jaccard similarity 0.75
-miss each other with a chance of 2e-4; short lines have bands of two. Within a bucket every line is compared with one of them, and only lines
+all runs of five characters, at every position; a shorter line is its own
+shingle. Their hashes, sorted, give a one-permutation MinHash signature: the
+least hash of each of 64 equal ranges, an empty range taking the next one's.
+Forty bands of six ranges each, drawn at random, let two long lines of Jaccard
+similarity 0.75 miss each other with a chance of 4e-4; shorter lines have bands
+of three or two. Within a bucket every line is compared with one of them, and only lines
 that are then in different components, and that sizes, the triangle inequality
 their own shingles and sketches of their sets do not exclude, are compared with
 each other, always on the whole sets. Union-find gives the components; the occurrence that comes first by
@@ -20,27 +21,32 @@ and shingles are told apart by 64-bit hashes.
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import discard, materialise
 from .graph import open_members, open_pairs, purest_leaders, union_find
 
-SHINGLE = r"(?=(\S.{0,15}))\S+"
+WIDTH = 5
+SHINGLE = rf"(?s)(?=(.{{{WIDTH}}}))."
 LEAST = 0.75
-#: Lines of up to SHORT shingles band by pairs of ranges, those from SHORT * LEAST on by triples: similar lines have one kind in common.
-SHORT = 32
+#: Lines of up to SHORT shingles band by pairs of ranges, those from FEW to LONG by triples, those from LONG * LEAST on by sixes: similar lines have one kind in common.
+FEW, SHORT, LONG = 6, 16, 128
 #: Longs of a sketch: 512 bits, each flipped by the shingles whose hash names it.
 SKETCH = 8
 _RNG = random.Random(7)
-PAIRS, TRIPLES = [_RNG.sample(range(64), 2) for _ in range(14)], [_RNG.sample(range(64), 3) for _ in range(16)]
+PAIRS, TRIPLES, SIXES = ([_RNG.sample(range(64), k) for _ in range(n)] for k, n in ((2, 14), (3, 24), (6, 40)))
+#: Shares in which the buckets are looked through.
+PASSES = 4
 #: Most lines whose hashes are broadcast (8 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_LINES = 500_000
 
 
 def shingles(line: Column) -> Column:
     """Distinct 64-bit hashes of a line's shingles."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(SHINGLE), 1), lambda x: F.xxhash64(x)))
+    runs = F.when(F.length(line) < WIDTH, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(SHINGLE), 1))
+    return F.array_distinct(F.transform(runs, lambda x: F.xxhash64(x)))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -59,15 +65,15 @@ def with_bands(occ: DataFrame) -> DataFrame:
     dense = occ.withColumn("s", hashes).withColumn("least", F.concat(F.flatten(fill), tail))
     key = lambda probes: F.array(*(F.xxhash64(F.lit(f"{len(p)}/{k}"), *(F.get("least", F.lit(j)) for j in p)) for k, p in enumerate(probes)))
     n, none = F.size("s"), F.array().cast("array<bigint>")
-    keys = F.concat(F.when(n <= SHORT, key(PAIRS)).otherwise(none), F.when(n >= SHORT * LEAST, key(TRIPLES)).otherwise(none))
+    keys = F.concat(*(F.when(n.between(*span), key(probes)).otherwise(none) for span, probes in (((0, SHORT), PAIRS), ((FEW, LONG), TRIPLES), ((int(LONG * LEAST), 1 << 30), SIXES))))
     return dense.select("doc_id", "pos", "h", n.alias("n"), keys.alias("bands"))
 
 
 def line_sets(ends: DataFrame, docs: DataFrame) -> DataFrame:
-    """Shingle sets (h, s) of the lines whose hashes are in `ends` (h, distinct)."""
+    """Compared forms (h, line) of the lines whose hashes are in `ends` (h, distinct): shorter than their sets, which are made where they are needed."""
     ends = materialise(ends, "ends")
     wanted = F.broadcast(ends) if ends.count() <= BROADCAST_LINES else ends
-    sets = materialise(occurrences(docs).join(wanted, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")).select("h", shingles(F.col("line")).alias("s")), "line-sets")
+    sets = materialise(occurrences(docs).join(wanted, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")), "line-sets")
     discard(ends)
     return sets
 
@@ -81,7 +87,8 @@ def sketches(elements: DataFrame) -> DataFrame:
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of line hashes (a, b) with d, the exact Jaccard distance of their shingle sets."""
-    both = pairs.join(sets.withColumnsRenamed({"h": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"h": "b", "s": "sb"}), "b")
+    both = pairs.join(sets.withColumnsRenamed({"h": "a", "line": "la"}), "a").join(sets.withColumnsRenamed({"h": "b", "line": "lb"}), "b")
+    both = both.select("a", "b", shingles(F.col("la")).alias("sa"), shingles(F.col("lb")).alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
     return both.select("a", "b", (1 - common / (F.size("sa") + F.size("sb") - common)).alias("d"))
 
@@ -89,14 +96,18 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All occurrences of lines (doc_id, pos, h), and (node, component) of the lines that have near copies."""
     banded = materialise(with_bands(occurrences(docs)), "lines")
-    member = banded.select("h", "n", F.explode("bands").alias("bucket"))
     # Every bucket leads with a member of its own choice, so that a group meets many leaders over its bands.
     turn = F.col("h").bitwiseXOR(F.col("bucket"))
-    ends = member.groupBy("bucket").agg(F.min(turn).alias("o0"), F.max(turn).alias("o1"), F.min_by("n", turn).alias("ln")).where("o0 <> o1")
-    shared = materialise(ends.select("bucket", F.col("o0").bitwiseXOR(F.col("bucket")).alias("leader"), "ln"), "shared")
-    inside = materialise(member.join(shared, "bucket").select("bucket", F.col("h").alias("x"), "n", "leader", "ln").distinct(), "inside")
+    parts = []
+    for k in range(PASSES):  # a share of the buckets at a time, so that only its bands lie in shuffle files
+        member = banded.select("h", "n", F.explode(F.filter("bands", lambda x: F.pmod(x, F.lit(PASSES)) == k)).alias("bucket"))
+        ends = member.groupBy("bucket").agg(F.min(turn).alias("o0"), F.max(turn).alias("o1"), F.min_by("n", turn).alias("ln")).where("o0 <> o1")
+        shared = materialise(ends.select("bucket", F.col("o0").bitwiseXOR(F.col("bucket")).alias("leader"), "ln"), "shared")
+        parts.append(materialise(member.join(shared, "bucket").select("bucket", F.col("h").alias("x"), "n", "leader", "ln").distinct(), "inside"))
+        discard(shared)
+    inside = reduce(DataFrame.union, parts)
     occ = materialise(banded.select("doc_id", "pos", "h"), "occurrences")
-    discard(banded, shared)
+    discard(banded)
     by_size = 1 - F.least("n", "ln") / F.greatest("n", "ln")
 
     def stars(inside: DataFrame) -> DataFrame:
@@ -118,18 +129,18 @@ def components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     def joined(comp: DataFrame, more: DataFrame) -> DataFrame:
         return materialise(union_find(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "components")
 
-    # The shingle sets of all lines that share a bucket, once: every comparison is made on them.
+    # All lines that share a bucket, once: every comparison is made on their shingle sets.
     sets = line_sets(inside.select(F.col("x").alias("h")).distinct(), docs)
     first = materialise(stars(inside), "stars")
     seen = materialise(verify(first, sets), "stars-verified")
     discard(first)
     comp = materialise(union_find(links(seen)), "components")
     where = materialise(placed(inside, comp, seen), "placed")
-    discard(inside)
+    discard(*parts)
     members = materialise(open_members(where, LEAST), "members")
     discard(where)
     open_sets = sets.join(members.select(F.col("x").alias("h")).distinct(), "h", "left_semi")
-    each = open_sets.select("h", F.explode("s").alias("e"))
+    each = open_sets.select("h", F.explode(shingles(F.col("line"))).alias("e"))
     alone = materialise(each.groupBy("e").agg(F.min("h").alias("x"), F.count("*").alias("c")).where("c = 1").groupBy("x").agg(F.count("*").alias("u")), "alone")
     again = materialise(purest_leaders(members, alone, LEAST), "again")
     seen2 = materialise(verify(stars(again).join(seen, ["a", "b"], "left_anti"), sets), "again-verified")
@@ -137,7 +148,7 @@ def components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     where = materialise(placed(again, comp, seen), "placed")
     members = materialise(open_members(where, LEAST), "members")
     discard(where)
-    bits = sketches(sets.join(members.select(F.col("x").alias("h")).distinct(), "h", "left_semi").select("h", F.explode("s").alias("e")))
+    bits = sketches(sets.join(members.select(F.col("x").alias("h")).distinct(), "h", "left_semi").select("h", F.explode(shingles(F.col("line"))).alias("e")))
     rest = open_pairs(members, alone, bits, LEAST).join(seen, ["a", "b"], "left_anti")
     final = joined(comp, links(verify(materialise(rest, "rest"), sets)))
     return occ, final
