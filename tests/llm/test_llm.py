@@ -216,6 +216,13 @@ def test_licences(spark):
     assert got["e.py"] == (None, None, None) == got[None] and got["f.py"][:2] == ("CC-BY-NC-4.0", "own")
 
 
+def test_registered_licences_inherit(spark):
+    from threadloom.llm import queries
+
+    rows = queries.op9_licenses(spark, "/root/testdata/sf0.01").where("license_from = 'inherited'").select("license", "license_dir").collect()
+    assert rows and all(r.license and r.license_dir.startswith("src") for r in rows)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import ann, bpe, language, licenses, lines, minhash, mtree, packing, quality, sharding
 from .common import id_crc32, table
@@ -65,7 +65,17 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return licenses.scan(docs, F.concat_ws("/", "source", F.col("doc_id").cast("string"))).drop("source")
+    return licenses.scan(docs, tree_path()).drop("source")
+
+
+def tree_path() -> Column:
+    """Documents have no paths: source/ten thousands/thousands/id.txt, and every eighth by CRC-32 is a licence file of one of the three levels."""
+    part = lambda name, by: F.concat(F.lit(name), F.floor(F.col("doc_id") / by).cast("string"))
+    folders = F.array(F.coalesce("source", F.lit("none")), part("a", 10_000), part("b", 1_000))
+    name, crc = F.col("doc_id").cast("string"), id_crc32()
+    own = F.concat_ws("/", F.slice(folders, 1, (F.floor(crc / 8) % 3 + 1).cast("int")), F.concat(F.lit("LICENSE."), name))
+    path = F.when(crc % 8 == 0, own).otherwise(F.concat_ws("/", folders, F.concat(name, F.lit(".txt"))))
+    return F.when(F.col("doc_id").isNotNull(), path)
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
