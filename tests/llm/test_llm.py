@@ -216,6 +216,21 @@ def test_licences(spark):
     assert got["e.py"] == (None, None, None) == got[None] and got["f.py"][:2] == ("CC-BY-NC-4.0", "own")
 
 
+def test_licences_inside_lines_and_whole(spark):
+    bsd = next(t for n, t in reversed(licenses.TEMPLATES) if n == "BSD-3-Clause").replace("the copyright holder nor", "Foo Inc. nor")
+    noise = " ".join(f"w{k}" for k in range(60))
+    texts = {
+        "MIT": "// Copyright 2020 The Foo Authors. All rights reserved. Released under the MIT License, see the file in the project root for details.",
+        "Apache-2.0": f"{noise} Licensed under the Apache License, Version 2.0 {noise}",
+        "CC-BY-4.0": "Distributed under CC BY 4.0.",
+        "BSD-3-Clause": f"{noise}\n{bsd}\n{noise}",
+        None: "it was released under the name of Foo\ndas Haus mit dem Hund und der Garten mit der Katze",
+    }
+    files = spark.createDataFrame([(n, t) for n, t in texts.items()], "want string, text string")
+    got = licenses.scan(files, F.lit(None).cast("string")).collect()
+    assert [r.license for r in got] == [r.want for r in got] and len(got) == 5
+
+
 def test_registered_licences_inherit(spark):
     from threadloom.llm import queries
 
