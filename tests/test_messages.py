@@ -131,3 +131,11 @@ def test_tools(five):
     assert tools.dispatch(ctx, "phrase_timeline", {"phrase": "ciao", "date_from": "2023-11-01"})["total"] == 2
     assert tools.dispatch(ctx, "get_context", {"message_id": "x"})["messages"] == []
     assert len(tools.schemas()) == 8
+
+
+def test_registered_emoji_frequency_reads_its_table(spark, tmp_path):
+    from threadloom.plans import catalog
+
+    rows = [(1, 0, "user", "a 😀😀 b"), (1, 1, "assistant", "👍🏽 👨‍👩‍👧 😀"), (2, 0, "user", None)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert [tuple(r) for r in catalog.QUERIES["emoji_frequency_conversations"](spark, str(tmp_path)).collect()][0] == ("😀", 3)

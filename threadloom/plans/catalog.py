@@ -269,6 +269,11 @@ def emoji_frequency(spark, d):
     return stats.emoji_frequency(rows)
 
 
+@query()
+def emoji_frequency_conversations(spark, d):
+    return stats.emoji_frequency(conversations(spark, d))
+
+
 @query()
 def topic_clusters(spark, d):
     rows = embedded(spark, d).withColumn("id", F.col("id").cast("string")).drop("label")
