@@ -128,3 +128,41 @@ def top_per_query(queries: DataFrame, rows: DataFrame, top: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     pairs = rows.join(F.broadcast(queries), F.col("id") != F.col("query_id"))
     return pairs.select("query_id", "id", F.round(fx.cosine(F.col("embedding"), F.col("query")), 4).alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+
+
+#: Rows and queries of a block of `top_per_query_in_blocks`.
+ROW_BLOCK, QUERY_BLOCK = 8192, 2048
+
+
+def top_per_query_in_blocks(queries: DataFrame, rows: DataFrame, top: int) -> DataFrame:
+    """top_per_query for any number of queries: every block of rows meets every block of queries in a task. Rows without a cosine take no part."""
+    rows, queries = rows.where("id is not null and embedding is not null"), queries.where("query_id is not null and query is not null")
+    blocks, parts = max(1, -(-rows.count() // ROW_BLOCK)), max(1, -(-queries.count() // QUERY_BLOCK))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    have = rows.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), all_of(parts).alias("part"))
+    ask = queries.select("query_id", "query", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part"), all_of(blocks).alias("block"))
+    have, ask = have.toDF(*have.columns), ask.toDF(*ask.columns)  # columns of their own on either side
+
+    def compare(asks: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})]
+        if len(asks) and len(some):
+            unit = lambda c: (x := np.stack(c.to_numpy()).astype(float)) / np.linalg.norm(x, axis=1, keepdims=True)
+            with np.errstate(all="ignore"):
+                d, q, ids, own = unit(some["embedding"]), unit(asks["query"]), some["id"].to_numpy(), asks["query_id"].to_numpy()
+            for at in range(0, len(q), 256):
+                mine = own[at : at + 256]
+                s = q[at : at + 256] @ d.T
+                s = np.copysign(np.floor(np.abs(s) * 1e4 + 0.5) / 1e4, s)
+                s[np.isnan(s) | (ids[None, :] == mine[:, None])] = -np.inf
+                least = np.partition(s, -top, axis=1)[:, -top] if s.shape[1] > top else np.full(len(s), -np.inf)
+                row, col = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+                order = np.lexsort((ids[col], -s[row, col], row))
+                row, col = row[order], col[order]
+                kept = np.arange(len(row)) - np.searchsorted(row, row) < top
+                row, col = row[kept], col[kept]
+                out.append(pd.DataFrame({"query_id": mine[row], "id": ids[col], "score": s[row, col] + 0.0}))
+        return pd.concat(out)
+
+    met = ask.groupBy("block", "part").cogroup(have.groupBy("block", "part")).applyInPandas(compare, "query_id long, id long, score double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)

@@ -237,6 +237,12 @@ def semantic_topk(spark, d):
     return vectors.top_per_query(rows.where("id < 5").select(F.col("id").alias("query_id"), F.col("embedding").alias("query")), rows, 8)
 
 
+@query(f"SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, round({_cosine('q.embedding', 'e.embedding')}, 4) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_cosine('q.embedding', 'e.embedding')}, 4) DESC, e.vec_id) AS rank FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q WHERE e.vec_id <> q.vec_id) WHERE rank <= 8")
+def semantic_topk_all(spark, d):
+    rows = _read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return vectors.top_per_query_in_blocks(rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query")), rows, 8)
+
+
 @query("WITH s AS (SELECT label, k, sum(CAST(embedding[k] AS DOUBLE)) AS v FROM embeddings, range(1, 65) r(k) GROUP BY label, k) SELECT label, CAST(k - 1 AS INTEGER) AS k, round(v / sqrt(sum(v * v) OVER (PARTITION BY label)), 4) AS v FROM s")
 def mean_pool(spark, d):
     pooled = vectors.mean_pool(_read(spark, d, "embeddings"), "label")
