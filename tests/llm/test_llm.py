@@ -238,6 +238,14 @@ def test_registered_licences_inherit(spark):
     assert rows and all(r.license and r.license_dir.startswith("src") for r in rows)
 
 
+def test_near_dedup_keeps_null_ids(spark):
+    import corpus_pipeline
+
+    t = " ".join(f"a{k}" for k in range(50))
+    rows = spark.createDataFrame([(1, t), (2, t), (None, t)], "doc_id long, text string")
+    assert sorted(r.doc_id or -1 for r in corpus_pipeline.near_dedup(spark, rows, "").collect()) == [-1, 1]
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
