@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
+def _ordered(edges: DataFrame) -> DataFrame:
+    return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node links its larger neighbours to the least of its neighbourhood."""
     near = _both_ways(edges)
@@ -34,7 +38,8 @@ def star_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = materialise(edges.where("a <> b").select("a", "b").distinct(), "edges")
     mark = None
     for _ in range(max_rounds):
-        now = materialise(_small_star(_large_star(now)), "star")
+        before, now = now, materialise(_small_star(_large_star(now)), "star")
+        discard(before)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40))).first()
         if state == mark or not state[0]:
             break
@@ -42,7 +47,9 @@ def star_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("b").alias("node")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots.select("node", F.col("node").alias("component")))
+    out = materialise(now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots.select("node", F.col("node").alias("component"))), "components")
+    discard(now)
+    return out
 
 
 def union_find(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -52,34 +59,41 @@ def union_find(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     all paths until they are flat; edges are rewritten to roots, and those
     within a tree fall away. The component is its least node.
     """
-    edges = materialise(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    edges = materialise(_ordered(edges), "edges")
     parent = None
     for _ in range(max_rounds):
         hooks = _both_ways(edges).groupBy("a").agg(F.min("b").alias("m")).where("m < a").select(F.col("a").alias("node"), F.col("m").alias("up"))
         hooks = materialise(hooks, "hooks")
         if hooks.isEmpty():
+            discard(hooks)
             break
         while True:  # pointer jumping: hooks lead to smaller nodes, so they have no cycle
             up = hooks.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            jumped = materialise(hooks.join(up, "up", "left").select("node", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")), "hooks")
-            hooks = jumped.select("node", "up")
-            if jumped.where("moved").isEmpty():
+            jumped = hooks.select("node", "up").join(up, "up", "left").select("node", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved"))
+            before, hooks = hooks, materialise(jumped, "hooks")
+            discard(before)
+            if hooks.where("moved").isEmpty():
                 break
         roots = hooks.select(F.col("node").alias("r"), F.col("up").alias("top"))
-        if parent is None:
-            parent = hooks
-        else:
-            parent = parent.join(roots, F.col("up") == F.col("r"), "left").select("node", F.coalesce("top", "up").alias("up")).union(hooks)
-            parent = materialise(parent, "parents")
+        new = hooks.select("node", "up")
+        if parent is not None:
+            new = parent.join(roots, F.col("up") == F.col("r"), "left").select("node", F.coalesce("top", "up").alias("up")).union(new)
+        left = edges
         for end in ("a", "b"):
-            edges = edges.join(roots, F.col(end) == F.col("r"), "left").withColumn(end, F.coalesce("top", end)).select("a", "b")
-        edges = materialise(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+            left = left.join(roots, F.col(end) == F.col("r"), "left").withColumn(end, F.coalesce("top", end)).select("a", "b")
+        before = [edges, hooks] + [parent] * (parent is not None)
+        parent, edges = materialise(new, "parents"), materialise(_ordered(left), "edges")
+        discard(*before)
     else:
         raise RuntimeError("components did not settle")
     if parent is None:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    top = parent.select(F.col("up").alias("node")).distinct()
-    return parent.select("node", F.col("up").alias("component")).union(top.select("node", F.col("node").alias("component")))
+        out = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    else:
+        top = parent.select(F.col("up").alias("node")).distinct()
+        out = parent.select("node", F.col("up").alias("component")).union(top.select("node", F.col("node").alias("component")))
+    out = materialise(out, "components")
+    discard(edges, *([parent] * (parent is not None)))
+    return out
 
 
 def open_members(placed: DataFrame, least: float) -> DataFrame:
@@ -106,7 +120,7 @@ def purest_leaders(members: DataFrame, own: DataFrame, least: float) -> DataFram
     return shared.select("bucket", "x", "n").join(lead, "bucket")
 
 
-def open_pairs(members: DataFrame, own: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+def open_pairs(members: DataFrame, own: DataFrame, sketches: DataFrame, least: float, carry: tuple[str, ...] = (), also: Column | None = None) -> DataFrame:
     """Distinct pairs (a, b) of a bucket that lie in different components and can reach a Jaccard similarity of `least`.
 
     members: as open_members gives them; own: (x, u), how many elements of x's set no other member has; sketches:
@@ -114,15 +128,16 @@ def open_pairs(members: DataFrame, own: DataFrame, sketches: DataFrame, least: f
     common is at most what either shares with anyone, and common elements cancel in the exclusive or of two sketches:
     it has at most as many bits as the sets differ in elements, and nearly as many while these are few beside the bits.
     So a member of which more than 1 - `least` is its own is similar to none, and of the pairs only those go on whose
-    bounds reach `least`. A null sketch excludes nothing.
+    bounds reach `least`. A null sketch excludes nothing. `also`: a further condition on a pair, over the columns `carry` with
+    the suffixes a and b and na and nb.
     """
     shared = members.join(own, "x", "left").withColumn("m", F.col("n") - F.coalesce("u", F.lit(0))).drop("u")
     left = open_members(shared.where(F.col("m") >= F.col("n") * least - 1e-9), least).join(sketches, "x", "left")
-    u, v = (left.select("bucket", F.col("x").alias(k), *(F.col(c).alias(c + k) for c in ("n", "m", "component", "lo", "hi", "sketch"))) for k in "ab")
+    u, v = (left.select("bucket", F.col("x").alias(k), *(F.col(c).alias(c + k) for c in ("n", "m", "component", "lo", "hi", "sketch", *carry))) for k in "ab")
     reach = 1 - least + 1e-9
     apart = (F.col("loa") - F.col("hib") > reach) | (F.col("lob") - F.col("hia") > reach)
     common = F.least("ma", "mb")
     enough = common >= (F.col("na") + F.col("nb") - common) * least - 1e-9
     differ = F.aggregate(F.zip_with("sketcha", "sketchb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, k: t + k)
     near = F.coalesce(differ <= (F.col("na") + F.col("nb")) * ((1 - least) / (1 + least)) + 1e-9, F.lit(True))
-    return u.join(v, "bucket").where((F.col("a") < F.col("b")) & (F.col("componenta") != F.col("componentb")) & ~apart & enough & near).select("a", "b").distinct()
+    return u.join(v, "bucket").where((F.col("a") < F.col("b")) & (F.col("componenta") != F.col("componentb")) & ~apart & enough & near & (F.lit(True) if also is None else also)).select("a", "b").distinct()

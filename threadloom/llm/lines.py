@@ -2,25 +2,33 @@
 
 A line is compared in lower case without outer white space. Its shingles are
 all runs of five characters, at every position; a shorter line is its own
-shingle. Their hashes, sorted, give a one-permutation MinHash signature: the
-least hash of each of 64 equal ranges, an empty range taking the next one's.
-Forty bands of six ranges each, drawn at random, let two long lines of Jaccard
+shingle. Lines with equal compared forms are one from the start. The hashes of
+a line's shingles, sorted, give a one-permutation MinHash signature: the least
+hash of each of 64 equal ranges, an empty range taking the next one's. Forty
+bands of six ranges each, drawn at random, let two long lines of Jaccard
 similarity 0.75 miss each other with a chance of 4e-4; shorter lines have bands
-of three or two. Within a bucket every line is compared with one of them, and only lines
-that are then in different components, and that sizes, the triangle inequality
-their own shingles and sketches of their sets do not exclude, are compared with
-each other, always on the whole sets. Union-find gives the components; the occurrence that comes first by
-(doc_id, position) stays, all other lines of the component go.
+of three or two.
+
+Two lines alone in a bucket are a candidate pair. In a larger bucket the line
+of the least hash leads, every other is a candidate with it, and of the rest
+only lines go on that are then in different components and that sizes, the
+triangle inequality, signatures, their own shingles and sketches of their sets
+do not exclude. Signatures of two bits a range exclude pairs of long lines that agree in
+fewer than 38 of 64 ranges (a similar pair does with a chance of 2e-5). What is
+left is compared on the whole sets. Union-find gives the components; the occurrence that
+comes first by (doc_id, position) stays, all other lines of the component go.
 
 Blank lines stay, in place. Null texts stay null; a text may become empty. A row
 with a null doc_id is left as it is and takes no part. Rows that repeat a doc_id
-count as one document. All columns and rows are kept; only `text` changes. Lines
-and shingles are told apart by 64-bit hashes.
+count as one document. All columns and rows are kept, whatever their names; only
+`text` changes. An empty table gives an empty one. A text of any length is taken
+whole. Lines and shingles are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -29,51 +37,85 @@ from .common import discard, materialise
 from .graph import open_members, open_pairs, purest_leaders, union_find
 
 WIDTH = 5
-SHINGLE = rf"(?s)(?=(.{{{WIDTH}}}))."
 LEAST = 0.75
+#: White space around a line.
+BLANKS = " \t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0               　"
 #: Lines of up to SHORT shingles band by pairs of ranges, those from FEW to LONG by triples, those from LONG * LEAST on by sixes: similar lines have one kind in common.
 FEW, SHORT, LONG = 6, 16, 128
 #: Longs of a sketch: 512 bits, each flipped by the shingles whose hash names it.
 SKETCH = 8
+RANGES = 64
+#: Ranges in which the signatures of two similar lines may differ, if both have at least LONG shingles.
+DIFFER = 26
 _RNG = random.Random(7)
-PAIRS, TRIPLES, SIXES = ([_RNG.sample(range(64), k) for _ in range(n)] for k, n in ((2, 14), (3, 24), (6, 40)))
-#: Shares in which the buckets are looked through.
-PASSES = 4
-#: Most lines whose hashes are broadcast (8 bytes each); beyond it they are joined by a shuffle.
-BROADCAST_LINES = 500_000
+PAIRS, TRIPLES, SIXES = ([_RNG.sample(range(RANGES), k) for _ in range(n)] for k, n in ((2, 14), (3, 24), (6, 40)))
+SPANS = [(0, SHORT, PAIRS), (FEW, LONG, TRIPLES), (int(LONG * LEAST), 1 << 30, SIXES)]
+N_BANDS = len(PAIRS) + len(TRIPLES) + len(SIXES)
+#: Shares of the bands that are looked through one after the other, so that only one lies in shuffle files.
+PASSES = 6
+#: Most keys that are broadcast (8 bytes each); beyond it they are joined by a shuffle.
+BROADCAST_KEYS = 500_000
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value made once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def shingles(line: Column) -> Column:
     """Distinct 64-bit hashes of a line's shingles."""
-    runs = F.when(F.length(line) < WIDTH, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(SHINGLE), 1))
-    return F.array_distinct(F.transform(runs, lambda x: F.xxhash64(x)))
+    step, size = F.lit(4), F.lit(4 * WIDTH)  # UTF-32: four bytes a character, so that each is found at once
+    runs = let(F.encode(line, "UTF-32"), lambda b: F.transform(F.sequence(F.lit(1), F.octet_length(b) - size + 1, step), lambda i: F.xxhash64(F.substring(b, i, size))))
+    return F.array_distinct(F.when(F.length(line) < WIDTH, F.array(F.xxhash64(line))).otherwise(runs))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
     """Non-blank lines of documents with an id: doc_id, pos, line (compared form), h."""
     lines = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return lines.select("doc_id", "pos", F.lower(F.trim(F.col("line"))).alias("line")).where("line <> ''").withColumn("h", F.xxhash64("line"))
+    return lines.select("doc_id", "pos", F.lower(F.btrim("line", F.lit(BLANKS))).alias("line")).where("line <> ''").withColumn("h", F.xxhash64("line"))
+
+
+def distinct_lines(docs: DataFrame) -> DataFrame:
+    """One row per compared form: h, line, its first occurrence (doc_id, pos) and the number of its occurrences."""
+    return occurrences(docs).groupBy("h").agg(F.min("line").alias("line"), F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("c"))
 
 
-def with_bands(occ: DataFrame) -> DataFrame:
-    """Add n, the number of shingles, and the keys of all bands."""
-    hashes = F.sort_array(shingles(F.col("line")))
+def signatures(lines: DataFrame) -> DataFrame:
+    """h, n (the number of shingles), s0 and s1 (two bits of each range's least hash), and a column for each band's key, null where the line has no such band."""
     rank = lambda x: F.shiftright(x, 58)  # noqa: E731  64 ranges, -32 to 31
-    # Each hash fills the ranges after its predecessor's up to its own, and the least fills those after the last.
-    fill = F.transform("s", lambda x, i: F.array_repeat(x, (rank(x) - F.coalesce(rank(F.get("s", i - 1)), F.lit(-33))).cast("int")))
-    tail = F.array_repeat(F.get("s", F.lit(0)), (31 - rank(F.element_at("s", -1))).cast("int"))
-    dense = occ.withColumn("s", hashes).withColumn("least", F.concat(F.flatten(fill), tail))
-    key = lambda probes: F.array(*(F.xxhash64(F.lit(f"{len(p)}/{k}"), *(F.get("least", F.lit(j)) for j in p)) for k, p in enumerate(probes)))
-    n, none = F.size("s"), F.array().cast("array<bigint>")
-    keys = F.concat(*(F.when(n.between(*span), key(probes)).otherwise(none) for span, probes in (((0, SHORT), PAIRS), ((FEW, LONG), TRIPLES), ((int(LONG * LEAST), 1 << 30), SIXES))))
-    return dense.select("doc_id", "pos", "h", n.alias("n"), keys.alias("bands"))
-
-
-def line_sets(ends: DataFrame, docs: DataFrame) -> DataFrame:
-    """Compared forms (h, line) of the lines whose hashes are in `ends` (h, distinct): shorter than their sets, which are made where they are needed."""
+    sets = lines.select("h", F.sort_array(shingles(F.col("line"))).alias("s"))
+    # The first hash of each range: its leading bits differ from those of the hash before it.
+    heads = F.filter("s", lambda x, i: F.shiftrightunsigned(x.bitwiseXOR(F.get("s", i - 1)), 58) != 0)
+    firsts = sets.select("h", F.size("s").alias("n"), F.concat(F.slice("s", 1, 1), heads).alias("f"))
+    # Each fills the ranges after its predecessor's up to its own, and the least fills those after the last.
+    fill = F.transform("f", lambda x, i: F.array_repeat(x, (rank(x) - F.coalesce(rank(F.get("f", i - 1)), F.lit(-33))).cast("int")))
+    tail = F.array_repeat(F.get("f", F.lit(0)), (31 - rank(F.element_at("f", -1))).cast("int"))
+    dense = firsts.select("h", "n", F.concat(F.flatten(fill), tail).alias("least"))
+    of = lambda j: F.get("least", F.lit(j))
+    half = lambda js: reduce(Column.bitwiseOR, (F.shiftleft(of(j).bitwiseAND(F.lit(3)), 2 * k) for k, j in enumerate(js)))
+    keys = [F.when(F.col("n").between(low, high), F.hash(*map(of, probe))) for low, high, probes in SPANS for probe in probes]
+    return dense.select("h", "n", half(range(32)).alias("s0"), half(range(32, RANGES)).alias("s1"), *(key.alias(f"b{j}") for j, key in enumerate(keys)))
+
+
+def agree(ends: tuple[str, str]) -> Column:
+    """Whether sizes and signatures of two lines let them be similar; columns n, s0 and s1 carry the names of the ends."""
+    a, b = ends
+    odd = 0x5555555555555555
+    changed = lambda s: F.col(s + a).bitwiseXOR(F.col(s + b))
+    differ = sum((F.bit_count(changed(s).bitwiseOR(F.shiftrightunsigned(changed(s), 1)).bitwiseAND(F.lit(odd))) for s in ("s0", "s1")), F.lit(0))
+    na, nb = F.col("n" + a), F.col("n" + b)
+    return (F.least(na, nb) >= F.greatest(na, nb) * LEAST - 1e-9) & ((F.least(na, nb) < LONG) | (differ <= DIFFER))
+
+
+def few(keys: DataFrame) -> DataFrame:
+    """For a join: stored keys, broadcast if there are at most BROADCAST_KEYS."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
+def line_sets(ends: DataFrame, lines: DataFrame) -> DataFrame:
+    """Compared forms (h, line) of the lines in `ends` (h, distinct): shorter than their sets, which are made where they are needed."""
     ends = materialise(ends, "ends")
-    wanted = F.broadcast(ends) if ends.count() <= BROADCAST_LINES else ends
-    sets = materialise(occurrences(docs).join(wanted, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")), "line-sets")
+    sets = materialise(lines.join(few(ends), "h", "left_semi").select("h", "line"), "line-sets")
     discard(ends)
     return sets
 
@@ -93,25 +135,31 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", (1 - common / (F.size("sa") + F.size("sb") - common)).alias("d"))
 
 
-def components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All occurrences of lines (doc_id, pos, h), and (node, component) of the lines that have near copies."""
-    banded = materialise(with_bands(occurrences(docs)), "lines")
-    # Every bucket leads with a member of its own choice, so that a group meets many leaders over its bands.
-    turn = F.col("h").bitwiseXOR(F.col("bucket"))
-    parts = []
-    for k in range(PASSES):  # a share of the buckets at a time, so that only its bands lie in shuffle files
-        member = banded.select("h", "n", F.explode(F.filter("bands", lambda x: F.pmod(x, F.lit(PASSES)) == k)).alias("bucket"))
-        ends = member.groupBy("bucket").agg(F.min(turn).alias("o0"), F.max(turn).alias("o1"), F.min_by("n", turn).alias("ln")).where("o0 <> o1")
-        shared = materialise(ends.select("bucket", F.col("o0").bitwiseXOR(F.col("bucket")).alias("leader"), "ln"), "shared")
-        parts.append(materialise(member.join(shared, "bucket").select("bucket", F.col("h").alias("x"), "n", "leader", "ln").distinct(), "inside"))
-        discard(shared)
+def buckets(signed: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Pairs (a, b) that have a bucket to themselves, and the members of larger buckets (bucket, x, leader), by pass."""
+    pairs, inside = [], []
+    for k in range(PASSES):
+        key = (F.lit(j << 32) + F.col(f"b{j}") for j in range(k, N_BANDS, PASSES))
+        member = signed.select("h", F.explode(F.array(*key)).alias("bucket")).where("bucket is not null")
+        found = member.groupBy("bucket").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.count("*").alias("c")).where("c > 1")
+        found = materialise(found, "found")
+        pairs.append(materialise(found.where("c = 2").select("a", "b").distinct(), "alone-in-bucket"))
+        large = materialise(found.where("c > 2").select("bucket", F.col("a").alias("leader")), "large")
+        inside.append(materialise(member.join(few(large), "bucket").select("bucket", F.col("h").alias("x"), "leader"), "inside"))
+        discard(found, large)
+    return pairs, inside
+
+
+def components(lines: DataFrame) -> DataFrame:
+    """(node, component) of the lines (h, line, distinct) that have near copies."""
+    signed = materialise(signatures(lines), "signatures")
+    alone_in_bucket, parts = buckets(signed)
     inside = reduce(DataFrame.union, parts)
-    occ = materialise(banded.select("doc_id", "pos", "h"), "occurrences")
-    discard(banded)
-    by_size = 1 - F.least("n", "ln") / F.greatest("n", "ln")
+    signs = materialise(signed.select("h", "n", "s0", "s1"), "signs")
+    discard(signed)
 
-    def stars(inside: DataFrame) -> DataFrame:
-        return inside.where((F.col("x") != F.col("leader")) & (by_size <= 1 - LEAST)).select(F.least("leader", "x").alias("a"), F.greatest("leader", "x").alias("b")).distinct()
+    def end(k: str) -> DataFrame:
+        return signs.select(F.col("h").alias(k), *(F.col(c).alias(c + k) for c in ("n", "s0", "s1")))
 
     def links(seen: DataFrame) -> DataFrame:
         return seen.where(F.col("d") <= 1 - LEAST).select("a", "b")
@@ -123,53 +171,77 @@ def components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return (
             inside.join(comp.select(F.col("node").alias("x"), "component"), "x", "left")
             .join(exact, ["leader", "x"], "left")
-            .select("bucket", "x", "n", F.coalesce("component", "x").alias("component"), F.when(own, 0.0).otherwise(F.coalesce("d", by_size)).alias("lo"), F.when(own, 0.0).otherwise(F.coalesce("d", F.lit(1.0))).alias("hi"))
+            .join(signs.withColumnRenamed("h", "x"), "x")
+            .select("bucket", "x", "n", "s0", "s1", F.coalesce("component", "x").alias("component"), F.when(own, 0.0).otherwise(F.coalesce("d", F.lit(0.0))).alias("lo"), F.when(own, 0.0).otherwise(F.coalesce("d", F.lit(1.0))).alias("hi"))
         )
 
     def joined(comp: DataFrame, more: DataFrame) -> DataFrame:
-        return materialise(union_find(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "components")
+        return union_find(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
-    # All lines that share a bucket, once: every comparison is made on their shingle sets.
-    sets = line_sets(inside.select(F.col("x").alias("h")).distinct(), docs)
-    first = materialise(stars(inside), "stars")
+    stars = inside.where("x <> leader").select(F.least("leader", "x").alias("a"), F.greatest("leader", "x").alias("b"))
+    stars = reduce(DataFrame.union, alone_in_bucket, stars).distinct()
+    first = materialise(stars.join(end("a"), "a").join(end("b"), "b").where(agree(("a", "b"))).select("a", "b"), "stars")
+    discard(*alone_in_bucket)
+    sets = line_sets(first.select(F.explode(F.array("a", "b")).alias("h")).distinct(), lines)
     seen = materialise(verify(first, sets), "stars-verified")
-    discard(first)
-    comp = materialise(union_find(links(seen)), "components")
+    discard(first, sets)
+    comp = union_find(links(seen))
     where = materialise(placed(inside, comp, seen), "placed")
     discard(*parts)
     members = materialise(open_members(where, LEAST), "members")
     discard(where)
-    open_sets = sets.join(members.select(F.col("x").alias("h")).distinct(), "h", "left_semi")
-    each = open_sets.select("h", F.explode(shingles(F.col("line"))).alias("e"))
+    # Of these, the lines to which the signature of one in another component comes near.
+    u, v = (members.select(F.col("bucket").alias("bucket" + k), F.col("component").alias("component" + k), *(F.col(c).alias(c + k) for c in ("x", "n", "s0", "s1", "lo", "hi"))) for k in "ab")
+    near = (F.col("bucketa") == F.col("bucketb")) & (F.col("componenta") != F.col("componentb")) & agree(("a", "b"))
+    left = u.join(v, near, "left_semi").select(*(F.col(c + "a").alias(c) for c in members.columns))
+    left = materialise(left, "open")
+    discard(members)
+    sets = line_sets(left.select(F.col("x").alias("h")).distinct(), lines)
+    each = sets.select("h", F.explode(shingles(F.col("line"))).alias("e"))
     alone = materialise(each.groupBy("e").agg(F.min("h").alias("x"), F.count("*").alias("c")).where("c = 1").groupBy("x").agg(F.count("*").alias("u")), "alone")
-    again = materialise(purest_leaders(members, alone, LEAST), "again")
-    seen2 = materialise(verify(stars(again).join(seen, ["a", "b"], "left_anti"), sets), "again-verified")
-    seen, comp = seen.union(seen2), joined(comp, links(seen2))
-    where = materialise(placed(again, comp, seen), "placed")
-    members = materialise(open_members(where, LEAST), "members")
-    discard(where)
-    bits = sketches(sets.join(members.select(F.col("x").alias("h")).distinct(), "h", "left_semi").select("h", F.explode(shingles(F.col("line"))).alias("e")))
-    rest = open_pairs(members, alone, bits, LEAST).join(seen, ["a", "b"], "left_anti")
-    final = joined(comp, links(verify(materialise(rest, "rest"), sets)))
-    return occ, final
+    bits = materialise(sketches(each), "sketches")
+    again = materialise(purest_leaders(left, alone, LEAST), "again")
+    discard(left)
+    fits = again.where((F.col("x") != F.col("leader")) & (F.least("n", "ln") >= F.greatest("n", "ln") * LEAST - 1e-9))
+    fits = fits.select(F.least("leader", "x").alias("a"), F.greatest("leader", "x").alias("b")).distinct()
+    seen2 = materialise(verify(fits.join(seen, ["a", "b"], "left_anti"), sets), "again-verified")
+    both, more = seen.union(seen2), joined(comp, links(seen2))
+    discard(comp)
+    where = materialise(placed(again.select("bucket", "x", "leader"), more, both), "placed")
+    rest = open_pairs(open_members(where, LEAST), alone, bits, LEAST, carry=("s0", "s1"), also=agree(("a", "b")))
+    rest = materialise(rest.join(both, ["a", "b"], "left_anti"), "rest")
+    final = joined(more, links(verify(rest, sets)))
+    discard(signs, seen, seen2, alone, bits, again, where, rest, sets, more)
+    return final
 
 
 def dropped(docs: DataFrame) -> DataFrame:
-    """(doc_id, drop): the positions of the lines of each document that an earlier line stands for."""
-    occ, comp = components(docs)
-    lines = occ.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("c"))
-    known = lines.join(comp.select(F.col("node").alias("h"), "component"), "h", "left").where("c > 1 or component is not null").withColumn("component", F.coalesce("component", "h"))
+    """(doc_id, drop): the positions of the lines of each document that an earlier line stands for, stored."""
+    lines = materialise(distinct_lines(docs), "lines")
+    comp = components(lines)
+    known = lines.select("h", "first", "c").join(comp.select(F.col("node").alias("h"), "component"), "h", "left").where("c > 1 or component is not null")
+    known = materialise(known.select("h", "first", F.coalesce("component", "h").alias("component")), "known")
+    discard(lines, comp)
     keeper = known.groupBy("component").agg(F.min("first").alias("keeper"))
-    of_line = known.select("h", "component").join(keeper, "component").select("h", "keeper")
-    gone = occ.join(of_line, "h").where((F.col("doc_id") != F.col("keeper.doc_id")) | (F.col("pos") != F.col("keeper.pos")))
-    return gone.groupBy("doc_id").agg(F.collect_set("pos").alias("drop"))
+    of_line = materialise(known.join(keeper, "component").select("h", "keeper"), "keepers")
+    discard(known)
+    at = occurrences(docs).select("doc_id", "pos", "h").join(few(of_line), "h")
+    gone = at.where((F.col("doc_id") != F.col("keeper.doc_id")) | (F.col("pos") != F.col("keeper.pos")))
+    out = materialise(gone.groupBy("doc_id").agg(F.collect_set("pos").alias("drop")), "dropped")
+    discard(of_line)
+    return out
+
+
+def without(text: Column, drop: Column) -> Column:
+    """The text less the lines at these positions."""
+    stay = lambda parts: F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), drop)
+    return let(F.split(text, "\n"), lambda parts: F.array_join(F.transform(stay(parts), lambda i: F.get(parts, i)), "\n"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """All rows with `text` less the lines that go."""
     own = docs.columns
     rows = docs.select(F.struct(*own).alias("__own"), F.col("doc_id").alias("__id"))
-    gone = materialise(dropped(docs.select("doc_id", "text")), "dropped").select(F.col("doc_id").alias("__id"), F.col("drop").alias("__drop"))
-    left = F.array_join(F.filter(F.split("__own.text", "\n"), lambda x, i: ~F.array_contains("__drop", i)), "\n")
-    text = F.when(F.col("__drop").isNull(), F.col("__own.text")).otherwise(left)
+    gone = dropped(docs.select("doc_id", "text")).select(F.col("doc_id").alias("__id"), F.col("drop").alias("__drop"))
+    text = F.when(F.col("__drop").isNull(), F.col("__own.text")).otherwise(without(F.col("__own.text"), F.col("__drop")))
     return rows.join(gone, "__id", "left").select(*(text.alias(c) if c == "text" else F.col("__own")[c].alias(c) for c in own))

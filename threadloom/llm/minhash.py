@@ -221,11 +221,11 @@ def components(docs: DataFrame) -> DataFrame:
         )
 
     def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
-        return materialise(star_components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)), "components")
+        return star_components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
 
     least = LEAST_NUMERATOR / 100
     seen = examine(stars(inside), "stars")
-    comp = materialise(star_components(links_of(seen).union(_rows_of_one(sets, classes))), "components")
+    comp = star_components(links_of(seen).union(_rows_of_one(sets, classes)))
     # What the stars leave open: buckets whose members lie in more than one component.
     members = materialise(open_members(placed(inside, comp, seen), least), "members")
     alone = materialise(own_shingles(texts.join(members.select(F.col("x").alias("doc_id")).distinct(), "doc_id", "left_semi")), "alone")
