@@ -8,8 +8,8 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Rows that a Python worker turns into Python objects at a time.
-SLICE_ROWS = 256
+#: Rows, and bytes of several rows, that a Python worker turns into Python objects at a time.
+SLICE_ROWS, SLICE_BYTES = 256, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,5 +66,10 @@ def id_crc32(col: str = "doc_id") -> Column:
 
 
 def slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS):
+    """The batch in parts of at most `rows` rows and, but for single rows, SLICE_BYTES bytes."""
     for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+        part = batch.slice(at, rows)
+        if part.num_rows > 1 and part.nbytes > SLICE_BYTES:
+            yield from slices(part, (part.num_rows + 1) // 2)
+        else:
+            yield part

@@ -28,34 +28,35 @@ N_BINS, THRESHOLD = 10, 0.7
 CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" \t\r", b"!", b"|", b"#$%&*@^~", b".,;:?'\"()-", b"<>{}[]=/\\_+`", bytes(range(128, 256))]
 
 
-def class_table() -> np.ndarray:
-    t = np.full(256, len(CLASSES), np.uint8)
+def class_table() -> bytes:
+    t = bytearray([len(CLASSES)]) * 256
     for k, chars in enumerate(CLASSES):
-        t[list(chars)] = k
-    return t
+        for c in chars:
+            t[c] = k
+    return bytes(t)
 
 
 TABLE = class_table()
 
 
 def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of all lines, their lengths in bytes plus 1, and the number of lines of each text."""
-    lines = [(t or "").split("\n") for t in texts]
-    n_lines = np.array([len(x) for x in lines], np.int64)
-    flat = [x for own in lines for x in own]
-    raw = [x.encode("utf-8", "surrogatepass") for x in flat]
-    size = np.array([len(x) for x in raw], np.int64)
-    codes = TABLE[np.frombuffer(b"".join(raw), np.uint8)].astype(np.int64)
-    owner = np.repeat(np.arange(len(raw)), size)
-    k = len(CLASSES) + 1
-    shares = np.bincount(owner * k + codes, minlength=len(raw) * k).reshape(len(raw), k)
-    words = [x.split() for x in flat]
-    n_words = np.array([len(w) for w in words])
-    distinct = np.array([len(set(w)) for w in words])
-    again = np.fromiter((c for own in lines for c in _repeats(own)), np.float64, len(flat))
-    d = np.maximum(size, 1)[:, None]
-    x = np.column_stack([shares / d, np.log1p(size), size / np.maximum(n_words, 1), distinct / np.maximum(n_words, 1), np.log1p(n_words), again, np.repeat(np.log1p(n_lines), n_lines)])
-    return x, size + 1, n_lines
+    """Features of all lines, their lengths in bytes plus 1, and the number of lines of each text.
+
+    Lines are looked at one by one, so that no array is longer than the table of features or a line.
+    """
+    rows, n_lines, k = [], [], len(CLASSES) + 1
+    for text in texts:
+        own = (text or "").split("\n")
+        n_lines.append(len(own))
+        for x, again in zip(own, _repeats(own)):
+            codes = x.encode("utf-8", "surrogatepass").translate(TABLE)
+            words = x.split()
+            rows.append((*map(codes.count, range(k)), len(codes), len(words), len(set(words)), again))
+    counts, n_lines = np.array(rows, np.float64).reshape(len(rows), k + 4), np.array(n_lines, np.int64)
+    shares, (size, n_words, distinct, again) = counts[:, :k], counts[:, k:].T
+    some = np.maximum(n_words, 1)
+    x = np.column_stack([shares / np.maximum(size, 1)[:, None], np.log1p(size), size / some, distinct / some, np.log1p(n_words), again, np.repeat(np.log1p(n_lines), n_lines)])
+    return x, size.astype(np.int64) + 1, n_lines
 
 
 def _repeats(own: list[str]) -> list[float]:
@@ -75,7 +76,7 @@ class ChainModel:
     scale: tuple[float, float] = (1.0, 0.0)  # of a score's log-odds: what makes it the chance of label 1
 
     def bins(self, x: np.ndarray) -> np.ndarray:
-        return np.column_stack([np.searchsorted(c, x[:, f], side="right") for f, c in enumerate(self.cuts)]) if len(x) else np.zeros((0, len(self.cuts)), np.int64)
+        return np.column_stack([np.searchsorted(c, x[:, f], side="right").astype(np.uint8) for f, c in enumerate(self.cuts)]) if len(x) else np.zeros((0, len(self.cuts)), np.uint8)
 
 
 def neighbours(bins: np.ndarray, n_lines: np.ndarray, none: int) -> np.ndarray:
@@ -128,7 +129,7 @@ def marginals(e: np.ndarray, n_lines: np.ndarray, trans: np.ndarray) -> tuple[np
 
 
 def train(texts: list[str], labels: list[int], steps: int = 150, rate: float = 0.05, decay: float = 1e-3) -> ChainModel:
-    x, _, n_lines = line_features(texts)
+    x, size, n_lines = line_features(texts)
     cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, N_BINS + 1)[1:-1])) if len(x) else np.zeros(0) for f in range(x.shape[1])]
     model = ChainModel(cuts, np.zeros((3, len(cuts), N_BINS + 2)), 0.0, np.zeros((2, 2)), len(set(labels)) > 1)
     if not model.known:
@@ -153,7 +154,8 @@ def train(texts: list[str], labels: list[int], steps: int = 150, rate: float = 0
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         theta -= rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
     model.weights, model.bias, model.transitions = theta[:-5].reshape(model.weights.shape), float(theta[-5]), theta[-4:].reshape(2, 2)
-    model.scale = _platt(score_texts(model, texts), np.array(labels, np.float64))
+    p, _ = marginals(emissions(model.weights, model.bias, near), n_lines, model.transitions)
+    model.scale = _platt(by_length(p, size, n_lines), np.array(labels, np.float64))
     return model
 
 
@@ -185,14 +187,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, train_chars: int
     return train([r.text for r in rows], [r["__q"] for r in rows], **options)
 
 
+def by_length(p: np.ndarray, size: np.ndarray, n_lines: np.ndarray) -> np.ndarray:
+    """Mean of the lines' marginals of each text, weighted by length."""
+    at = np.cumsum(n_lines) - n_lines
+    return np.clip(np.add.reduceat(p * size, at) / np.add.reduceat(size, at), 0.0, 1.0)
+
+
 def score_texts(model: ChainModel, texts: list[str | None]) -> np.ndarray:
-    x, size, n_lines = line_features(texts)
     if not model.known:
         return np.full(len(texts), 0.5)
+    x, size, n_lines = line_features(texts)
     p, _ = marginals(emissions(model.weights, model.bias, neighbours(model.bins(x), n_lines, N_BINS + 1)), n_lines, model.transitions)
-    at = np.cumsum(n_lines) - n_lines
-    mean = np.clip(np.add.reduceat(p * size, at) / np.add.reduceat(size, at), 0.0, 1.0)
-    return 1 / (1 + np.exp(-(model.scale[0] * _log_odds(mean) + model.scale[1])))
+    return 1 / (1 + np.exp(-(model.scale[0] * _log_odds(by_length(p, size, n_lines)) + model.scale[1])))
 
 
 def score(df: DataFrame, model: ChainModel, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
