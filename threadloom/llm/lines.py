@@ -9,8 +9,8 @@ bands of six ranges each, drawn at random, let two long lines of Jaccard
 similarity 0.75 miss each other with a chance of 4e-4; shorter lines have bands
 of three or two.
 
-Two lines alone in a bucket are a candidate pair. In a larger bucket the line
-of the least hash leads, every other is a candidate with it, and of the rest
+Two lines alone in a bucket are a candidate pair. In a larger bucket one line
+leads, every other is a candidate with it, and of the rest
 only lines go on that are then in different components and that sizes, the
 triangle inequality, signatures, their own shingles and sketches of their sets
 do not exclude. Signatures of two bits a range exclude pairs of long lines that agree in
@@ -50,9 +50,9 @@ DIFFER = 26
 _RNG = random.Random(7)
 PAIRS, TRIPLES, SIXES = ([_RNG.sample(range(RANGES), k) for _ in range(n)] for k, n in ((2, 14), (3, 24), (6, 40)))
 SPANS = [(0, SHORT, PAIRS), (FEW, LONG, TRIPLES), (int(LONG * LEAST), 1 << 30, SIXES)]
-N_BANDS = len(PAIRS) + len(TRIPLES) + len(SIXES)
 #: Shares of the bands that are looked through one after the other, so that only one lies in shuffle files.
-PASSES = 6
+PASSES = 8
+ORDERS = [_RNG.getrandbits(63) for _ in range(PASSES)]
 #: Most keys that are broadcast (8 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_KEYS = 500_000
 
@@ -81,20 +81,33 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """h, n (the number of shingles), s0 and s1 (two bits of each range's least hash), and a column for each band's key, null where the line has no such band."""
+    """h, n (the number of shingles), and the least hash of each range."""
     rank = lambda x: F.shiftright(x, 58)  # noqa: E731  64 ranges, -32 to 31
     sets = lines.select("h", F.sort_array(shingles(F.col("line"))).alias("s"))
     # The first hash of each range: its leading bits differ from those of the hash before it.
     heads = F.filter("s", lambda x, i: F.shiftrightunsigned(x.bitwiseXOR(F.get("s", i - 1)), 58) != 0)
     firsts = sets.select("h", F.size("s").alias("n"), F.concat(F.slice("s", 1, 1), heads).alias("f"))
-    # Each fills the ranges after its predecessor's up to its own, and the least fills those after the last.
-    fill = F.transform("f", lambda x, i: F.array_repeat(x, (rank(x) - F.coalesce(rank(F.get("f", i - 1)), F.lit(-33))).cast("int")))
-    tail = F.array_repeat(F.get("f", F.lit(0)), (31 - rank(F.element_at("f", -1))).cast("int"))
-    dense = firsts.select("h", "n", F.concat(F.flatten(fill), tail).alias("least"))
-    of = lambda j: F.get("least", F.lit(j))
-    half = lambda js: reduce(Column.bitwiseOR, (F.shiftleft(of(j).bitwiseAND(F.lit(3)), 2 * k) for k, j in enumerate(js)))
-    keys = [F.when(F.col("n").between(low, high), F.hash(*map(of, probe))) for low, high, probes in SPANS for probe in probes]
-    return dense.select("h", "n", half(range(32)).alias("s0"), half(range(32, RANGES)).alias("s1"), *(key.alias(f"b{j}") for j, key in enumerate(keys)))
+    # Of each, 31 bits fill the ranges after its predecessor's up to its own, and those of the least the ranges after the last.
+    part = lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+    fill = F.transform("f", lambda x, i: F.array_repeat(part(x), (rank(x) - F.coalesce(rank(F.get("f", i - 1)), F.lit(-33))).cast("int")))
+    tail = F.array_repeat(part(F.get("f", F.lit(0))), (31 - rank(F.element_at("f", -1))).cast("int"))
+    return firsts.select("h", "n", F.concat(F.flatten(fill), tail).alias("least"))
+
+
+def band_keys(signed: DataFrame, k: int) -> DataFrame:
+    """h and the key of each of a line's bands in pass k, as `bucket`."""
+    wide = [(j, low, high, probe) for j, (low, high, probe) in enumerate((low, high, probe) for low, high, probes in SPANS for probe in probes)]
+    most = max(len(x[3]) for x in wide)
+    probe = lambda j, low, high, at: F.struct(F.lit(j).alias("j"), F.lit(low).alias("low"), F.lit(high).alias("high"), *(F.lit(at[i] if i < len(at) else -1).alias(f"p{i}") for i in range(most)))
+    each = signed.select("h", "n", "least", F.inline(F.array(*(probe(*x) for x in wide[k::PASSES])))).where("n between low and high")
+    key = F.hash(*(F.get("least", F.col(f"p{i}")) for i in range(most)))  # no range is null, and is left out
+    return each.select("h", (F.shiftleft(F.col("j").cast("bigint"), 32) + key).alias("bucket"))
+
+
+def signs_of(signed: DataFrame) -> DataFrame:
+    """h, n, s0 and s1: two bits of each range's least hash."""
+    two = lambda at: F.aggregate(F.slice("least", at, RANGES // 2), F.lit(0).cast("bigint"), lambda t, x: F.shiftleft(t, 2).bitwiseOR(x.bitwiseAND(F.lit(3)).cast("bigint")))
+    return signed.select("h", "n", two(1).alias("s0"), two(RANGES // 2 + 1).alias("s1"))
 
 
 def agree(ends: tuple[str, str]) -> Column:
@@ -139,12 +152,14 @@ def buckets(signed: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
     """Pairs (a, b) that have a bucket to themselves, and the members of larger buckets (bucket, x, leader), by pass."""
     pairs, inside = [], []
     for k in range(PASSES):
-        key = (F.lit(j << 32) + F.col(f"b{j}") for j in range(k, N_BANDS, PASSES))
-        member = signed.select("h", F.explode(F.array(*key)).alias("bucket")).where("bucket is not null")
-        found = member.groupBy("bucket").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.count("*").alias("c")).where("c > 1")
-        found = materialise(found, "found")
-        pairs.append(materialise(found.where("c = 2").select("a", "b").distinct(), "alone-in-bucket"))
-        large = materialise(found.where("c > 2").select("bucket", F.col("a").alias("leader")), "large")
+        member = band_keys(signed, k)
+        # Every pass has an order of its own, so that a group meets several leaders.
+        turn, back = F.col("h").bitwiseXOR(F.lit(ORDERS[k])), lambda c, k=k: F.col(c).bitwiseXOR(F.lit(ORDERS[k]))
+        found = member.groupBy("bucket").agg(F.min(turn).alias("low"), F.max(turn).alias("high"), F.count("*").alias("c")).where("c > 1")
+        found = materialise(found.select("bucket", back("low").alias("leader"), back("high").alias("other"), "c"), "found")
+        two = found.where("c = 2").select(F.least("leader", "other").alias("a"), F.greatest("leader", "other").alias("b"))
+        pairs.append(materialise(two.distinct(), "alone-in-bucket"))
+        large = materialise(found.where("c > 2").select("bucket", "leader"), "large")
         inside.append(materialise(member.join(few(large), "bucket").select("bucket", F.col("h").alias("x"), "leader"), "inside"))
         discard(found, large)
     return pairs, inside
@@ -155,7 +170,7 @@ def components(lines: DataFrame) -> DataFrame:
     signed = materialise(signatures(lines), "signatures")
     alone_in_bucket, parts = buckets(signed)
     inside = reduce(DataFrame.union, parts)
-    signs = materialise(signed.select("h", "n", "s0", "s1"), "signs")
+    signs = materialise(signs_of(signed), "signs")
     discard(signed)
 
     def end(k: str) -> DataFrame:
