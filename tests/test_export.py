@@ -67,6 +67,23 @@ def test_parse_stats(spark, tmp_path):
     assert (r.lines, r.messages, r.continuations) == (12, 11, 1)
 
 
+def test_overlapping_exports(spark, tmp_path):
+    """Two exports of one chat that overlap, in one load and one after the other: every message once."""
+    early = "17/04/2023, 14:03 - Marta: uno\n17/04/2023, 14:03 - Marta: uno\n17/04/2023, 14:04 - Ugo: due\n"
+    late = early + "17/04/2023, 14:05 - Marta: tre\n"
+    files = tmp_path / "files"
+    files.mkdir()
+    (files / "a.txt").write_text(early, encoding="utf-8")
+    (files / "b.txt").write_text(late, encoding="utf-8")
+    together, apart = str(tmp_path / "together"), str(tmp_path / "apart")
+    done = ingest.ingest(spark, str(files), together, chat_id="c").collect()
+    assert sorted((r.parsed, r.inserted, r.skipped) for r in done) == [(3, 3, 0), (4, 1, 3)]
+    for name in ("a.txt", "b.txt"):
+        ingest.ingest(spark, str(files / name), apart, chat_id="c").collect()
+    ids = [sorted(r.id for r in spark.read.parquet(f"{store}/messages").collect()) for store in (together, apart)]
+    assert ids[0] == ids[1] and len(ids[0]) == len(set(ids[0])) == 4
+
+
 class Fake:
     name, model = "fake", "none"
 

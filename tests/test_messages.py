@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.operators import phrases, search, stats, topics, vectors, windows
+from threadloom.operators import filters, phrases, search, stats, topics, vectors, windows
 from threadloom.plans import agent, tools
 
 SHAPE = "id string, chat_id string, sender_name string, seq long, ts long, ts_local string, local_date string, local_time string, text string, msg_type string"
@@ -105,32 +105,69 @@ def test_density_clusters():
 
 
 class Scripted:
+    """A model that says, turn by turn, what it is given."""
+
     def __init__(self, *turns):
         self.turns, self.offered = list(turns), []
 
-    def chat(self, log, offered):
-        self.offered.append(offered)
-        return self.turns.pop(0)
+    def reply(self, entries, offered):
+        self.offered.append(len(offered))
+        yield from self.turns.pop(0)
+
+
+PIZZA = agent.Request("keyword_search", '{"query": "pizza"}')
 
 
 def test_agent(five):
     ctx = tools.ToolContext(five)
-    call = agent.Turn(tool_calls=[agent.ToolCall("keyword_search", {"query": "pizza"})])
-    out = agent.answer_question("pizza?", ctx, Scripted(call, agent.Turn("domani [0000000000000004]")))
+    out = agent.answer_question("pizza?", ctx, Scripted([PIZZA], ["domani ", "[0000000000000004]"]))
+    assert out["answer"] == "domani [0000000000000004]" and out["steps"] == [{"tool": "keyword_search", "arguments": {"query": "pizza"}}]
     assert [c["id"] for c in out["citations"]] == ["0000000000000004"] == [c["id"] for c in out["sources"]]
-    llm = Scripted(call, agent.Turn("forced"))
-    assert agent.run_agent("?", ctx, llm, max_steps=1).answer == "forced" and llm.offered[-1] is None
-    assert [k for k, _ in agent.stream_answer("?", ctx, Scripted(agent.Turn("x")))] == ["step_start", "done"]
+    model = Scripted([PIZZA], ["forced"])
+    talk = agent.Dialogue("?", ctx, rounds=1).run(model)
+    assert talk.answer == "forced" and model.offered == [8, 0]
+    assert [m["role"] for m in agent.chat_log(talk.entries)] == ["system", "user", "assistant", "tool", "user", "assistant"]
+    assert talk.report()["citations"] == talk.report()["sources"] != []
+    assert agent.Request("x", "[1]").read() == agent.Request("x", "{").read() == {}
+
+
+def test_answers_stream(five):
+    ctx = tools.ToolContext(five)
+    assert [e.kind for e in agent.stream_answer("?", ctx, Scripted(["x", "y"]))] == ["step_start", "token", "token", "done"]
+    kinds = [e.kind for e in agent.stream_answer("?", ctx, Scripted([PIZZA], ["x"]), rounds=1)]
+    assert kinds == ["step_start", "tool_call", "tool_result", "final", "token", "done"]
+
+    class Slow(Scripted):
+        def reply(self, entries, offered):
+            yield "first"
+            raise RuntimeError("gone")
+
+    events = agent.stream_answer("?", ctx, Slow())
+    assert [next(events).kind, next(events).data["text"]] == ["step_start", "first"]  # out before the model has ended
+    assert [(e.kind, e.data["message"]) for e in events] == [("error", "gone")]
 
 
 def test_tools(five):
     ctx = tools.ToolContext(five)
-    assert "error" in tools.dispatch(ctx, "nothing", {}) and "error" in tools.dispatch(ctx, "keyword_search", {"wrong": 1})
-    assert tools.dispatch(ctx, "get_stats", {"metric": "nope"})["valid"]
-    assert tools.dispatch(ctx, "get_stats", {"metric": "sessions"})["session_count"] == 2
-    assert tools.dispatch(ctx, "phrase_timeline", {"phrase": "ciao", "date_from": "2023-11-01"})["total"] == 2
-    assert tools.dispatch(ctx, "get_context", {"message_id": "x"})["messages"] == []
+    use = lambda *a: tools.use(ctx, *a).value
+    for request in (("nothing", {}), ("keyword_search", {"wrong": 1}), ("keyword_search", {}), ("keyword_search", {"query": "a", "top": "many"})):
+        assert "error" in use(*request)
+    assert use("get_stats", {"metric": "nope"})["valid"]
+    assert use("get_stats", {"metric": "sessions"})["session_count"] == 2
+    assert use("phrase_timeline", {"phrase": "ciao", "date_from": "2023-11-01"})["total"] == 2
+    assert use("get_context", {"message_id": "x"})["messages"] == []
     assert len(tools.schemas()) == 8
+    found = tools.use(ctx, "keyword_search", {"query": "pizza", "chat_id": None})
+    assert found.count == len(found.messages) == 1 and tools.use(ctx, "get_stats", {"metric": "time_of_day"}).count > 0
+
+
+def test_filters(five):
+    n = lambda **where: filters.select_messages(five, **where).count()
+    some = five.first()
+    assert n() == 5 == n(chat_id="", sender=None) and n(chat_id="other") == 0
+    assert n(sender=some.sender_name) == five.where(five.sender_name == some.sender_name).count()
+    assert n(date_from=some.local_date, date_to=some.local_date) == five.where(five.local_date == some.local_date).count()
+    assert n(types=()) == 0 and n(exclude=("text",)) == 0 and n(types=("text",), exclude=("text",)) == 5
 
 
 def test_registered_emoji_frequency_reads_its_table(spark, tmp_path):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import operator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -9,17 +10,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..schema import DEFAULT_EXCLUDE
 
 
-def condition(chat_id: str | None = None, date_from: str | None = None, date_to: str | None = None, sender: str | None = None, types: tuple[str, ...] | None = None, exclude: tuple[str, ...] = DEFAULT_EXCLUDE) -> Column:
-    """All given predicates; empty strings are none. `types` wins over `exclude`."""
-    parts = [F.lit(True)]
-    for value, column in ((chat_id, F.col("chat_id") == chat_id), (date_from, F.col("local_date") >= date_from), (date_to, F.col("local_date") <= date_to), (sender, F.col("sender_name") == sender)):
-        if value:
-            parts.append(column)
-    if types is not None:
-        parts.append(F.col("msg_type").isin(*types))
-    elif exclude:
-        parts.append(~F.col("msg_type").isin(*exclude))
-    return reduce(lambda a, b: a & b, parts)
+#: The column and the comparison that each argument stands for.
+CLAUSES = {"chat_id": ("chat_id", "eq"), "date_from": ("local_date", "ge"), "date_to": ("local_date", "le"), "sender": ("sender_name", "eq"), "kind": ("kind", "eq")}
+
+
+def given(**values: str | None) -> Column:
+    """All clauses that have a value; empty strings are none."""
+    parts = (getattr(operator, by)(F.col(column), values[name]) for name, (column, by) in CLAUSES.items() if values.get(name))
+    return reduce(operator.and_, parts, F.lit(True))
+
+
+def condition(types: tuple[str, ...] | None = None, exclude: tuple[str, ...] = DEFAULT_EXCLUDE, chat_id: str | None = None, date_from: str | None = None, date_to: str | None = None, sender: str | None = None) -> Column:
+    """The given clauses and the message types; `types` wins over `exclude`."""
+    wanted = F.col("msg_type").isin(*types) if types is not None else ~F.col("msg_type").isin(*exclude) if exclude else F.lit(True)
+    return given(chat_id=chat_id, date_from=date_from, date_to=date_to, sender=sender) & wanted
 
 
 def select_messages(messages: DataFrame, **options) -> DataFrame:
@@ -28,7 +32,4 @@ def select_messages(messages: DataFrame, **options) -> DataFrame:
 
 def vectors(df: DataFrame, kind: str | None = None, chat_id: str | None = None, sender: str | None = None, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
     """Metadata filter of a vector collection."""
-    for value, column in ((kind, F.col("kind") == kind), (chat_id, F.col("chat_id") == chat_id), (sender, F.col("sender_name") == sender), (date_from, F.col("local_date") >= date_from), (date_to, F.col("local_date") <= date_to)):
-        if value:
-            df = df.where(column)
-    return df
+    return df.where(given(kind=kind, chat_id=chat_id, sender=sender, date_from=date_from, date_to=date_to))

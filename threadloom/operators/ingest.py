@@ -9,10 +9,13 @@ from ..sources import export
 
 
 def stable_ids(rows: DataFrame) -> DataFrame:
-    """Add `id`: 16 hex digits of a SHA-1 over chat, time, sender, text and raw lines; the n-th repeat gets `-n`."""
+    """Add `id`: 16 hex digits of a SHA-1 over chat, time, sender, text and raw lines; the n-th repeat within a file gets `-n`.
+
+    So what two overlapping files both hold has the same ids in both.
+    """
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     base = F.substring(F.sha1(F.concat_ws("|", *map(blank, ("chat_id", "ts", "sender_name", "text", "raw_line")))), 1, 16)
-    again = F.row_number().over(Window.partitionBy("base").orderBy("source_file", "line_no")) - 1
+    again = F.row_number().over(Window.partitionBy("source_file", "base").orderBy("line_no")) - 1
     return rows.withColumn("base", base).withColumn("again", again).withColumn("id", F.when(F.col("again") > 0, F.concat_ws("-", "base", "again")).otherwise(F.col("base"))).drop("base", "again")
 
 
@@ -24,14 +27,16 @@ def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
 def ingest(spark: SparkSession, path: str, store: str, timezone: str = "Europe/Rome", chat_id: str | None = None, force: bool = False, ingested_at: int = 0) -> DataFrame:
     """Add the files at `path` to the tables in `store`; returns a ledger row per new file.
 
-    Files whose name and bytes are in the ledger are skipped unless forced; messages whose id is known are left out.
+    Files whose name and bytes are in the ledger are skipped unless forced; messages whose id is known are left out, and those that several files hold come in once.
     """
     lines = export.read_lines(spark, path)
     runs, known = read_or_empty(spark, f"{store}/runs", RUNS), read_or_empty(spark, f"{store}/messages", MESSAGES)
     if not force:
         lines = lines.join(runs.where("status = 'done'").select("source_file", "file_hash"), ["source_file", "file_hash"], "left_anti")
     parsed = stable_ids(export.parse(lines, timezone, chat_id)).withColumn("ingested_at", F.lit(ingested_at).cast("long"))
-    new = parsed.join(known.select("id"), "id", "left_anti")
+    # A message that several files hold is stored once, from the first of them.
+    first = Window.partitionBy("id").orderBy("source_file", "line_no")
+    new = parsed.join(known.select("id"), "id", "left_anti").withColumn("copy", F.row_number().over(first)).where("copy = 1").drop("copy")
     counts = parsed.groupBy("source_file", "file_hash", "chat_id").agg(F.sum("n_lines").alias("total_lines"), F.count("*").alias("parsed"), F.sum(F.col("n_lines") - 1).alias("continuations"))
     added = new.groupBy("source_file").agg(F.count("*").alias("inserted"))
     ledger = counts.join(added, "source_file", "left").withColumn("inserted", F.coalesce("inserted", F.lit(0))).withColumn("skipped", F.col("parsed") - F.col("inserted")).withColumn("status", F.lit("done"))

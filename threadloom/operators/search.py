@@ -54,6 +54,7 @@ def extract_ids(answer: str | None) -> list[str]:
 def resolve(messages: DataFrame, ids: list[str]) -> DataFrame:
     """Citations in the order of ids; ids that are no message are not found."""
     wanted = messages.sparkSession.createDataFrame([*enumerate(ids)], "position int, id string")
-    rows = messages.select("id", F.col("local_date").alias("date"), F.col("local_time").alias("time"), "sender_name", "text", F.lit(True).alias("hit"))
-    blank = lambda c: F.coalesce(c, F.lit(""))
-    return rows.join(F.broadcast(wanted), "id", "right").select("position", "id", blank("date").alias("date"), blank("time").alias("time"), blank("sender_name").alias("sender"), blank("text").alias("text"), F.coalesce("hit", F.lit(False)).alias("found")).orderBy("position")
+    # The ids, a few, go to the messages; what comes back is as small, so no message is shuffled.
+    hits = messages.join(F.broadcast(wanted.select("id").distinct()), "id", "left_semi").select("id", F.col("local_date").alias("date"), F.col("local_time").alias("time"), F.col("sender_name").alias("sender"), "text", F.lit(True).alias("hit"))
+    blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return wanted.join(hits, "id", "left").select("position", "id", *map(blank, ("date", "time", "sender", "text")), F.coalesce("hit", F.lit(False)).alias("found")).orderBy("position")

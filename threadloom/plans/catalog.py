@@ -7,11 +7,12 @@ document is a message in the chat of its source.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as fx
-from ..operators import phrases, search, stats, topics, vectors, windows
+from ..operators import filters, ingest, phrases, search, stats, topics, vectors, windows
 from ..schema import STOP_WORDS
+from ..sources import export
 
 GAP = 1800
 
@@ -50,6 +51,15 @@ def embedded(spark: SparkSession, d: str) -> DataFrame:
     return e.join(t, "vec_id").select(F.col("vec_id").alias("id"), F.col("label").cast("int").alias("label"), "embedding", "text", day.alias("start_date"))
 
 
+def exported(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations written out as the numbered lines of export files, one file each."""
+    c = _read(spark, d, "conversations").withColumn("day", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("conv_id") % 90).cast("int")))
+    header = F.concat(F.date_format("day", "dd/MM/yyyy"), F.lit(", 00:"), F.lpad((F.col("turn") % 60).cast("string"), 2, "0"), F.lit(" - "), "role", F.lit(": "))
+    lines = c.select(F.lpad(F.col("conv_id").cast("string"), 8, "0").alias("source_file"), "turn", F.posexplode(F.split(F.concat(header, F.coalesce("text", F.lit(""))), "\n")).alias("pos", "value"))
+    number = F.row_number().over(Window.partitionBy("source_file").orderBy("turn", "pos")).cast("long")
+    return lines.select("source_file", F.lit("").alias("file_hash"), number.alias("line_no"), "value")
+
+
 def rounded(df: DataFrame, *names: str, to: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(n, to) for n in names})
 
@@ -164,14 +174,43 @@ def list_chats(spark, d):
 @query("""WITH b AS (SELECT role || '|' || text AS k, conv_id, turn, substr(sha1(role || '|' || text), 1, 16) AS base FROM conversations), n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY conv_id, turn) - 1 AS again FROM b)
  SELECT conv_id, turn, CASE WHEN again > 0 THEN base || '-' || again ELSE base END AS id FROM n""")
 def stable_ids(spark, d):
-    from pyspark.sql import Window
-
     base = F.substring(F.sha1(F.concat_ws("|", "role", "text")), 1, 16)
     rows = _read(spark, d, "conversations").withColumn("base", base)
     again = F.row_number().over(Window.partitionBy("base").orderBy("conv_id", "turn")) - 1
     return rows.withColumn("again", again).select("conv_id", "turn", F.when(F.col("again") > 0, F.concat_ws("-", "base", "again")).otherwise(F.col("base")).alias("id"))
 
 
+EX = """l AS (SELECT lpad(CAST(conv_id AS VARCHAR), 8, '0') AS chat_id, turn, role, coalesce(text, '') AS text, DATE '2024-01-01' + CAST(conv_id % 90 AS INTEGER) AS day, lpad(CAST(turn % 60 AS VARCHAR), 2, '0') AS minute,
+ CAST(len(string_split(coalesce(text, ''), chr(10))) AS BIGINT) AS n_lines FROM conversations),
+ ex AS (SELECT chat_id, role AS sender_name, CAST(1 + coalesce(sum(n_lines) OVER (PARTITION BY chat_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS line_no, n_lines, CAST(epoch(day) AS BIGINT) + 60 * (turn % 60) AS ts,
+ strftime(day, '%Y-%m-%d') AS local_date, '00:' || minute AS local_time, text, strftime(day, '%d/%m/%Y') || ', 00:' || minute || ' - ' || role || ': ' || text AS raw_line FROM l)"""
+
+
+@query(f"WITH {EX} SELECT chat_id, sender_name, line_no, n_lines, ts, local_date, local_time, text, raw_line, 'text' AS msg_type FROM ex")
+def export_messages(spark, d):
+    """Parsing, folding and classification of exported lines."""
+    found = export.parse(exported(spark, d), "UTC")
+    return found.select("chat_id", "sender_name", "line_no", "n_lines", "ts", "local_date", "local_time", "text", "raw_line", "msg_type")
+
+
+@query(f"""WITH {EX}, b AS (SELECT chat_id, line_no, substr(sha1(concat_ws('|', chat_id, ts, sender_name, text, raw_line)), 1, 16) AS base FROM ex), n AS (SELECT *, row_number() OVER (PARTITION BY chat_id, base ORDER BY line_no) - 1 AS again FROM b)
+ SELECT chat_id, line_no, CASE WHEN again > 0 THEN base || '-' || again ELSE base END AS id FROM n""")
+def export_ids(spark, d):
+    return ingest.stable_ids(export.parse(exported(spark, d), "UTC")).select("chat_id", "line_no", "id")
+
+
+@query(f"WITH {EX} SELECT chat_id AS source_file, CAST(sum(n_lines) AS BIGINT) AS lines, count(*) AS messages, CAST(sum(n_lines - 1) AS BIGINT) AS continuations FROM ex GROUP BY chat_id")
+def export_counts(spark, d):
+    return export.parse_stats(export.parse(exported(spark, d), "UTC"))
+
+
+@query("""SELECT id, chat_id, local_date, sender_name FROM (SELECT CAST(event_id AS VARCHAR) AS id, event_type AS chat_id, strftime(ts, '%Y-%m-%d') AS local_date, CAST(user_id AS VARCHAR) AS sender_name FROM events)
+ WHERE chat_id = 'click' AND local_date >= '2024-01-05' AND local_date <= '2024-01-20' AND sender_name <> ''""")
+def filtered_messages(spark, d):
+    """The common filter by chat and dates."""
+    return filters.select_messages(events(spark, d), chat_id="click", date_from="2024-01-05", date_to="2024-01-20").select("id", "chat_id", "local_date", "sender_name")
+
+
 @query("SELECT doc_id, sha1(text) AS text_hash FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents o WHERE o.doc_id = d.doc_id AND o.doc_id % 3 = 0)")
 def pending_documents(spark, d):
     rows = documents(spark, d).select("id", F.lit("message").alias("kind"), "text", "seq")
