@@ -42,8 +42,8 @@ LEAST = 0.75
 BLANKS = " \t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0               　"
 #: Lines of up to SHORT shingles band by pairs of ranges, those from FEW to LONG by triples, those from LONG * LEAST on by sixes: similar lines have one kind in common.
 FEW, SHORT, LONG = 6, 16, 128
-#: Longs of a sketch: 512 bits, each flipped by the shingles whose hash names it.
-SKETCH = 8
+#: Longs of a sketch: 2048 bits, each flipped by the shingles whose hash names it.
+SKETCH = 32
 RANGES = 64
 #: Ranges in which the signatures of two similar lines may differ, if both have at least LONG shingles.
 DIFFER = 26
