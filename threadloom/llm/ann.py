@@ -11,8 +11,13 @@ the neighbouring blocks of all curves merge and are ranked by exact products.
 
 The window is a share of the table: vectors without structure have no smaller
 neighbourhood that holds nine tenths of the nearest. Where vectors cluster, a
-smaller share does. Equal keys are told apart by a hash of the id, so a vector
-that many rows share is spread over blocks.
+smaller share does. Equal keys are told apart by a hash of curve and id, so a
+vector that many rows share is spread over blocks, and every curve shows a query
+another part of them.
+
+Null ids and unsound vectors take no part (see vectors.usable); equal rows count
+once, an empty table gives no rows, and other columns are ignored. An id that
+stands for several different vectors is compared by one of them.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import materialise, slices
 from .vectors import best, matrix, usable
 
-DIMS, BITS, BLOCK, QUERY_ROWS = 4, 8, 8192, 4096
+DIMS, BITS, BLOCK, QUERY_ROWS = 4, 8, 1024, 4096
 
 
 def hilbert(grid: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -103,7 +108,7 @@ def search(df: DataFrame, is_query: Column, k: int = 20, curves: int = 8, window
     points = data.withColumn("asks", is_query).mapInArrow(keyed, "curve int, key long, kind int, vec_id long, vector array<double>")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tie = F.xxhash64("vec_id")
-    ordered = points.withColumn("tie", tie).repartitionByRange(parts, "curve", "key", "tie").sortWithinPartitions("curve", "key", "tie", "kind")
+    ordered = points.withColumn("tie", F.xxhash64("curve", "vec_id")).repartitionByRange(parts, "curve", "key", "tie").sortWithinPartitions("curve", "key", "tie", "kind")
 
     def number(batches):
         """Position of each row among the partition's vectors of its curve."""

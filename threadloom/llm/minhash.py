@@ -12,7 +12,7 @@ group meets many of its members over its bands. Only members that are not
 in one component after that are paired, and of these pairs those are left out
 that cannot be similar: by the triangle inequality of the Jaccard distance, or
 because too many shingles of one are in no other of these documents, or because
-counts of their shingles by bins of a hash differ too much. So no pair
+parity sketches of their sets differ in too many bits. So no pair
 of a bucket goes unexamined, and a large group of near copies costs few pairs. Pairs whose signatures agree in under half of the
 minima are not similar (the chance of such a miss is below 1e-10); the others
 are confirmed on the full sets of both texts. Alternating large-star and
@@ -20,7 +20,8 @@ small-star give the components.
 
 Texts without words (null, empty, white space) have size 0 and no links. A row
 with a null doc_id has a null component and is kept. Rows that repeat a doc_id
-share its component. Other columns are ignored.
+share its component. Other columns are ignored, whatever their names. A text of
+any length is taken whole, in slices of bounded bytes; an empty table gives no rows.
 """
 
 from __future__ import annotations

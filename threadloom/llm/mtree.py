@@ -9,7 +9,11 @@ region of its nearest pivot. Its k-th score then bounds all other regions: only
 those whose covering radius reaches it are searched. Within a tree, nodes come
 in the order of their least possible distance; stored parent distances exclude
 entries by the triangle inequality before any distance is computed. Scores are
-integers and exact; the distances that only exclude have a margin.
+integers and exact up to 2**53; the distances that only exclude have a margin.
+
+Null ids and unsound vectors take no part (see vectors.usable); equal rows count
+once, ties go to the smaller id, an empty table gives no rows, and other columns
+are ignored.
 """
 
 from __future__ import annotations

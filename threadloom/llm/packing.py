@@ -10,7 +10,8 @@ window is full. The last, partly filled window of a task is cut into lengths
 that are powers of two, which need no padding.
 
 A null text counts as empty; an empty document has the end token alone.
-Repeated rows are packed each for itself. The order of rows within a task is
+Repeated rows are packed each for itself, an empty table gives no pieces, and
+columns other than doc_id and text are ignored. The order of rows within a task is
 the table's, so a repeated task gives the same result.
 """
 

@@ -8,7 +8,8 @@ after the exchange each target permutes again. A shard is a run of targets of
 nearly equal size, so that no task holds a whole shard.
 
 Rows are taken as they come: nulls and repeated rows are rows like others, and
-an empty table gives an empty result. The draw depends on the seed, the table
+an empty table gives an empty result. By the law `rows` equal texts may lie in
+different shards. Columns named `shard` or `slot` are replaced. The draw depends on the seed, the table
 and its split into partitions only.
 """
 
