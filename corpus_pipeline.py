@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir), is written as Parquet and read again as
 the next one's docs. All but the last return the columns of documents.
+
+In every stage a null or empty text is a row like others (quality and language
+judge it as the operators say; it has no lines and no near copies), a row with a
+null doc_id is never a copy of another, repeated rows meet the same decision, an
+empty table gives an empty one, texts of any length are taken whole, and further
+columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
