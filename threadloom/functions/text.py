@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from unicodedata import normalize
+
 from pyspark.sql import Column, functions as F
 
 from ..schema import STOP_WORDS
@@ -9,7 +11,9 @@ from ..schema import STOP_WORDS
 # Letters of a word, and what is a link.
 WORD = "[0-9a-zàáèéìíòóùúâêîôûäëïöüç']+"
 URL = r"https?://\S+|www\.\S+"
-ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+#: Lower-case Latin letters with marks, and the letters without: those that decompose into a letter from a to z and combining marks.
+ACCENTED = "".join(c for c in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))) if c == c.lower() and "a" <= normalize("NFD", c)[0] <= "z")
+PLAIN = "".join(normalize("NFD", c)[0] for c in ACCENTED)
 #: One emoji: a flag, a keycap, or a pictograph with modifiers and joined pictographs.
 _ONE = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{2B00}-\x{2BFF}\x{2300}-\x{23FF}\x{1F000}-\x{1F2FF}][\x{FE0F}\x{1F3FB}-\x{1F3FF}]*"
 EMOJI = rf"([\x{{1F1E6}}-\x{{1F1FF}}]{{2}}|[0-9#*]\x{{FE0F}}?\x{{20E3}}|{_ONE}(?:\x{{200D}}{_ONE})*)"
@@ -37,7 +41,7 @@ def topic_words(text: Column) -> Column:
 
 def search_tokens(text: Column) -> Column:
     """Tokens of the full-text index: runs of letters and digits, without case and accents."""
-    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED, PLAIN)
+    plain = F.regexp_replace(F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED, PLAIN), r"[\x{300}-\x{36F}]", "")
     return F.filter(F.split(plain, r"[^\p{L}\p{N}\p{Co}]+"), lambda t: t != "")
 
 

@@ -24,13 +24,11 @@ def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs) else spark.createDataFrame([], schema)
 
 
-def ingest(spark: SparkSession, path: str, store: str, timezone: str = "Europe/Rome", chat_id: str | None = None, force: bool = False, ingested_at: int = 0) -> DataFrame:
-    """Add the files at `path` to the tables in `store`; returns a ledger row per new file.
+def additions(lines: DataFrame, runs: DataFrame, known: DataFrame, timezone: str = "Europe/Rome", chat_id: str | None = None, force: bool = False, ingested_at: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The messages that numbered lines add to the known ones, and a ledger row per file.
 
     Files whose name and bytes are in the ledger are skipped unless forced; messages whose id is known are left out, and those that several files hold come in once.
     """
-    lines = export.read_lines(spark, path)
-    runs, known = read_or_empty(spark, f"{store}/runs", RUNS), read_or_empty(spark, f"{store}/messages", MESSAGES)
     if not force:
         lines = lines.join(runs.where("status = 'done'").select("source_file", "file_hash"), ["source_file", "file_hash"], "left_anti")
     parsed = stable_ids(export.parse(lines, timezone, chat_id)).withColumn("ingested_at", F.lit(ingested_at).cast("long"))
@@ -40,9 +38,16 @@ def ingest(spark: SparkSession, path: str, store: str, timezone: str = "Europe/R
     counts = parsed.groupBy("source_file", "file_hash", "chat_id").agg(F.sum("n_lines").alias("total_lines"), F.count("*").alias("parsed"), F.sum(F.col("n_lines") - 1).alias("continuations"))
     added = new.groupBy("source_file").agg(F.count("*").alias("inserted"))
     ledger = counts.join(added, "source_file", "left").withColumn("inserted", F.coalesce("inserted", F.lit(0))).withColumn("skipped", F.col("parsed") - F.col("inserted")).withColumn("status", F.lit("done"))
-    rows = [r.asDict() for r in ledger.select(*RUNS.fieldNames()).collect()]  # a row per file
+    return new.select(*MESSAGES.fieldNames()), ledger.select(*RUNS.fieldNames())
+
+
+def ingest(spark: SparkSession, path: str, store: str, timezone: str = "Europe/Rome", chat_id: str | None = None, force: bool = False, ingested_at: int = 0) -> DataFrame:
+    """Add the files at `path` to the tables in `store`, by the rules of `additions`; returns a ledger row per new file."""
+    runs, known = read_or_empty(spark, f"{store}/runs", RUNS), read_or_empty(spark, f"{store}/messages", MESSAGES)
+    new, ledger = additions(export.read_lines(spark, path), runs, known, timezone, chat_id, force, ingested_at)
+    rows = [r.asDict() for r in ledger.collect()]  # a row per file
     if rows:
-        new.select(*MESSAGES.fieldNames()).write.mode("append").parquet(f"{store}/messages")
+        new.write.mode("append").parquet(f"{store}/messages")
         done = spark.createDataFrame(rows, RUNS)
         done.write.mode("append").parquet(f"{store}/runs")
         return done

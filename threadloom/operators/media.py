@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -12,6 +13,10 @@ from ..functions import text as fx
 from ..schema import TRANSCRIPTS
 
 
+#: Most files that are read by their names.
+LISTED = 10_000
+
+
 class TranscriptionEngine(Protocol):
     name: str
     model: str
@@ -26,6 +31,11 @@ def media_index(spark: SparkSession, roots: list[str]) -> DataFrame:
     return files.withColumn("name", fx.unquote(F.element_at(F.split("path", "/"), -1))).groupBy("name").agg(F.min("path").alias("path"))
 
 
+def _pattern(path: str) -> str:
+    """A path as a pattern that matches it alone."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
 def voice_messages(messages: DataFrame, chat_id: str | None = None) -> DataFrame:
     rows = messages.where("msg_type = 'voice'")
     return rows.where(F.col("chat_id") == chat_id) if chat_id else rows
@@ -44,8 +54,6 @@ def transcribe_pending(messages: DataFrame, transcripts: DataFrame, roots: list[
     blank = found.select("message_id", "status", F.col("path").alias("media_file"), *(F.lit(None).cast(t).alias(n) for n, t in (("text", "string"), ("language", "string"), ("duration_sec", "double"))))
     if dry_run:
         return blank
-    contents = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([*dict.fromkeys(roots)]).select(F.col("path").alias("media_file"), "content")
-
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
@@ -56,7 +64,14 @@ def transcribe_pending(messages: DataFrame, transcripts: DataFrame, roots: list[
                     out.append((m, "failed", path, str(error), None, None))
             yield pd.DataFrame(out, columns=["message_id", "status", "media_file", "text", "language", "duration_sec"])
 
-    todo = blank.where("status = 'transcribed'").select("message_id", "media_file").join(contents, "media_file")
+    waiting = blank.where("status = 'transcribed'").select("message_id", "media_file")
+    wanted = [r.media_file for r in waiting.select("media_file").distinct().limit(LISTED + 1).collect()]
+    if not wanted:
+        return blank
+    # Only files that are waiting are read, while their names can be listed; beyond that all files under the roots are read and joined.
+    source = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    contents = source.load([_pattern(p) for p in wanted] if len(wanted) <= LISTED else [*dict.fromkeys(roots)]).select(F.col("path").alias("media_file"), "content")
+    todo = waiting.join(contents, "media_file")
     return blank.where("status <> 'transcribed'").unionByName(todo.mapInPandas(run, blank.schema))
 
 
