@@ -132,5 +132,5 @@ def senders(messages: DataFrame) -> DataFrame:
 
 
 def samples(messages: DataFrame, per_type: int = 3) -> DataFrame:
-    w = Window.partitionBy("msg_type").orderBy("seq")
+    w = Window.partitionBy("msg_type").orderBy("seq", "chat_id")
     return messages.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_type).select("msg_type", "n", "text")

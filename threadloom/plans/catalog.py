@@ -10,9 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as fx
-from ..operators import filters, ingest, phrases, search, stats, topics, vectors, windows
-from ..schema import STOP_WORDS
+from ..operators import filters, ingest, media, phrases, search, stats, topics, vectors, windows
+from ..schema import MESSAGES, RUNS, STOP_WORDS, TRANSCRIPTS
 from ..sources import export
+from ..streaming import incremental
+from . import tools
 
 GAP = 1800
 
@@ -60,6 +62,41 @@ def exported(spark: SparkSession, d: str) -> DataFrame:
     return lines.select("source_file", F.lit("").alias("file_hash"), number.alias("line_no"), "value")
 
 
+#: What events say as lines of an export, by event_id % 9; numbers 6 and 7 have no sender.
+BODIES = [
+    "{props}", "<Media omessi>", "IMG-20240101-WA0001.jpg (file allegato)", "PTT-20240101-WA0002.opus (file attached)", "This message was deleted",
+    "{props} <This message was edited>", "{notice}", "Missed voice call", "<posizione>",
+]
+
+
+def exported_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events written out as export lines of all kinds, a file per event type, with twelve-hour clocks; notices in the file `error` speak of a group."""
+    e = _read(spark, d, "events")
+    notice = F.when(F.col("event_type") == "error", "u0 created group x").otherwise("Messages are encrypted")
+    said = [F.replace(F.replace(F.lit(b), F.lit("{props}"), F.col("props")), F.lit("{notice}"), notice) for b in BODIES]
+    kind = F.col("event_id") % len(BODIES)
+    body = F.element_at(F.array(*said), (kind + 1).cast("int"))
+    sender = F.when(kind.isin(6, 7), "").otherwise(F.concat(F.lit("u"), (F.col("user_id") % 2).cast("string"), F.lit(": ")))
+    value = F.concat(F.date_format("ts", "dd/MM/yy, hh:mm:ss a"), F.lit(" - "), sender, body)
+    number = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")).cast("long")
+    return e.select(F.concat("event_type", F.lit(".txt")).alias("source_file"), F.lit("").alias("file_hash"), number.alias("line_no"), value.alias("value"))
+
+
+def mixed(spark: SparkSession, d: str) -> DataFrame:
+    """Messages of all types: the exported events, parsed in Rome's time and with ids."""
+    return ingest.stable_ids(export.parse(exported_events(spark, d), "Europe/Rome"))
+
+
+def overlapping(spark: SparkSession, d: str) -> DataFrame:
+    """Two exports of each conversation: one up to turn 3, and a later one from turn 2 on."""
+    c = _read(spark, d, "conversations").withColumn("day", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("conv_id") % 90).cast("int")))
+    header = F.concat(F.date_format("day", "dd/MM/yyyy"), F.lit(", 00:"), F.lpad((F.col("turn") % 60).cast("string"), 2, "0"), F.lit(" - "), "role", F.lit(": "))
+    of = F.explode(F.filter(F.array(F.when(F.col("turn") <= 3, "a"), F.when(F.col("turn") >= 2, "b")), lambda x: x.isNotNull()))
+    lines = c.withColumn("of", of).select(F.concat("of", F.lit("/"), F.lpad(F.col("conv_id").cast("string"), 8, "0"), F.lit(".txt")).alias("source_file"), "turn", F.posexplode(F.split(F.concat(header, F.coalesce("text", F.lit(""))), "\n")).alias("pos", "value"))
+    number = F.row_number().over(Window.partitionBy("source_file").orderBy("turn", "pos")).cast("long")
+    return lines.select("source_file", F.lit("").alias("file_hash"), number.alias("line_no"), "value")
+
+
 def rounded(df: DataFrame, *names: str, to: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(n, to) for n in names})
 
@@ -204,6 +241,139 @@ def export_counts(spark, d):
     return export.parse_stats(export.parse(exported(spark, d), "UTC"))
 
 
+MX = """mx AS (SELECT event_id, event_type AS chat_id, event_id % 9 AS k, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS line_no, CAST(floor(epoch(ts)) AS BIGINT) - 3600 AS ts, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts_local,
+ strftime(ts, '%Y-%m-%d') AS local_date, strftime(ts, '%H:%M') AS local_time, strftime(ts, '%d/%m/%y, %I:%M:%S %p') AS stamp, CASE WHEN event_id % 9 NOT IN (6, 7) THEN 'u' || user_id % 2 END AS sender_name,
+ ['text', 'media', 'image', 'voice', 'deleted', 'edited', 'system', 'call', 'location'][event_id % 9 + 1] AS msg_type, CASE event_id % 9 WHEN 2 THEN 'IMG-20240101-WA0001.jpg' WHEN 3 THEN 'PTT-20240101-WA0002.opus' END AS media_ref,
+ CASE event_id % 9 WHEN 0 THEN props WHEN 1 THEN '<Media omessi>' WHEN 2 THEN 'IMG-20240101-WA0001.jpg (file allegato)' WHEN 3 THEN 'PTT-20240101-WA0002.opus (file attached)' WHEN 4 THEN 'This message was deleted' WHEN 5 THEN props
+  WHEN 6 THEN CASE event_type WHEN 'error' THEN 'u0 created group x' ELSE 'Messages are encrypted' END WHEN 7 THEN 'Missed voice call' ELSE '<posizione>' END AS text FROM events),
+ mi AS (SELECT *, substr(sha1(concat_ws('|', chat_id, ts, coalesce(sender_name, ''), text, raw_line)), 1, 16) AS base FROM (SELECT *, stamp || ' - ' || coalesce(sender_name || ': ', '') || text || CASE k WHEN 5 THEN ' <This message was edited>' ELSE '' END AS raw_line FROM mx)),
+ mm AS (SELECT *, CASE WHEN again > 0 THEN base || '-' || again ELSE base END AS id FROM (SELECT *, row_number() OVER (PARTITION BY chat_id, base ORDER BY line_no) - 1 AS again FROM mi))"""
+
+
+@query(f"WITH {MX} SELECT id, chat_id, line_no, ts, ts_local, local_date, local_time, sender_name, msg_type, media_ref, text, raw_line FROM mm")
+def export_kinds(spark, d):
+    """All kinds of lines: twelve-hour clocks, local time to UTC, types, senders, attachments, ids."""
+    return mixed(spark, d).select("id", "chat_id", "line_no", "ts", "ts_local", "local_date", "local_time", "sender_name", "msg_type", "media_ref", "text", "raw_line")
+
+
+@query(f"WITH {MX} SELECT msg_type, count(*) AS count FROM mx GROUP BY 1")
+def kinds_breakdown(spark, d):
+    return stats.type_breakdown(mixed(spark, d))
+
+
+@query(f"WITH {MX} SELECT msg_type, CAST(n AS INTEGER) AS n, text FROM (SELECT *, row_number() OVER (PARTITION BY msg_type ORDER BY line_no, chat_id) AS n FROM mx) WHERE n <= 3")
+def kinds_preview(spark, d):
+    return stats.samples(mixed(spark, d))
+
+
+@query(f"WITH {MX} SELECT sender_name, count(*) AS messages, round(count(*) / sum(count(*)) OVER (), 6) AS share, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(len(regexp_extract_all(text, '(?i)[0-9a-zàáèéìíòóùúâêîôûäëïöüç'']+'))) AS BIGINT) AS words, round(sum(length(text)) / count(*), 6) AS avg_chars, min(local_date) AS first_date, max(local_date) AS last_date FROM mx WHERE msg_type IN ('text', 'edited') AND sender_name IS NOT NULL GROUP BY sender_name")
+def kinds_per_sender(spark, d):
+    """Only text and edited messages count."""
+    return rounded(stats.per_sender(mixed(spark, d)), "share", "avg_chars")
+
+
+@query(f"WITH {MX} SELECT strftime(CAST(local_date AS DATE), '%Y-W%W') AS period, count(*) AS count FROM mx WHERE msg_type <> 'system' AND chat_id = 'click' AND sender_name = 'u1' GROUP BY 1")
+def kinds_volume(spark, d):
+    """No system rows, one chat, one sender."""
+    return stats.volume(mixed(spark, d), "week", chat_id="click", sender="u1")
+
+
+@query(f"WITH {MX} SELECT chat_id, count(*) AS messages, count(DISTINCT sender_name) > 2 OR bool_or(msg_type = 'system' AND contains(lower(text), 'group')) AS is_group, min(ts) AS first_ts, max(ts) AS last_ts, strftime(make_timestamp((min(ts) + 3600) * 1000000), '%Y-%m-%d') AS first, strftime(make_timestamp((max(ts) + 3600) * 1000000), '%Y-%m-%d') AS last FROM mx GROUP BY chat_id")
+def kinds_chats(spark, d):
+    """A chat of two is a group where a system notice says so."""
+    return stats.list_chats(mixed(spark, d), "Europe/Rome")
+
+
+@query(f"WITH {MX} SELECT chat_id || '::' || sender_name AS sender_id, chat_id, sender_name AS name, sender_name AS cut, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS messages FROM mx WHERE sender_name IS NOT NULL GROUP BY chat_id, sender_name")
+def kinds_senders(spark, d):
+    return stats.senders(mixed(spark, d)).withColumn("cut", fx.sender_name(F.col("sender_id")))
+
+
+@query(f"WITH {MX} SELECT CAST(hour(CAST(ts_local AS TIMESTAMP)) AS INTEGER) AS hour, count(*) AS count FROM mx WHERE msg_type <> 'system' GROUP BY 1")
+def kinds_hours(spark, d):
+    return stats.hours(mixed(spark, d))
+
+
+@query(f"WITH {MX} SELECT id, msg_type, CASE WHEN msg_type = 'voice' AND line_no % 2 = 0 THEN 'said ' || id ELSE text END AS text FROM mm")
+def transcripts_effective(spark, d):
+    """Transcripts of every second voice note lie over the messages' texts."""
+    m = mixed(spark, d)
+    said = media.voice_messages(m).where("line_no % 2 = 0").select(F.col("id").alias("message_id"), F.lit("transcribed").alias("status"), F.col("media_ref").alias("media_file"), F.lit("it").alias("language"), F.lit(1.0).alias("duration_sec"), F.concat(F.lit("said "), "id").alias("text"))
+
+    class Engine:
+        name, model = "table", "none"
+
+    return media.effective(m, media.store(spark.createDataFrame([], TRANSCRIPTS), said, Engine)).select("id", "msg_type", "text")
+
+
+OV = """ov AS (SELECT f || '/' || lpad(CAST(conv_id AS VARCHAR), 8, '0') || '.txt' AS source_file, lpad(CAST(conv_id AS VARCHAR), 8, '0') AS chat_id, f, turn, CAST(len(string_split(coalesce(text, ''), chr(10))) AS BIGINT) AS n_lines
+ FROM conversations, (VALUES ('a'), ('b')) v(f) WHERE CASE f WHEN 'a' THEN turn <= 3 ELSE turn >= 2 END)"""
+
+
+@query(f"WITH {OV} SELECT source_file, chat_id, CAST(sum(n_lines) AS BIGINT) AS total_lines, count(*) AS parsed, count(*) FILTER (f = 'a' OR turn > 3) AS inserted, count(*) FILTER (f = 'b' AND turn <= 3) AS skipped, CAST(sum(n_lines - 1) AS BIGINT) AS continuations, 'done' AS status FROM ov GROUP BY source_file, chat_id")
+def load_overlapping(spark, d):
+    """The ledger of a load of two overlapping exports of each conversation: what both hold comes in once."""
+    return ingest.additions(overlapping(spark, d), spark.createDataFrame([], RUNS), spark.createDataFrame([], MESSAGES), "UTC")[1].drop("file_hash")
+
+
+@query(f"WITH {OV} SELECT source_file, chat_id, count(*) AS messages FROM ov WHERE f = 'b' AND turn > 3 GROUP BY source_file, chat_id")
+def load_later(spark, d):
+    """A later load: the earlier exports are in the ledger and their messages known, so only what is new in the later ones comes in."""
+    lines = overlapping(spark, d)
+    early = lines.where("source_file like 'a/%'")
+    known, runs = ingest.additions(early, spark.createDataFrame([], RUNS), spark.createDataFrame([], MESSAGES), "UTC")
+    return ingest.additions(lines, runs, known, "UTC")[0].groupBy("source_file", "chat_id").agg(F.count("*").alias("messages"))
+
+
+@query("""WITH q AS (SELECT list_transform(range(64), lambda i: CASE WHEN i % 3 = 0 THEN 1.0 ELSE -0.5 END) AS q), e AS (SELECT CAST(vec_id AS VARCHAR) AS id, strftime(DATE '2024-01-01' + CAST(vec_id % 300 AS INTEGER), '%Y-%m-%d') AS date, coalesce(lang, '') AS sender, trim(text, ' ') AS t,
+ round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 4) AS score, source FROM embeddings JOIN documents ON vec_id = doc_id, q)
+ SELECT id, date, sender, CASE WHEN length(t) > 400 THEN substr(t, 1, 399) || '…' ELSE t END AS text, score FROM e WHERE sender = 'en' AND date >= '2024-02-01' AND date <= '2024-09-30' ORDER BY score DESC, id LIMIT 12""")
+def semantic_search(spark, d):
+    """Search of an index with a filter by sender and days; texts are clipped."""
+
+    class Fixed:
+        model = "m"
+
+        def embed(self, texts):
+            return [[-0.5 if i % 3 else 1.0 for i in range(64)] for _ in texts]
+
+    rows = embedded(spark, d).join(_read(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", "source"), "id")
+    index = rows.select(F.col("id").cast("string").alias("id"), F.lit("message").alias("kind"), "text", F.lit("m").alias("model"), "embedding", F.col("source").alias("chat_id"), F.col("lang").alias("sender_name"), F.col("start_date").alias("local_date"))
+    return vectors.semantic_search(index, Fixed(), "any", 12, sender="en", date_from="2024-02-01", date_to="2024-09-30")
+
+
+@query(
+    f"""WITH e AS (SELECT CAST(label AS INTEGER) AS label, vec_id, strftime(DATE '2024-01-01' + CAST(vec_id % 300 AS INTEGER), '%Y-%m-%d') AS day, text FROM embeddings JOIN documents ON vec_id = doc_id), w AS (SELECT label, unnest({WORDS}) AS term FROM e), t AS (SELECT label, term, count(*) AS tf FROM w WHERE length(term) >= 3 AND term NOT IN {STOP} GROUP BY label, term),
+ x AS (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM t), m AS (SELECT sum(tf) / count(DISTINCT label) AS mean FROM t), r AS (SELECT label, term, row_number() OVER (PARTITION BY label ORDER BY tf * ln(1 + mean / df) DESC, term DESC) AS rank FROM x, m),
+ b AS (SELECT label, string_agg(term, ' ' ORDER BY rank) AS terms FROM r WHERE rank <= 5 GROUP BY label), n AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id % 7, vec_id) AS r FROM e),
+ g AS (SELECT label, string_agg(CAST(vec_id AS VARCHAR), ' ' ORDER BY r) AS examples FROM n WHERE r <= 3 GROUP BY label)
+ SELECT label, count(*) AS size, min(day) AS start_date, max(day) AS end_date, any_value(terms) AS terms, any_value(examples) AS examples FROM e JOIN b USING (label) JOIN g USING (label) GROUP BY label"""
+)
+def topic_summary(spark, d):
+    """Size, days, terms and nearest examples per cluster, with the tables' labels as clusters and vec_id % 7 as the distance to the centre."""
+    rows = embedded(spark, d).withColumn("to_centre", (F.col("id") % 7).cast("double"))
+    found = topics.summary(rows, 5)
+    return found.select("label", "size", "start_date", "end_date", F.array_join("terms", " ").alias("terms"), F.array_join(F.transform("examples", lambda x: x["id"].cast("string")), " ").alias("examples"))
+
+
+@query(SESSIONS + " SELECT chat_id, start_ts, end_ts, messages FROM s")
+def watermarked_sessions(spark, d):
+    """The sessions of a stream, over a table."""
+    return incremental.stream_sessions(events(spark, d), GAP)
+
+
+@query("SELECT event_type AS chat_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS count FROM events GROUP BY 1, 2")
+def watermarked_volume(spark, d):
+    return incremental.stream_volume(events(spark, d))
+
+
+@query("SELECT strftime(ts, '%Y-W%W') AS period, count(*) AS count FROM events WHERE event_type = 'click' GROUP BY 1")
+def tool_stats(spark, d):
+    """A report of the statistics tool, by name and JSON arguments."""
+    got = tools.use(tools.ToolContext(events(spark, d)), "get_stats", {"metric": "volume", "bucket": "week", "chat_id": "click"})
+    return spark.createDataFrame([(r["period"], r["count"]) for r in got.value["rows"]], "period string, count long")
+
+
 @query("""SELECT id, chat_id, local_date, sender_name FROM (SELECT CAST(event_id AS VARCHAR) AS id, event_type AS chat_id, strftime(ts, '%Y-%m-%d') AS local_date, CAST(user_id AS VARCHAR) AS sender_name FROM events)
  WHERE chat_id = 'click' AND local_date >= '2024-01-05' AND local_date <= '2024-01-20' AND sender_name <> ''""")
 def filtered_messages(spark, d):
