@@ -9,6 +9,8 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as fx
@@ -101,8 +103,9 @@ def index_windows(messages: DataFrame, index: DataFrame, embedder: Embedder, col
 
 def mean_pool(rows: DataFrame, *by: str) -> DataFrame:
     """Sum of `embedding` per group, scaled to length one; a zero vector stays."""
-    sums = rows.select(*by, F.posexplode("embedding").alias("k", "v")).groupBy(*by, "k").agg(F.sum(F.col("v").cast("double")).alias("v"))
-    whole = sums.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias("e"))
+    # One buffer of sums per group and task, instead of a row per number.
+    sums = Summarizer.sum(array_to_vector(F.col("embedding").cast("array<double>")))
+    whole = rows.where("size(embedding) > 0").groupBy(*by).agg(vector_to_array(sums).alias("e"))
     norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x))
     return whole.select(*by, F.transform("e", lambda x: F.when(norm > 0, x / norm).otherwise(x).cast("float")).alias("embedding"))
 
