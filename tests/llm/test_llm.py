@@ -1,5 +1,6 @@
 
 import numpy as np
+import pytest
 import public_tokenizers
 from pyspark.sql import functions as F, types as T
 from tokenizers import Tokenizer
@@ -67,6 +68,24 @@ def test_shards_are_even_and_slots_gapless(spark):
     assert sharding.shards(docs(spark, []), 8).count() == 0
 
 
+@pytest.mark.parametrize("groups", [4096, 2])
+def test_shuffle_is_uniform(spark, monkeypatch, groups):
+    """Over many seeds every source partition is spread evenly over shards, and the first rows over the slots."""
+    monkeypatch.setattr(sharding, "MAX_GROUPS", groups)
+    d = spark.range(0, 60, 1, 5).withColumnRenamed("id", "doc_id")
+    met, slot_sum, runs = np.zeros((5, 4)), np.zeros(60), 12
+    for seed in range(runs):
+        rows = sharding.shards(d, 4, seed=seed).collect()
+        assert sorted(r.doc_id for r in rows) == [*range(60)] and sorted((r.shard, r.slot) for r in rows) == [(s, k) for s in range(4) for k in range(15)]
+        for r in rows:
+            met[r.doc_id // 12, r.shard] += 1
+            slot_sum[r.doc_id] += r.slot
+    # Hypergeometric cells of mean 3 a run: variance 12 * 1/4 * 3/4 * 48/59 a run.
+    chi = ((met - 3 * runs) ** 2).sum() / (runs * 12 * 3 / 16 * 48 / 59)
+    assert 2 < chi < 45  # about 20 cells, 12 of them free
+    assert abs(slot_sum.reshape(5, 12).mean(axis=1) / runs - 7).max() < 1.5
+
+
 def test_large_hypergeometric_draws():
     rng = np.random.default_rng(0)
     x = np.array([sharding.hypergeometric(rng, 3 * 10**9, 7 * 10**9, 10**6) for _ in range(300)])

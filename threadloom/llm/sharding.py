@@ -5,7 +5,9 @@ draws how many of its rows each target receives: a multivariate hypergeometric
 row over what the targets can still take, which is the law of a uniform
 permutation. Each partition permutes its rows and deals them out accordingly;
 after the exchange each target permutes again. A shard is a run of targets of
-nearly equal size, so that no task holds a whole shard.
+nearly equal size, so that no task holds a whole shard. Of very many partitions,
+neighbours form groups: the driver draws the groups' rows, and a task draws
+those of the partitions of its group.
 
 Rows are taken as they come: nulls and repeated rows are rows like others, and
 an empty table gives an empty result. By the law `rows` equal texts may lie in
@@ -23,6 +25,8 @@ from .common import materialise
 
 #: Most cells of the communication matrix (driver memory), and rows that a target should hold.
 MAX_CELLS, TARGET_ROWS = 1 << 24, 2048
+#: Most rows of the matrix that the driver draws: beyond so many partitions, neighbours form groups, and the tasks draw the partitions of a group.
+MAX_GROUPS = 4096
 NUMPY_LIMIT = 10**9
 
 
@@ -75,6 +79,17 @@ def multivariate(rng: np.random.Generator, room: np.ndarray, draws: int) -> np.n
     return out
 
 
+def row_of(at: int, counts: np.ndarray, row: np.ndarray, seed: list[int]) -> np.ndarray:
+    """The row of the partition at place `at` of a group: the group's row, dealt to its partitions in turn by draws that every task repeats alike."""
+    rng, left = np.random.default_rng(seed), row.copy()
+    for k, n in enumerate(counts[:-1].tolist()):
+        own = multivariate(rng, left, n)
+        if k == at:
+            return own
+        left -= own
+    return left
+
+
 def shards(df: DataFrame, n_shards: int = 8, seed: int = 0, size: Column | None = None) -> DataFrame:
     """Add `shard` (0 to n_shards - 1; row counts at most one apart) and `slot` (gapless from 0, a uniform order).
 
@@ -86,25 +101,31 @@ def shards(df: DataFrame, n_shards: int = 8, seed: int = 0, size: Column | None
     counts = {r[0]: r[1] for r in df.groupBy(pid).count().collect()}  # one row per partition
     total, parts = sum(counts.values()), sorted(counts)
     sizes = [total * (s + 1) // n_shards - total * s // n_shards for s in range(n_shards)]
-    per = max(1, min(-(-max(sizes) // TARGET_ROWS), MAX_CELLS // (n_shards * max(1, len(parts)))))
+    n_groups = min(len(parts), MAX_GROUPS)
+    per = max(1, min(-(-max(sizes) // TARGET_ROWS), MAX_CELLS // (n_shards * max(1, n_groups))))
     room = np.array([s * (k + 1) // per - s * k // per for s in sizes for k in range(per)], np.int64)
-    rng, rows, left = np.random.default_rng(seed), {}, room.copy()
-    for p in parts:
-        rows[p] = multivariate(rng, left, counts[p])
-        left -= rows[p]
-    deal = {p: (np.flatnonzero(r).astype(np.int32), r[r > 0]) for p, r in rows.items()}
-    sent = df.sparkSession.sparkContext.broadcast(deal)  # at most MAX_CELLS counts
+    part_of, rows_of = np.array(parts, np.int64), np.array([counts[p] for p in parts], np.int64)
+    ends = [len(parts) * (k + 1) // n_groups for k in range(n_groups)]
+    rng, left, deal = np.random.default_rng(seed), room.copy(), []
+    for begin, end in zip([0, *ends], ends):
+        row = multivariate(rng, left, int(rows_of[begin:end].sum()))
+        left -= row
+        deal.append((begin, end, np.flatnonzero(row).astype(np.int32), row[row > 0]))
+    sent = df.sparkSession.sparkContext.broadcast((part_of, rows_of, ends, deal))  # at most MAX_CELLS counts, and two numbers per partition
     names = [*own, pid, at]
 
     def run(batches):
         # Files keep a partition's rows together, but a task may hold several partitions, or parts of one.
         order: dict[int, np.ndarray] = {}
+        part_of, rows_of, ends, deal = sent.value
         for batch in batches:
             p, a = batch.column(pid).to_numpy(), batch.column(at).to_numpy() & ((1 << 33) - 1)
             out = np.empty(len(p), np.int32)
             for q in np.unique(p).tolist():
                 if q not in order:
-                    ids, n = sent.value[q]
+                    place = int(np.searchsorted(part_of, q))
+                    begin, end, ids, row = deal[int(np.searchsorted(ends, place, side="right"))]
+                    n = row_of(place - begin, rows_of[begin:end], row, [seed, begin, end])
                     order[q] = np.random.default_rng([seed, q]).permutation(np.repeat(ids, n))
                 mine = p == q
                 out[mine] = order[q][a[mine]]
@@ -112,13 +133,13 @@ def shards(df: DataFrame, n_shards: int = 8, seed: int = 0, size: Column | None
 
     dealt = df.select(*names).mapInArrow(run, T.StructType([*df.select(*names).schema.fields, T.StructField(target, T.IntegerType())]))
     shard = (F.col(target) / per).cast("int")
-    ends = F.array(*(F.lit(s).cast("long") for s in sizes))
+    shard_sizes = F.array(*(F.lit(s).cast("long") for s in sizes))
     base = F.expr(f"__n * (__target % {per}) div {per}")
     w = Window.partitionBy(target).orderBy(F.xxhash64(F.lit(seed), F.col(at)), F.col(at))
     return (
         dealt.withColumn("__rn", F.row_number().over(w))
         .withColumn("shard", shard)
-        .withColumn("__n", F.element_at(ends, F.col("shard") + 1))
+        .withColumn("__n", F.element_at(shard_sizes, F.col("shard") + 1))
         .withColumn("slot", base + F.col("__rn") - 1)
         .select(*[c for c in own if c not in ("shard", "slot")], "shard", "slot")
     )
