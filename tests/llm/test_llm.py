@@ -225,6 +225,25 @@ def test_vector_searches_equal_brute_force(spark):
     assert ann.search(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0 == mtree.top_k(df.where("false"), F.col("vec_id") % 50 == 0).count()
 
 
+def test_tree_search_over_many_regions(spark, monkeypatch):
+    """Pivots that grow with the table, parts with several lots of queries, distances in small steps, every row a query."""
+    monkeypatch.setattr(mtree, "QUERY_ROWS", 7)
+    monkeypatch.setattr(mtree, "PIVOT_ROWS", 16)
+    monkeypatch.setattr(mtree, "PIVOTS", (2, 64))
+    monkeypatch.setattr(mtree, "PIVOT_NUMBERS", 200)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 8)) + rng.integers(0, 3, size=(400, 1)) * 2
+    x[100:130] = x[100]
+    got = {}
+    for r in mtree.top_k(embeddings(spark, x.tolist()), F.col("vec_id") >= 0, k=3, region_rows=10).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    y = np.floor(x * 256).astype(int)
+    for q in range(400):
+        s = (y @ y[q]).astype(float)
+        s[q] = -np.inf
+        assert sorted(got[q]) == [(n, int(k), int(s[k])) for n, k in enumerate(np.lexsort((np.arange(400), -s))[:3], 1)]
+
+
 def test_licences(spark):
     files = spark.createDataFrame(
         [("a/LICENSE", "Released under the MIT License."), ("a/b/c.py", "code"), ("a/x/LICENSE.txt", "Licensed under the Apache License, Version 2.0."), ("a/x/y/d.py", None), ("e.py", "code"), ("f.py", "# Licensed under CC BY-NC 4.0.\ncode"), (None, "code")],

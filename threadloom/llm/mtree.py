@@ -1,9 +1,10 @@
 """Exact top-k by inner product: best-first search of M-trees.
 
 Vectors of integers are lifted onto a sphere, so that the largest inner product
-is the smallest Euclidean distance, a metric. A bounded set of pivots splits the
-table into regions; a region beyond `region_rows` is split evenly by a hash.
-Each part is an M-tree of paged nodes: routing objects with covering radii and
+is the smallest Euclidean distance, a metric. Pivots, whose number grows with
+the table up to a bound, split it into regions; a region beyond `region_rows` is
+split evenly by a hash. Each part is an M-tree, built in a task for every 4,096
+queries that ask for the part: paged nodes, routing objects with covering radii and
 with the distance to their parent's routing object. A query first searches the
 region of its nearest pivot. Its k-th score then bounds all other regions: only
 those whose covering radius reaches it are searched. Within a tree, nodes come
@@ -28,6 +29,8 @@ from .common import materialise
 from .vectors import matrix, usable
 
 PAGE, FANOUT, QUERY_ROWS = 256, 16, 4096
+#: Pivots: one per so many rows, at least the first and at most the second number, and at most so many numbers in all, which the driver and every task hold.
+PIVOT_ROWS, PIVOTS, PIVOT_NUMBERS = 2048, (32, 16384), 1 << 22
 MARGIN = 1e-6
 
 
@@ -100,13 +103,15 @@ def search(root: Node, q: np.ndarray, q_lift: float, reach2: float, own: int, k:
     return [(s, -i) for s, i in sorted(found, key=lambda x: (-x[0], -x[1]))]
 
 
-def top_k(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256, pivots: int = 32, region_rows: int = 4096, seed: int = 0) -> DataFrame:
+def top_k(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256, pivots: int | None = None, region_rows: int = 4096, seed: int = 0) -> DataFrame:
     """query_id, rank, vec_id, score of the k highest inner products of floor(scale * x); is_query is a condition on vec_id."""
     spark = df.sparkSession
     data = usable(df, zero=True).select("vec_id", F.transform("vector", lambda x: F.floor(x * scale).cast("double")).alias("vector"))
     norm2 = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
-    top = data.agg(F.max(norm2).alias("m"), F.count(F.when(is_query, 1)).alias("q")).first()
+    top = data.agg(F.max(norm2).alias("m"), F.count("*").alias("n"), F.max(F.size("vector")).alias("dim")).first()
     m2 = float(top.m or 0.0)
+    if pivots is None:
+        pivots = max(PIVOTS[0], min(PIVOTS[1], top.n // PIVOT_ROWS, PIVOT_NUMBERS // max(1, top.dim or 1)))
     picked = data.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(pivots).collect()  # bounded
     if not picked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -119,8 +124,15 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256, pivots:
 
     lifted = lambda x: np.sqrt(np.maximum(m2 - (x * x).sum(axis=1), 0))
 
-    def assign(batches):
+    def parts_of(batches):
+        """The batches in parts whose distances to all pivots are PIVOT_NUMBERS at most."""
+        step = max(1, PIVOT_NUMBERS // len(centres))
         for b in batches:
+            for at in range(0, len(b), step):
+                yield b.iloc[at : at + step]
+
+    def assign(batches):
+        for b in parts_of(batches):
             x = matrix(b["vector"])
             if len(x):
                 d = to_centres(x, lifted(x))
@@ -129,10 +141,11 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256, pivots:
 
     placed = materialise(data.mapInPandas(assign, "vec_id long, vector array<double>, region int, d double"), "regions")
     sizes = {r.region: (r.n, r.radius) for r in placed.groupBy("region").agg(F.count("*").alias("n"), F.max("d").alias("radius")).collect()}  # a row per pivot
-    parts = {r: -(-n // region_rows) for r, (n, _) in sizes.items()}
-    subs = max(1, -(-top.q // QUERY_ROWS))
-    n_parts = F.element_at(F.create_map(*(F.lit(v) for kv in parts.items() for v in kv)), F.col("region"))
-    rows = placed.withColumn("part", F.pmod(F.xxhash64("vec_id"), n_parts).cast("int")).select("region", "part", F.explode(F.sequence(F.lit(0), F.lit(subs - 1))).alias("sub"), "vec_id", "vector")
+    parts, radii = np.zeros(len(centres), np.int64), np.full(len(centres), -np.inf)
+    for r, (n, radius) in sizes.items():
+        parts[r], radii[r] = -(-n // region_rows), radius
+    n_parts = spark.createDataFrame([(r, int(parts[r])) for r in sizes], "region int, parts int")  # at most a row per pivot
+    cells = placed.join(F.broadcast(n_parts), "region").select("region", F.pmod(F.xxhash64("vec_id"), "parts").cast("int").alias("part"), "vec_id", "vector")
 
     def compare(key, rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -146,7 +159,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256, pivots:
 
     def routed(batches, home: bool):
         """Regions that a query must search: first its home; then those whose covering radius its k-th score leaves in reach."""
-        for b in batches:
+        for b in parts_of(batches):
             x = matrix(b["vector"])
             if not len(x):
                 continue
@@ -158,15 +171,19 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256, pivots:
                 else:
                     least = float(b["least"].iloc[i])
                     limit = np.inf if least == -np.inf else np.sqrt(max(0.0, float(x[i] @ x[i]) + m2 - 2 * least)) * (1 + MARGIN) + MARGIN
-                    regions = [r for r, (_, radius) in sizes.items() if r != int(home_of[i]) and to[i, r] - radius <= limit]
-                lists.append([(r, p) for r in regions for p in range(parts.get(r, 0))])
+                    regions = [r for r in np.flatnonzero(to[i] - radii <= limit).tolist() if r != int(home_of[i])]
+                lists.append([(r, p) for r in regions for p in range(int(parts[r]))])
             yield pd.DataFrame({"query_id": b["query_id"], "vector": b["vector"], "least": b["least"], "at": [[{"region": r, "part": p} for r, p in own] for own in lists]})
 
     shape = "query_id long, vector array<double>, least double, at array<struct<region:int,part:int>>"
 
     def run(asks: DataFrame, home: bool) -> DataFrame:
         sent = asks.mapInPandas(lambda b: routed(b, home), shape).select("query_id", "vector", "least", F.explode("at").alias("at"))
-        sent = sent.select("query_id", "vector", "least", "at.region", "at.part", F.pmod(F.xxhash64("query_id"), F.lit(subs)).cast("int").alias("sub"))
+        sent = sent.select("query_id", "vector", "least", "at.region", "at.part")
+        # Only parts that are asked for are sent on, and again for every QUERY_ROWS of the queries that ask for them.
+        asked = materialise(sent.groupBy("region", "part").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("subs")), "asked")
+        rows = cells.join(asked, ["region", "part"]).select("region", "part", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"), "vec_id", "vector")
+        sent = sent.join(asked, ["region", "part"]).select("region", "part", F.pmod(F.xxhash64("query_id"), "subs").cast("int").alias("sub"), "query_id", "vector", "least")
         keys = ["region", "part", "sub"]
         return rows.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(compare, "query_id long, vec_id long, score long")
 
