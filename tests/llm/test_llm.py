@@ -225,6 +225,28 @@ def test_vector_searches_equal_brute_force(spark):
     assert ann.search(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0 == mtree.top_k(df.where("false"), F.col("vec_id") % 50 == 0).count()
 
 
+def test_neighbours_among_equal_vectors(spark, monkeypatch):
+    """A third of all rows share a vector, over many blocks: their neighbours are the smallest ids, and all queries together keep their recall."""
+    monkeypatch.setattr(ann, "BLOCK", 64)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1500, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[::3] = x[0]
+    by = {}
+    for r in ann.search(embeddings(spark, x.tolist()), F.col("vec_id") % 20 == 0, k=20).collect():
+        by.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    group, hits = np.arange(0, 1500, 3), 0
+    for q in range(0, 1500, 20):
+        found = [v for _, v in sorted(by[q])]
+        s = np.round(x @ x[q], 9)
+        s[q] = -np.inf
+        want = np.lexsort((np.arange(1500), -s))[:20].tolist()
+        if q % 3 == 0:
+            assert found == [g for g in group.tolist() if g != q][:20] == want
+        hits += len({*found} & {*want})
+    assert hits / (75 * 20) >= 0.9
+
+
 def test_tree_search_over_many_regions(spark, monkeypatch):
     """Pivots that grow with the table, parts with several lots of queries, distances in small steps, every row a query."""
     monkeypatch.setattr(mtree, "QUERY_ROWS", 7)

@@ -11,9 +11,10 @@ the neighbouring blocks of all curves merge and are ranked by exact products.
 
 The window is a share of the table: vectors without structure have no smaller
 neighbourhood that holds nine tenths of the nearest. Where vectors cluster, a
-smaller share does. Equal keys are told apart by a hash of curve and id, so a
-vector that many rows share is spread over blocks, and every curve shows a query
-another part of them.
+smaller share does. Of rows with equal vectors only the k + 1 smallest ids are
+candidates: they precede all others in every result, also where one of them is
+the query itself, so ties are exact however many rows share a vector. Equal keys
+are told apart by a hash of curve and id.
 
 Null ids and unsound vectors take no part (see vectors.usable); equal rows count
 once, an empty table gives no rows, and other columns are ignored. An id that
@@ -86,8 +87,8 @@ def search(df: DataFrame, is_query: Column, k: int = 20, curves: int = 8, window
     spark = df.sparkSession
     data = usable(df, zero=False)
     norm = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
-    top = data.agg(F.max(norm).alias("m"), F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q")).first()
-    n, radius = top.n, float(np.sqrt(top.m or 1.0))
+    top = data.agg(F.max(norm).alias("m"), F.count(F.when(is_query, 1)).alias("q")).first()
+    radius = float(np.sqrt(top.m or 1.0))
     rows = data.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(sample).collect()  # bounded
     lift = lambda x: np.column_stack([x, np.sqrt(np.maximum(radius**2 - (x * x).sum(axis=1), 0))])
     sample_x = np.array([r.vector for r in rows]) if rows else np.zeros((1, 1))
@@ -98,14 +99,19 @@ def search(df: DataFrame, is_query: Column, k: int = 20, curves: int = 8, window
             for part in slices(batch, 1024):
                 x = np.array(part.column("vector").to_pylist())
                 asks = part.column("asks").to_numpy(zero_copy_only=False)
-                for kind, pick, lifted in ((0, np.arange(len(x)), lift(x)), (1, np.flatnonzero(asks), np.column_stack([x * (radius / np.sqrt((x * x).sum(axis=1)))[:, None], np.zeros(len(x))])[asks])):
+                scaled = lambda x: np.column_stack([x * (radius / np.sqrt((x * x).sum(axis=1)))[:, None], np.zeros(len(x))])
+                for kind, lifted_by, pick in ((0, lift, np.flatnonzero(~asks)), (1, scaled, np.flatnonzero(asks))):
                     if not len(pick):
                         continue
+                    lifted = lifted_by(x[pick])
                     keys = model.value.keys(lifted)
                     for c in range(curves):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pick), c, np.int32)), pa.array(keys[:, c]), pa.array(np.full(len(pick), kind, np.int32)), part.column("vec_id").take(pa.array(pick)), part.column("vector").take(pa.array(pick))], names=["curve", "key", "kind", "vec_id", "vector"])
 
-    points = data.withColumn("asks", is_query).mapInArrow(keyed, "curve int, key long, kind int, vec_id long, vector array<double>")
+    equal = Window.partitionBy("vector").orderBy("vec_id")
+    first = data.withColumn("place", F.row_number().over(equal)).where(F.col("place") <= k + 1)
+    both = first.select("vec_id", "vector", F.lit(False).alias("asks")).union(data.where(is_query).select("vec_id", "vector", F.lit(True)))
+    points = both.mapInArrow(keyed, "curve int, key long, kind int, vec_id long, vector array<double>")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tie = F.xxhash64("vec_id")
     ordered = points.withColumn("tie", F.xxhash64("curve", "vec_id")).repartitionByRange(parts, "curve", "key", "tie").sortWithinPartitions("curve", "key", "tie", "kind")
@@ -135,6 +141,7 @@ def search(df: DataFrame, is_query: Column, k: int = 20, curves: int = 8, window
             done = max(done, base[c, p] + sum(r["count"] for r in counts if (r.curve, r.pid) == (c, p)))
     offsets = spark.createDataFrame([(c, p, b) for (c, p), b in base.items()], "curve int, pid int, base long")
     ranked = placed.join(F.broadcast(offsets), ["curve", "pid"]).withColumn("r", F.col("base") + F.col("at"))
+    n = before.get(0, 0)  # candidates
     half, last = int(np.ceil(window * n)), max(0, (n - 1) // BLOCK)
     subs = max(1, int(np.ceil(top.q * min(1.0, (2 * half + BLOCK) / max(n, 1)) / QUERY_ROWS)))
     sub = F.pmod(F.col("tie"), F.lit(subs)).cast("int")
