@@ -51,6 +51,27 @@ def test_packing_covers_every_id_once(spark):
     assert packing.pack(docs(spark, []), WORDS).count() == 0
 
 
+def test_small_tasks_close_windows_by_the_rule(spark):
+    rng = np.random.default_rng(5)
+    rows = docs(spark, [prose(rng, n) for n in rng.integers(1, 120, 4000)])
+
+    def closed(tasks):
+        packed = packing.pack(rows.repartition(tasks), WORDS, 2048)
+        return {r.closed_by: r.windows for r in packed.groupBy("closed_by").agg(F.countDistinct("sequence_id").alias("windows")).collect()}
+
+    one, many = closed(1), closed(24)
+    assert many["rule"] >= 0.9 * one["rule"] and many["rule"] >= 2 * many["pour"], (one, many)
+
+
+def test_blocks_meet_every_pair_of_a_bucket_once(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK", 7)
+    members = spark.range(50).select((F.col("id") % 3 == 0).cast("int").alias("bucket"), F.col("id").alias("x"))
+    u, v = (members.select("bucket", F.col("x").alias(k)) for k in "ab")
+    u, v = graph.in_blocks(u, v, members)
+    pairs = [(r.a, r.b) for r in u.join(v, ["bucket", "row", "column"]).collect()]
+    assert len(pairs) == len(set(pairs)) == 17**2 + 33**2
+
+
 def test_sum_of_squares_rule():
     state = packing.SumOfSquares(10, 100)
     for k, n in enumerate([4, 4, 2]):

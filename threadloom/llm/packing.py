@@ -12,7 +12,7 @@ that are powers of two, which need no padding.
 A null text counts as empty; an empty document has the end token alone.
 Repeated rows are packed each for itself, an empty table gives no pieces, and
 columns other than doc_id and text are ignored. The order of rows within a task is
-the table's, so a repeated task gives the same result.
+the table's, and the second round sorts by it, so a repeated task gives the same result.
 """
 
 from __future__ import annotations
@@ -24,10 +24,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from .bpe import RankBpe
-from .common import slices
+from .common import materialise, slices
 
 #: Pre-tokenizer pattern of the lower-casing vocabulary (fixed value).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -81,7 +81,7 @@ class SumOfSquares:
         self.size, self.max_open = size, max_open
         self.count = np.zeros(size + 1, np.int64)
         self.open: list[list[list]] = [[] for _ in range(size)]
-        self.n_open = 0
+        self.n_open = self.pours = 0
 
     def level(self, length: int) -> int:
         """The level whose growth by `length` adds least to the sum of squares; 0 is a new window. Ties go to the fullest."""
@@ -132,6 +132,7 @@ class SumOfSquares:
                             now, left = [], self.size
             self.open[level] = []
         self.count[:], self.n_open = 0, 0
+        self.pours += 1
         return full, now
 
 
@@ -153,51 +154,81 @@ def powers_of_two(window: list) -> list[list]:
     return out
 
 
-SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+FIELDS = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("closed_by", pa.string()), ("task", pa.int64())]
+#: A piece of an open window has no sequence_id; its offset is then its place among those of its task.
+SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, closed_by string, task long"
+#: Sequence ids: the number of the task or group above SHIFT bits, those of groups from GROUPS on.
+SHIFT, GROUPS = 36, 1 << 26
 
 
-def pack(df: DataFrame, path: str, size: int = 2048, end_id: int = 1, max_open: int = 1024) -> DataFrame:
-    """One row per piece of (doc_id, text): ids are its token ids as little-endian 32-bit integers."""
+class Pieces:
+    """Rows of windows that leave; a piece is ((document, its tokens), start, ids)."""
+
+    def __init__(self, first: int, task: int):
+        self.next, self.task, self.rows = first << SHIFT, task, []
+
+    def close(self, windows: list[list], by: str) -> None:
+        for window in windows:
+            offset = 0
+            for (doc, total), start, ids in window:
+                self.rows.append((doc, start, len(ids) // 4, ids, total, self.next, offset, by, self.task))
+                offset += len(ids) // 4
+            self.next += 1
+
+    def leave_open(self, pieces: list) -> None:
+        for at, ((doc, total), start, ids) in enumerate(pieces):
+            self.rows.append((doc, start, len(ids) // 4, ids, total, None, at, None, self.task))
+
+    def flush(self) -> pa.RecordBatch:
+        cols = [*zip(*self.rows)] or [()] * len(FIELDS)
+        self.rows = []
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(cols, FIELDS)], names=[name for name, _ in FIELDS])
 
-    def run(batches):
-        enc, state, out = encoder(path), SumOfSquares(size, max_open), []
-        first, end, n = TaskContext.get().partitionId() << 36, np.array([end_id], "<u4").tobytes(), 0
-        lengths: dict[int, int] = {}
-
-        def emit(windows):
-            nonlocal n
-            for window in windows:
-                offset = 0
-                for (doc, total), start, ids in window:
-                    out.append((doc, start, len(ids) // 4, ids, total, first + n, offset))
-                    offset += len(ids) // 4
-                n += 1
-
-        def flush():
-            cols = [*zip(*out)] or [()] * 7
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
-            out.clear()
-            return batch
 
+def place(state: SumOfSquares, out: Pieces, piece, length: int) -> None:
+    """Place a piece by the rule. A window is closed by it unless the array was poured."""
+    poured = state.pours
+    full = state.place(piece, length)
+    out.close(full, "rule" if state.pours == poured else "pour")
+
+
+def pack(df: DataFrame, path: str, size: int = 2048, end_id: int = 1, max_open: int = 1024, fan_in: int = 32) -> DataFrame:
+    """One row per piece of (doc_id, text): ids are its token ids as little-endian 32-bit integers."""
+
+    def by_task(batches):
+        task = TaskContext.get().partitionId()
+        enc, state, out = encoder(path), SumOfSquares(size, max_open), Pieces(task, task)
+        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for part in slices(batch):
                 for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
                     ids = enc.packed(text) + end
-                    key, total = (doc, len(ids) // 4), len(ids) // 4
-                    at = 0
+                    total = len(ids) // 4
+                    key, at = (doc, total), 0
                     while total - at >= size:
-                        emit([[(key, at, ids[4 * at : 4 * (at + size)])]])
+                        out.close([[(key, at, ids[4 * at : 4 * (at + size)])]], "document")
                         at += size
-                        if len(out) >= 1024:
-                            yield flush()
+                        if len(out.rows) >= 1024:
+                            yield out.flush()
                     if at < total:
-                        emit(state.place((key, at, ids[4 * at :]), total - at))
-                if len(out) >= 1024:
-                    yield flush()
+                        place(state, out, (key, at, ids[4 * at :]), total - at)
+                if len(out.rows) >= 1024:
+                    yield out.flush()
+        out.leave_open([piece for level in state.open for window in level for piece in window])
+        yield out.flush()
+
+    def by_group(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        state, out = SumOfSquares(size, max_open), Pieces(GROUPS + key[0].as_py(), -1)
+        table = table.sort_by([("task", "ascending"), ("offset", "ascending")])
+        for doc, start, ids, total in zip(*(table.column(c).to_pylist() for c in ("doc_id", "start", "ids", "doc_tokens"))):
+            place(state, out, ((doc, total), start, ids), len(ids) // 4)
         full, rest = state.pour()
-        emit(full)
-        emit(powers_of_two(rest))
-        yield flush()
-
-    return df.select("doc_id", "text").mapInArrow(run, SCHEMA)
+        out.close(full + powers_of_two(rest), "pour")
+        return pa.Table.from_batches([out.flush()])
+
+    # Stored, so that texts are encoded once for both rounds; a task's open pieces are the last of its file.
+    first = materialise(df.select("doc_id", "text").mapInArrow(by_task, SCHEMA), "pieces")
+    groups = -(-((first.agg(F.max("task")).first()[0] or 0) + 1) // fan_in)
+    left = first.where("sequence_id is null").select("*", (F.col("task") % groups).alias("group"))
+    rest = left.groupBy("group").applyInArrow(by_group, SCHEMA)
+    return first.where("sequence_id is not null").union(rest).drop("task")
