@@ -120,6 +120,19 @@ def purest_leaders(members: DataFrame, own: DataFrame, least: float) -> DataFram
     return shared.select("bucket", "x", "n").join(lead, "bucket")
 
 
+#: Members of a bucket that one block holds; a task compares two blocks.
+BLOCK = 2048
+
+
+def in_blocks(u: DataFrame, v: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides (bucket, a, ...) and (bucket, b, ...) of a bucket's pairs with keys `row` and `column`: a member lies in one of
+    count / BLOCK blocks by its hash, and its copies meet every block of the other side, so that a large bucket is no one task's."""
+    blocks = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    u, v = (side.join(blocks, "bucket").withColumn("own", F.pmod(F.xxhash64(k), F.col("blocks")).cast("int")) for side, k in ((u, "a"), (v, "b")))
+    return u.withColumn("column", every).withColumnRenamed("own", "row").drop("blocks"), v.withColumn("row", every).withColumnRenamed("own", "column").drop("blocks")
+
+
 def open_pairs(members: DataFrame, own: DataFrame, sketches: DataFrame, least: float, carry: tuple[str, ...] = (), also: Column | None = None) -> DataFrame:
     """Distinct pairs (a, b) of a bucket that lie in different components and can reach a Jaccard similarity of `least`.
 
@@ -140,4 +153,5 @@ def open_pairs(members: DataFrame, own: DataFrame, sketches: DataFrame, least: f
     enough = common >= (F.col("na") + F.col("nb") - common) * least - 1e-9
     differ = F.aggregate(F.zip_with("sketcha", "sketchb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, k: t + k)
     near = F.coalesce(differ <= (F.col("na") + F.col("nb")) * ((1 - least) / (1 + least)) + 1e-9, F.lit(True))
-    return u.join(v, "bucket").where((F.col("a") < F.col("b")) & (F.col("componenta") != F.col("componentb")) & ~apart & enough & near & (F.lit(True) if also is None else also)).select("a", "b").distinct()
+    u, v = in_blocks(u, v, members)
+    return u.join(v, ["bucket", "row", "column"]).where((F.col("a") < F.col("b")) & (F.col("componenta") != F.col("componentb")) & ~apart & enough & near & (F.lit(True) if also is None else also)).select("a", "b").distinct()
