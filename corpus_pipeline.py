@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from threadloom.llm import language, packing, quality
-from threadloom.llm.common import materialise, table
+from threadloom.llm.common import discard, materialise, table
 from threadloom.llm.queries import tokenizer_path
 
 
@@ -73,5 +73,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = materialise(stage(spark, docs, sf_dir), f"stage{k}")
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), f"stage{k}")
+        if k:  # the first stage reads the given table
+            discard(before)
     return docs
