@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from threadloom.functions import text as fx
 from threadloom.operators import filters, phrases, search, stats, topics, vectors, windows
 from threadloom.plans import agent, tools
 
@@ -24,6 +25,15 @@ def five(spark):
     return messages(spark, [(0, "A", "ciao bello"), (60, "B", "ciao!"), (120, "A", "😀😀 http://x.y/bello"), (100000, "B", "pizza domani sera"), (100060, "A", "vediamo")]).cache()
 
 
+def test_durations_and_bars(spark):
+    rows = spark.createDataFrame([(0.4,), (59.0,), (60.0,), (75.0,), (3599.0,), (7230.0,), (90000.0,), (None,)], "s double")
+    shown = rows.select(fx.human_seconds(F.col("s")).alias("h"), fx.clock(F.col("s")).alias("c"), fx.bar(F.col("s"), F.lit(120.0), 4).alias("b")).collect()
+    assert [r.h for r in shown] == ["0s", "59s", "1.0m", "1.3m", "60.0m", "2.0h", "1.0d", None]
+    assert [r.c for r in shown] == ["0s", "59s", "1m00s", "1m15s", "59m59s", "2h00m", "25h00m", None]
+    assert [r.b for r in shown[:4]] == ["", "██", "██", "██"]
+    assert rows.select(fx.bar(F.lit(3), F.lit(0)).alias("b")).first().b == ""
+
+
 def test_per_sender(five):
     rows = stats.per_sender(five).collect()
     assert [(r.sender_name, r.messages) for r in rows] == [("A", 3), ("B", 2)] and rows[0].share == pytest.approx(0.6)

@@ -60,6 +60,31 @@ def clip(text: Column, most: int = 400) -> Column:
     return F.when(F.length(t) > most, F.concat(F.substring(t, 1, most - 1), F.lit("…"))).otherwise(t)
 
 
+def human_seconds(seconds: Column) -> Column:
+    """A duration in its largest unit, to a tenth from minutes on; ties go up: 12s, 1.5m, 2.0h, 3.3d."""
+
+    def tenths(unit: int, sign: str) -> Column:
+        n = F.floor((seconds * 20 + unit) / (2 * unit))
+        return F.concat(F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"), F.lit(sign))
+
+    whole = F.concat(F.floor(seconds + 0.5).cast("string"), F.lit("s"))
+    return F.when(seconds < 60, whole).when(seconds < 3600, tenths(60, "m")).when(seconds < 86400, tenths(3600, "h")).otherwise(tenths(86400, "d"))
+
+
+def clock(seconds: Column) -> Column:
+    """A duration as two neighbouring units: 12s, 1m05s, 2h03m."""
+    n = F.floor(seconds)
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    minutes = F.concat(F.floor(n / 60).cast("string"), F.lit("m"), two(n % 60), F.lit("s"))
+    hours = F.concat(F.floor(n / 3600).cast("string"), F.lit("h"), two(F.floor(n / 60) % 60), F.lit("m"))
+    return F.when(n < 60, F.concat(n.cast("string"), F.lit("s"))).when(n < 3600, minutes).otherwise(hours)
+
+
+def bar(value: Column, most: Column, width: int = 24) -> Column:
+    """A bar of full blocks, `width` of them for `most`; empty where `most` is not above 0."""
+    return F.when(most > 0, F.repeat(F.lit("█"), F.bround(value / most * width).cast("int"))).otherwise("")
+
+
 def week_of_year(day: Column) -> Column:
     """Weeks begin on Mondays; the days before the first one are week 00."""
     return F.lpad(F.floor((F.dayofyear(day) + 6 - F.weekday(day)) / 7).cast("string"), 2, "0")

@@ -23,6 +23,15 @@ def per_sender(messages: DataFrame, **where) -> DataFrame:
     return by.join(F.broadcast(total)).select("sender_name", "messages", (F.col("messages") / F.col("total")).alias("share"), "chars", "words", (F.col("chars") / F.col("messages")).alias("avg_chars"), "first_date", "last_date").orderBy(F.desc("messages"), "sender_name")
 
 
+def spans(messages: DataFrame, **where) -> DataFrame:
+    """Per name: messages, and as text the time from its first to its last one and a bar beside the busiest name's."""
+    rows = select_messages(messages, types=TEXT_TYPES, **where).where("sender_name is not null")
+    by = rows.groupBy("sender_name").agg(F.count("*").alias("messages"), (F.max("ts") - F.min("ts")).alias("seconds"))
+    most = by.agg(F.max("messages").alias("most"))  # one row
+    shown = by.join(F.broadcast(most))
+    return shown.select("sender_name", "messages", fx.human_seconds(F.col("seconds")).alias("span"), fx.clock(F.col("seconds")).alias("clock"), fx.bar(F.col("messages"), F.col("most")).alias("bar"))
+
+
 def consecutive(messages: DataFrame, **where) -> DataFrame:
     """Every message with the gap and the sender before it in its chat."""
     rows = select_messages(messages, exclude=NOT_TALK, **where)

@@ -203,6 +203,18 @@ def top_senders(spark, d):
     return stats.top_senders(events(spark, d))
 
 
+@query(f"""WITH {EV}, b AS (SELECT sender_name, count(*) AS messages, max(ts) - min(ts) AS s FROM ev GROUP BY 1), t AS (SELECT *, max(messages) OVER () AS most FROM b)
+ SELECT sender_name, messages,
+ CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (((s * 20 + 60) // 120) // 10) || '.' || (((s * 20 + 60) // 120) % 10) || 'm'
+  WHEN s < 86400 THEN (((s * 20 + 3600) // 7200) // 10) || '.' || (((s * 20 + 3600) // 7200) % 10) || 'h'
+  ELSE (((s * 20 + 86400) // 172800) // 10) || '.' || (((s * 20 + 86400) // 172800) % 10) || 'd' END AS span,
+ CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') || 's'
+  ELSE (s // 3600) || 'h' || lpad(CAST((s // 60) % 60 AS VARCHAR), 2, '0') || 'm' END AS clock,
+ repeat('█', CAST(round_even(messages / most * 24, 0) AS INTEGER)) AS bar FROM t""")
+def spans(spark, d):
+    return stats.spans(events(spark, d))
+
+
 @query(f"""WITH {EV} SELECT chat_id, count(*) AS messages, count(DISTINCT sender_name) > 2 AS is_group, min(ts) AS first_ts, max(ts) AS last_ts, min(local_date) AS first, max(local_date) AS last FROM ev GROUP BY chat_id""")
 def list_chats(spark, d):
     return stats.list_chats(events(spark, d))
