@@ -6,7 +6,7 @@ levels of (number of windows partially filled to it) squared least, a new
 window being one of the choices. The numbers stand in an array by level. Each
 task packs the rows it reads. The pieces in windows that stay open at its end, a
 small remainder of a large task, go on to a second round: those of up to `fan_in`
-tasks (with 1,024 open windows each 128 MB at most) are placed by the same rule
+tasks (with 1,024 open windows each 256 MB at most) are placed by the same rule
 into one array, so that small tasks too fill their windows by it. What is open
 after that, or beyond `max_open` windows, is poured together and cut where a
 window is full. The last, partly filled window of a group is cut into lengths
@@ -196,7 +196,7 @@ def place(state: SumOfSquares, out: Pieces, piece, length: int) -> None:
     out.close(full, "rule" if state.pours == poured else "pour")
 
 
-def pack(df: DataFrame, path: str, size: int = 2048, end_id: int = 1, max_open: int = 1024, fan_in: int = 16) -> DataFrame:
+def pack(df: DataFrame, path: str, size: int = 2048, end_id: int = 1, max_open: int = 1024, fan_in: int = 32) -> DataFrame:
     """One row per piece of (doc_id, text): ids are its token ids as little-endian 32-bit integers."""
 
     def by_task(batches):
