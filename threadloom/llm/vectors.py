@@ -23,6 +23,17 @@ def usable(df: DataFrame, zero: bool) -> DataFrame:
     return ok.where(F.size("vector") == (common.d if common else 0))
 
 
+def sound(df: DataFrame, *carry: str) -> DataFrame:
+    """The columns `carry` and the vector as doubles of every row whose vector is there and holds no null or non-finite component.
+
+    Vectors whose length is not the most common one (the smaller of two) are left out; repeated rows stay.
+    """
+    bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    rows = df.where(F.col("embedding").isNotNull() & ~bad).select(*(F.col(c).cast("long").alias(c) if c == "vec_id" else c for c in carry), F.col("embedding").cast("array<double>").alias("vector"))
+    common = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    return rows.where(F.size("vector") == (common.d if common else 0))
+
+
 def matrix(column) -> np.ndarray:
     """Rows of a list column of pandas as a matrix."""
     return np.stack(column.to_numpy()) if len(column) else np.zeros((0, 0))
