@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as fx
-from ..operators import filters, ingest, media, phrases, search, stats, topics, vectors, windows
+from ..operators import filters, fulltext, ingest, media, phrases, search, stats, topics, vectors, windows
 from ..schema import MESSAGES, RUNS, STOP_WORDS, TRANSCRIPTS
 from ..sources import export
+from ..sources.store import shared_folder
 from ..streaming import incremental
 from . import tools
 
@@ -414,26 +415,74 @@ def ngrams_suppressed(spark, d):
     return phrases.repeated_phrases(conversations(spark, d), 3, top=None).drop("senders")
 
 
-@query(
-    f"""WITH t AS (SELECT doc_id, {FTS} AS k FROM documents), c AS (SELECT doc_id, len(k) AS len, len(list_filter(k, lambda x: x = 'the')) AS f0, len(list_filter(k, lambda x: x = 'and')) AS f1 FROM t),
+def _bm25(table: str) -> str:
+    return f"""WITH t AS (SELECT doc_id, {FTS} AS k FROM {table}), c AS (SELECT doc_id, len(k) AS len, len(list_filter(k, lambda x: x = 'the')) AS f0, len(list_filter(k, lambda x: x = 'and')) AS f1 FROM t),
  s AS (SELECT count(*) AS n, avg(len) AS a, count(*) FILTER (f0 > 0) AS n0, count(*) FILTER (f1 > 0) AS n1 FROM c),
  r AS (SELECT doc_id, -(CASE WHEN ln((n - n0 + 0.5) / (n0 + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - n0 + 0.5) / (n0 + 0.5)) END * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * len / a)) + CASE WHEN ln((n - n1 + 0.5) / (n1 + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - n1 + 0.5) / (n1 + 0.5)) END * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * len / a))) AS score FROM c, s WHERE f0 > 0 AND f1 > 0)
  SELECT CAST(doc_id AS VARCHAR) AS id, round(score, 9) AS score FROM r ORDER BY r.score, doc_id LIMIT 20"""
-)
+
+
+def _evidence(table: str) -> str:
+    return f"WITH t AS (SELECT doc_id, text, ' ' || array_to_string({FTS}, ' ') || ' ' AS k FROM {table}) SELECT CAST(doc_id AS VARCHAR) AS id, substr(text, 1, 300) AS text FROM t WHERE contains(k, ' {PHRASE} ') ORDER BY doc_id LIMIT 15"
+
+
+TIMELINE = f"WITH {CV}, t AS (SELECT local_date, ' ' || array_to_string({FTS}, ' ') || ' ' AS k FROM cv) SELECT strftime(CAST(local_date AS DATE), '%Y-%W') AS period, count(*) AS count FROM t WHERE contains(k, ' {PHRASE} ') GROUP BY 1"
+
+
+@query(_bm25("documents"))
 def keyword_search_bm25(spark, d):
     return rounded(search.keyword_search(documents(spark, d), "the and", 20).select("id", "score"), "score", to=9)
 
 
-@query(f"WITH t AS (SELECT doc_id, text, ' ' || array_to_string({FTS}, ' ') || ' ' AS k FROM documents) SELECT CAST(doc_id AS VARCHAR) AS id, substr(text, 1, 300) AS text FROM t WHERE contains(k, ' {PHRASE} ') ORDER BY doc_id LIMIT 15")
+@query(_evidence("documents"))
 def phrase_evidence(spark, d):
     return phrases.evidence(documents(spark, d), PHRASE).select("id", "text")
 
 
-@query(f"WITH {CV}, t AS (SELECT local_date, ' ' || array_to_string({FTS}, ' ') || ' ' AS k FROM cv) SELECT strftime(CAST(local_date AS DATE), '%Y-%W') AS period, count(*) AS count FROM t WHERE contains(k, ' {PHRASE} ') GROUP BY 1")
+@query(TIMELINE)
 def phrase_timeline(spark, d):
     return phrases.timeline(conversations(spark, d), PHRASE, "week")
 
 
+def indexed(spark: SparkSession, *loads: DataFrame) -> fulltext.FullText:
+    """A stored full-text index that these loads have been added to, one after the other."""
+    index = fulltext.FullText(spark, shared_folder(spark))
+    for k, load in enumerate(loads):
+        index.add(load, replace=k > 0)
+    return index
+
+
+@query(_bm25("documents"))
+def indexed_keyword_search(spark, d):
+    """bm25 by a stored index of two loads."""
+    m = documents(spark, d)
+    index = indexed(spark, m.where("seq % 2 = 0"), m.where("seq % 2 = 1"))
+    return rounded(fulltext.keyword_search(index, m, "the and", 20).select("id", "score"), "score", to=9)
+
+
+@query(_bm25("(SELECT CASE WHEN doc_id % 5 = 0 THEN 'the and ' || text ELSE text END AS text, doc_id FROM documents WHERE doc_id % 3 <> 1)"))
+def indexed_after_changes(spark, d):
+    """A third of the messages has been removed, every fifth replaced, and the segments are merged."""
+    m = documents(spark, d)
+    index = indexed(spark, m)
+    index.remove(m.where("seq % 3 = 1").select("id"))
+    index.add(m.where("seq % 3 <> 1 and seq % 5 = 0").withColumn("text", F.concat(F.lit("the and "), "text")))
+    index.merge()
+    return index.search("the and", 20).select("id", F.round("score", 9).alias("score"))
+
+
+@query(_evidence("documents"))
+def indexed_phrase_evidence(spark, d):
+    """A phrase by positions."""
+    m = documents(spark, d)
+    return indexed(spark, m.where("seq < 100"), m.where("seq >= 100")).evidence(m, PHRASE).select("id", "text")
+
+
+@query(TIMELINE)
+def indexed_phrase_timeline(spark, d):
+    return indexed(spark, conversations(spark, d)).timeline(PHRASE, "week")
+
+
 @query(
     f"""WITH {CV}, n AS (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY ts, seq) - 1 AS a, count(*) OVER (PARTITION BY chat_id) AS n FROM cv),
  s AS (SELECT chat_id, a, n FROM n WHERE (a % 2 = 0 AND a <= n - 3) OR a = n - 3 OR (n <= 3 AND a = 0))
