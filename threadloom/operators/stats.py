@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as fx
 from ..schema import NOT_TALK, TEXT_TYPES
+from ..sources.store import stored
+from . import ordered
 from .filters import select_messages
 
-def in_chat():
-    return Window.partitionBy("chat_id").orderBy("ts", "seq")
-
 
 def per_sender(messages: DataFrame, **where) -> DataFrame:
     """Per name: messages, share, chars, words, average length, first and last day; names merge across chats."""
@@ -34,13 +33,13 @@ def spans(messages: DataFrame, **where) -> DataFrame:
 
 def consecutive(messages: DataFrame, **where) -> DataFrame:
     """Every message with the gap and the sender before it in its chat."""
-    rows = select_messages(messages, exclude=NOT_TALK, **where)
-    return rows.withColumns({"gap": F.col("ts") - F.lag("ts").over(in_chat()), "previous": F.lag("sender_name").over(in_chat())}).where("gap is not null")
+    rows = ordered.with_previous(ordered.numbered(select_messages(messages, exclude=NOT_TALK, **where)), "ts", "sender_name")
+    return rows.where("not first").withColumns({"gap": F.col("ts") - F.col("previous_ts"), "previous": F.col("previous_sender_name")}).drop("previous_ts", "previous_sender_name", "first", "g", "block").where("gap is not null")
 
 
 def response_times(messages: DataFrame, session_gap: int = 3600, **where) -> DataFrame:
     """Gaps between consecutive messages: any, with a change of sender, and those within a session. Always three rows."""
-    pairs = consecutive(messages, **where).where("gap >= 0").withColumn("reply", ~F.col("sender_name").eqNullSafe(F.col("previous")))
+    pairs = consecutive(messages.select("chat_id", "sender_name", "ts", "seq", "local_date", "msg_type"), **where).where("gap >= 0").withColumn("reply", ~F.col("sender_name").eqNullSafe(F.col("previous")))
     variants = F.array(F.lit("any"), F.when(F.col("reply"), "reply"), F.when(F.col("reply") & (F.col("gap") <= session_gap), "reply-session"))
     each = pairs.select("gap", F.explode(F.filter(variants, lambda v: v.isNotNull())).alias("variant"))
     # Ranks by counts of equal gaps: no group's values are gathered in one task.
@@ -74,20 +73,18 @@ def emoji_frequency(messages: DataFrame, top: int = 30, **where) -> DataFrame:
 
 def sessions(messages: DataFrame, gap: int = 3600, **where) -> DataFrame:
     """Runs of messages in a chat without a gap over `gap` seconds. The silence before is that since the session before, across chats."""
-    rows = select_messages(messages, exclude=NOT_TALK, **where)
-    before = F.lag("ts").over(in_chat())
-    marked = rows.withColumn("fresh", F.when(before.isNull() | (F.col("ts") - before > gap), 1).otherwise(0))
-    numbered = marked.withColumn("session_no", F.sum("fresh").over(in_chat()))
-    order = F.struct("ts", "seq")
-    grouped = numbered.groupBy("chat_id", "session_no").agg(
-        F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.min_by("ts_local", order).alias("start_local"), F.max_by("ts_local", order).alias("end_local"),
-        F.count("*").alias("messages"), F.coalesce(F.min_by("sender_name", order), F.lit("")).alias("starter"),
+    rows = select_messages(messages, exclude=NOT_TALK, **where).select("chat_id", "sender_name", "seq", "ts", "ts_local")
+    rows = ordered.with_previous(ordered.numbered(rows), "ts")
+    fresh = F.col("first") | F.coalesce(F.col("ts") - F.col("previous_ts") > gap, F.lit(True))
+    known = ordered.running_count(rows, fresh, "session")
+    grouped = known.groupBy("session").agg(
+        F.first("chat_id").alias("chat_id"), F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.min_by("ts_local", "g").alias("start_local"), F.max_by("ts_local", "g").alias("end_local"),
+        F.count("*").alias("messages"), F.coalesce(F.min_by("sender_name", "g"), F.lit("")).alias("starter"), F.min_by("previous_ts", "g").alias("last_end"),
     )
-    # Within a chat by lag; the first session of a chat follows the last one of the chat before it (a row per chat).
-    inside = Window.partitionBy("chat_id").orderBy("session_no")
-    ends = grouped.groupBy("chat_id").agg(F.max_by("end_ts", "session_no").alias("chat_end"))
-    chained = ends.withColumn("before_chat", F.lag("chat_end").over(Window.orderBy("chat_id"))).select("chat_id", "before_chat")
-    out = grouped.join(chained, "chat_id").withColumn("last_end", F.coalesce(F.lag("end_ts").over(inside), F.col("before_chat")))
+    # The message before a session ends the one before it; before a chat's first stands the last of the chat before.
+    grouped = stored(grouped, "sessions")
+    opening = grouped.groupBy(F.col("chat_id").alias("__chat")).agg((F.min("session") - 1).alias("__before"))
+    out = grouped.join(ordered.small(opening), F.col("chat_id").eqNullSafe(F.col("__chat"))).withColumn("session_no", F.col("session") - F.col("__before"))
     return out.select("chat_id", "session_no", "start_ts", "end_ts", "start_local", "end_local", "messages", "starter", (F.col("end_ts") - F.col("start_ts")).alias("duration_sec"), (F.col("start_ts") - F.col("last_end")).alias("gap_before_sec"))
 
 
