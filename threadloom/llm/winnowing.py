@@ -89,7 +89,7 @@ class Reader:
         try:
             ids = [place[w] for w in words]
         except KeyError:
-            new = set(words) - place.keys()
+            new = {w for w in words if w not in place}
             if len(place) + len(new) > CACHE_WORDS:
                 place.clear()
                 new = set(words)
@@ -107,16 +107,24 @@ def runs(words: np.ndarray, length: int, at: np.ndarray | None = None) -> np.nda
     n = max(0, len(w) - length + 1)
     h = np.full(n if at is None else len(at), length, np.uint64)
     for k in range(length):
-        h = scramble(h * MIX[row, k] + (w[k : k + n] if at is None else w[at + k]))
-    return h
+        h += MIX[row, k] * (w[k : k + n] if at is None else w[at + k])
+    return scramble(h)
 
 
-def fingerprints(words: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the fingerprints of a text for windows of this many words."""
+def of_length(length: int) -> np.uint64:
+    """What tells the fingerprints of windows of this length from those of others."""
+    return scramble(np.array([length], np.uint64))[0]
+
+
+def fingerprints(words: np.ndarray, length: int, wanted=None) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the fingerprints of a text for windows of this many words; of those alone that are `wanted` (of hashes, booleans)."""
     k, w = scheme(length)
-    h = runs((0, words[0]), k)
+    h = runs((0, words[0]), k) ^ of_length(length)
+    none = np.empty(0, np.int64), np.empty(0, np.uint64)
     if len(h) < w:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return none
+    if wanted is not None and not (may := wanted(h)).any():
+        return none
     least = h[: len(h) - w + 1].copy()
     at = np.arange(len(least))
     for j in range(1, w):
@@ -124,8 +132,9 @@ def fingerprints(words: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray
         later = new <= least
         least[later] = new[later]
         at[later] = np.flatnonzero(later) + j
-    at = np.unique(at)
-    return at, h[at] ^ scramble(np.uint64([length]))[0]  # lengths have fingerprints of their own
+    at = at[np.append(True, at[1:] != at[:-1])]  # places never fall
+    at = at if wanted is None else at[may[at]]
+    return at, h[at]
 
 
 def windows_of(words: np.ndarray, length: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,15 +180,16 @@ def candidates(docs: DataFrame, lengths: list[int], bits: np.ndarray) -> DataFra
     shared = docs.sparkSession.sparkContext.broadcast(bits)
     one = pa.struct([("fp", pa.int64()), ("length", pa.int32()), ("first", pa.int32()), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64()))])
 
+    def wanted(h):
+        place = h.view(np.int64) & ((1 << FILTER_BITS) - 1)
+        return (shared.value[place >> 6] >> (place & 63)) & 1 == 1
+
     def passing(words):
-        bits, n = shared.value, words.shape[1]
+        n = words.shape[1]
         for length in lengths:
-            at, fp = fingerprints(words, length)
-            fp = fp.view(np.int64)
-            place = fp & ((1 << FILTER_BITS) - 1)
-            yes = (bits[place >> 6] >> (place & 63)) & 1 == 1
+            at, fp = fingerprints(words, length, wanted)
             k, _ = scheme(length)
-            for p, f in zip(at[yes].tolist(), fp[yes].tolist()):
+            for p, f in zip(at.tolist(), fp.view(np.int64).tolist()):
                 first = max(0, p + k - length)
                 yield {"fp": f, "length": length, "first": first} | dict(zip("ab", (x.tolist() for x in windows_of(words, length, np.arange(first, min(p, n - length) + 1)))))
 
