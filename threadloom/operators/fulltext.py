@@ -9,9 +9,9 @@ filters ask for. Removals are kept beside the segments and hold for those before
 them; `merge` writes one segment of all that lives. A version of the index is a
 manifest (sources.store), so readers never see half a load.
 
-Tokens of one message are grouped in the task that reads it. Postings are dealt
-by bucket and a hash of the message, so that a token that is everywhere fills
-many blocks in many tasks. Ids are unique: adding a known one replaces it.
+Postings are put together in the task that reads the messages, some thousand
+messages a row, and dealt by bucket and a share of these tasks, so that a token
+that is everywhere fills many blocks in many tasks. Ids are unique: adding a known one replaces it.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as fx
@@ -31,8 +32,9 @@ from .search import B, K1
 BLOCK = 128
 #: Tokens of messages that are grouped at a time.
 TOKENS = 1 << 20
-POSTING = "token string, id string, seq long, len int, tf int, at array<int>"
-BLOCKS = "token string, n int, max_tf int, min_len int, ids array<string>, seqs array<long>, lens array<int>, tfs array<int>, at array<array<int>>"
+#: Postings of a token side by side: ids, seqs, lengths and frequencies of the messages, and all positions one after the other.
+LISTS = "ids array<string>, seqs array<long>, lens array<int>, tfs array<int>, at array<int>"
+BLOCKS = f"token string, n int, max_tf int, min_len int, {LISTS}"
 #: What a message's row holds beside its length.
 MESSAGE = ("id", "seq", "ts", "chat_id", "sender_name", "local_date", "msg_type")
 #: Postings of a token from which on bounds of blocks are used: below, reading all is as cheap.
@@ -47,53 +49,84 @@ def tokens_of(spark: SparkSession, text: str) -> list[str]:
     return spark.range(1).select(fx.search_tokens(F.lit(text)).alias("t")).first().t
 
 
+def _cut(values: pa.Array, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+
 def _postings(batches):
-    """Rows (id, seq, tokens) to a row per message and token, with differences of positions."""
+    """Rows (id, seq, tokens) to a row per token and some thousand messages, with differences of positions; `task` tells where they come from."""
+    task = TaskContext.get().partitionId()
     for batch in batches:
-        lists = batch.column("tokens")
-        sizes = np.diff(lists.offsets.to_numpy())
+        sizes = np.diff(batch.column("tokens").offsets.to_numpy())
         cuts = np.searchsorted(np.cumsum(sizes), np.arange(TOKENS, sizes.sum() + TOKENS, TOKENS)) + 1
         for low, high in zip([0, *cuts], cuts):
             part = batch.slice(low, max(0, high - low))
-            if not part.num_rows:
-                continue
             lists = part.column("tokens")
             coded = lists.flatten().dictionary_encode()
+            if not len(coded):
+                continue
             code, size = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.diff(lists.offsets.to_numpy())
             doc = np.repeat(np.arange(part.num_rows), size)
             place = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
-            key = doc * max(1, len(coded.dictionary)) + code
+            key = code * part.num_rows + doc
             order = np.argsort(key, kind="stable")
             key, place = key[order], place[order]
-            first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))  # of each posting
             step = np.diff(place, prepend=0)
             step[first] = place[first]
-            ends, own = np.append(first, len(key)), pa.array(doc[order][first])
-            at = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(step, pa.int32()))
+            doc, code = doc[order][first], code[order][first]
+            own, tf = pa.array(doc), np.diff(np.append(first, len(key)))
+            head = np.flatnonzero(np.append(True, code[1:] != code[:-1]))  # of each token
+            ends = np.append(head, len(code))
             yield pa.RecordBatch.from_arrays(
-                [coded.dictionary.take(pa.array(code[order][first])), part.column("id").take(own), part.column("seq").take(own), pa.array(size[doc[order][first]], pa.int32()), pa.array(np.diff(ends), pa.int32()), at],
-                names=["token", "id", "seq", "len", "tf", "at"],
-            )
+                [
+                    pa.array(np.full(len(head), task, np.int32)), coded.dictionary.take(pa.array(code[head])), _cut(part.column("id").take(own), ends), _cut(part.column("seq").take(own), ends),
+                    _cut(pa.array(size[doc], pa.int32()), ends), _cut(pa.array(tf, pa.int32()), ends), _cut(pa.array(step, pa.int32()), np.append(first, len(key))[ends]),
+                ],
+                names=["task", "token", "ids", "seqs", "lens", "tfs", "at"],
+            )
 
 
 def _blocks(batches):
-    """Sorted postings to blocks of one token each."""
+    """Rows sorted by token, with lists of postings, to blocks of one token each."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        code = batch.column("token").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        many = np.diff(batch.column("ids").offsets.to_numpy())
+        code = np.repeat(batch.column("token").dictionary_encode().indices.to_numpy(zero_copy_only=False), many)
+        token = np.repeat(np.arange(batch.num_rows), many)
         first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
         run = np.arange(len(code)) - np.repeat(first, np.diff(np.append(first, len(code))))
         first = np.flatnonzero(run % BLOCK == 0)
-        ends = pa.array(np.append(first, len(code)), pa.int32())
-        tf, size = (batch.column(c).to_numpy() for c in ("tf", "len"))
-        wide = lambda c: pa.ListArray.from_arrays(ends, batch.column(c))
+        ends = np.append(first, len(code))
+        flat = {c: batch.column(c).flatten() for c in ("ids", "seqs", "lens", "tfs", "at")}
+        tf, size = flat["tfs"].to_numpy(), flat["lens"].to_numpy()
+        places = np.append(0, np.cumsum(tf))[ends]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("token").take(pa.array(first)), pa.array(np.diff(ends.to_numpy()), pa.int32()), pa.array(np.maximum.reduceat(tf, first)), pa.array(np.minimum.reduceat(size, first)), *(wide(c) for c in ("id", "seq", "len", "tf", "at"))],
+            [batch.column("token").take(pa.array(token[first])), pa.array(np.diff(ends), pa.int32()), pa.array(np.maximum.reduceat(tf, first)), pa.array(np.minimum.reduceat(size, first)), *(_cut(v, places if c == "at" else ends) for c, v in flat.items())],
             names=["token", "n", "max_tf", "min_len", "ids", "seqs", "lens", "tfs", "at"],
         )
 
 
+def _apart(batches):
+    """Blocks (token, no, lists) to a row per posting with its positions."""
+    for batch in batches:
+        many = np.diff(batch.column("ids").offsets.to_numpy())
+        own = pa.array(np.repeat(np.arange(batch.num_rows), many))
+        tf = batch.column("tfs").flatten()
+        at = _cut(batch.column("at").flatten(), np.append(0, np.cumsum(tf.to_numpy())))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(own) for c in ("token", "no")), *(batch.column(c).flatten() for c in ("ids", "seqs", "lens")), tf, at], names=["token", "no", "id", "seq", "len", "tf", "at"])
+
+
+def _together(batches):
+    """Rows per posting to rows with lists of one posting each."""
+    for batch in batches:
+        ends = np.arange(batch.num_rows + 1)
+        task = pa.array(np.full(batch.num_rows, TaskContext.get().partitionId(), np.int32))
+        at = batch.column("at")
+        yield pa.RecordBatch.from_arrays([task, batch.column("token"), *(_cut(batch.column(c), ends) for c in ("id", "seq", "len", "tf")), at], names=["task", "token", "ids", "seqs", "lens", "tfs", "at"])
+
+
 def _runs(n: int, offsets: list[list[int]]):
     """Rows with the positions p0, p1, ... of n tokens to the number of places where all stand at their offsets; rows without go."""
 
@@ -137,10 +170,10 @@ class FullText:
         tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         bucket = F.pmod(F.crc32(F.col("token").cast("binary")), F.lit(buckets)).cast("int")
         # As many shares of a bucket as make all tasks busy, so that no token belongs to one of them.
-        share = F.pmod(F.xxhash64("id"), F.lit(max(1, tasks))).cast("int") if buckets < 4 * tasks else F.lit(0)
-        dealt = postings.repartition(tasks, bucket, share).withColumn("bucket", bucket).sortWithinPartitions("bucket", "token", "seq", "id")
+        share = F.pmod(F.hash("task"), F.lit(max(1, tasks))).cast("int") if buckets < 4 * tasks else F.lit(0)
+        dealt = postings.repartition(tasks, bucket, share).withColumn("bucket", bucket).sortWithinPartitions("bucket", "token")
         names = {k: self.store.new_folder(k) for k in ("postings", "messages")}
-        blocks = dealt.select(*(c.split()[0] for c in POSTING.split(", "))).mapInArrow(_blocks, BLOCKS)
+        blocks = dealt.drop("task", "bucket").mapInArrow(_blocks, BLOCKS)
         blocks.withColumn("bucket", bucket).sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{self.store.folder(names['postings'])}/no={no}")
         messages.write.parquet(f"{self.store.folder(names['messages'])}/no={no}")
         count = self.spark.read.parquet(f"{self.store.folder(names['messages'])}/no={no}").agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("t")).first()
@@ -153,7 +186,7 @@ class FullText:
         """Index these messages; a known id is replaced. With replace=False ids must be new, and nothing that is stored is read."""
         rows = messages.where("id is not null").withColumn("tokens", fx.search_tokens(F.col("text")))
         size = F.size("tokens").alias("len")
-        segment = self._write(rows.select("id", F.col("seq").cast("long").alias("seq"), "tokens").mapInArrow(_postings, POSTING), rows.select(*MESSAGE, size))
+        segment = self._write(rows.select("id", F.col("seq").cast("long").alias("seq"), "tokens").mapInArrow(_postings, f"task int, token string, {LISTS}"), rows.select(*MESSAGE, size))
         state = dict(self.state)
         if replace and self.state["segments"]:
             known = self.messages().join(messages.select("id"), "id", "left_semi")
@@ -175,7 +208,8 @@ class FullText:
     def merge(self) -> None:
         """One segment of all that lives, without what was removed."""
         if len(self.state["segments"]) > 1 or self.state["removed"]:
-            segment = self._write(self._each(self._blocks()).select("token", "id", "seq", "len", "tf", "at"), self.messages().select(*MESSAGE, "len"))
+            each = self._each(self._blocks()).select("token", "id", "seq", "len", "tf", "at")
+            segment = self._write(each.mapInArrow(_together, f"task int, token string, {LISTS}"), self.messages().select(*MESSAGE, "len"))
             self._commit(self.state | {"next": self.state["next"] + 1, "segments": [segment], "removed": []})
 
     def vacuum(self) -> int:
@@ -210,9 +244,10 @@ class FullText:
 
     def _each(self, blocks: DataFrame, positions: bool = True) -> DataFrame:
         """Living postings of blocks."""
-        arrays = {"id": "ids", "seq": "seqs", "len": "lens", "tf": "tfs"} | ({"at": "at"} if positions else {})
-        zipped = F.inline(F.arrays_zip(*(F.col(c).alias(n) for n, c in arrays.items()))).alias(*arrays)
-        return self._live(blocks.select("token", "no", zipped))
+        if positions:
+            return self._live(blocks.select("token", "no", "ids", "seqs", "lens", "tfs", "at").mapInArrow(_apart, "token string, no int, id string, seq long, len int, tf int, at array<int>"))
+        names = {"id": "ids", "seq": "seqs", "len": "lens", "tf": "tfs"}
+        return self._live(blocks.select("token", "no", F.inline(F.arrays_zip(*(F.col(c).alias(n) for n, c in names.items()))).alias(*names)))
 
     def totals(self) -> tuple[int, float]:
         """Living messages and their mean length in tokens."""
