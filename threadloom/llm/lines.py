@@ -19,8 +19,9 @@ left is compared on the whole sets. Union-find gives the components; the occurre
 comes first by (doc_id, position) stays, all other lines of the component go.
 
 Blank lines stay, in place. Null texts stay null; a text may become empty. A row
-with a null doc_id is left as it is and takes no part. Rows that repeat a doc_id
-count as one document. All columns and rows are kept, whatever their names; only
+with a null doc_id is left as it is and takes no part. Rows that repeat doc_id and
+text count as one document, rows of one doc_id with different texts as several, in
+the order of a hash of their texts. All columns and rows are kept, whatever their names; only
 `text` changes. An empty table gives an empty one. A text of any length is taken
 whole. Lines and shingles are told apart by 64-bit hashes.
 """
@@ -34,7 +35,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import discard, materialise
-from .graph import open_members, open_pairs, purest_leaders, union_find
+from .graph import in_blocks, open_members, open_pairs, purest_leaders, union_find
 
 WIDTH = 5
 LEAST = 0.75
@@ -70,14 +71,15 @@ def shingles(line: Column) -> Column:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """Non-blank lines of documents with an id: doc_id, pos, line (compared form), h."""
-    lines = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return lines.select("doc_id", "pos", F.lower(F.btrim("line", F.lit(BLANKS))).alias("line")).where("line <> ''").withColumn("h", F.xxhash64("line"))
+    """Non-blank lines of documents with an id: doc_id, digest (of the text), pos, line (compared form), h."""
+    whole = docs.where("doc_id is not null").withColumn("digest", F.xxhash64("text"))
+    lines = whole.select("doc_id", "digest", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return lines.select("doc_id", "digest", "pos", F.lower(F.btrim("line", F.lit(BLANKS))).alias("line")).where("line <> ''").withColumn("h", F.xxhash64("line"))
 
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
-    """One row per compared form: h, line, its first occurrence (doc_id, pos) and the number of its occurrences."""
-    return occurrences(docs).groupBy("h").agg(F.min("line").alias("line"), F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("c"))
+    """One row per compared form: h, line, its first occurrence (doc_id, digest, pos) and the number of its occurrences."""
+    return occurrences(docs).groupBy("h").agg(F.min("line").alias("line"), F.min(F.struct("doc_id", "digest", "pos")).alias("first"), F.count("*").alias("c"))
 
 
 def signatures(lines: DataFrame) -> DataFrame:
@@ -100,8 +102,8 @@ def band_keys(signed: DataFrame, k: int) -> DataFrame:
     most = max(len(x[3]) for x in wide)
     probe = lambda j, low, high, at: F.struct(F.lit(j).alias("j"), F.lit(low).alias("low"), F.lit(high).alias("high"), *(F.lit(at[i] if i < len(at) else -1).alias(f"p{i}") for i in range(most)))
     each = signed.select("h", "n", "least", F.inline(F.array(*(probe(*x) for x in wide[k::PASSES])))).where("n between low and high")
-    key = F.hash(*(F.get("least", F.col(f"p{i}")) for i in range(most)))  # no range is null, and is left out
-    return each.select("h", (F.shiftleft(F.col("j").cast("bigint"), 32) + key).alias("bucket"))
+    key = F.xxhash64("j", *(F.get("least", F.col(f"p{i}")) for i in range(most)))  # no range is null, and is left out
+    return each.select("h", key.alias("bucket"))
 
 
 def signs_of(signed: DataFrame) -> DataFrame:
@@ -206,9 +208,11 @@ def components(lines: DataFrame) -> DataFrame:
     members = materialise(open_members(where, LEAST), "members")
     discard(where)
     # Of these, the lines to which the signature of one in another component comes near.
-    u, v = (members.select(F.col("bucket").alias("bucket" + k), F.col("component").alias("component" + k), *(F.col(c).alias(c + k) for c in ("x", "n", "s0", "s1", "lo", "hi"))) for k in "ab")
-    near = (F.col("bucketa") == F.col("bucketb")) & (F.col("componenta") != F.col("componentb")) & agree(("a", "b"))
-    left = u.join(v, near, "left_semi").select(*(F.col(c + "a").alias(c) for c in members.columns))
+    u, v = (members.select("bucket", F.col("x").alias(k), *(F.col(c).alias(c + k) for c in ("component", "n", "s0", "s1", "lo", "hi"))) for k in "ab")
+    u, v = in_blocks(u, v, members)
+    v = v.withColumnsRenamed({c: f"{c}b" for c in ("bucket", "row", "column")})
+    near = reduce(lambda p, q: p & q, (F.col(c) == F.col(f"{c}b") for c in ("bucket", "row", "column"))) & (F.col("componenta") != F.col("componentb")) & agree(("a", "b"))
+    left = u.join(v, near, "left_semi").select("bucket", F.col("a").alias("x"), *(F.col(c + "a").alias(c) for c in members.columns[2:])).distinct()
     left = materialise(left, "open")
     discard(members)
     sets = line_sets(left.select(F.col("x").alias("h")).distinct(), lines)
@@ -231,7 +235,7 @@ def components(lines: DataFrame) -> DataFrame:
 
 
 def dropped(docs: DataFrame) -> DataFrame:
-    """(doc_id, drop): the positions of the lines of each document that an earlier line stands for, stored."""
+    """(doc_id, digest, drop): the positions of the lines of each document that an earlier line stands for, stored."""
     lines = materialise(distinct_lines(docs), "lines")
     comp = components(lines)
     known = lines.select("h", "first", "c").join(comp.select(F.col("node").alias("h"), "component"), "h", "left").where("c > 1 or component is not null")
@@ -240,9 +244,9 @@ def dropped(docs: DataFrame) -> DataFrame:
     keeper = known.groupBy("component").agg(F.min("first").alias("keeper"))
     of_line = materialise(known.join(keeper, "component").select("h", "keeper"), "keepers")
     discard(known)
-    at = occurrences(docs).select("doc_id", "pos", "h").join(few(of_line), "h")
-    gone = at.where((F.col("doc_id") != F.col("keeper.doc_id")) | (F.col("pos") != F.col("keeper.pos")))
-    out = materialise(gone.groupBy("doc_id").agg(F.collect_set("pos").alias("drop")), "dropped")
+    at = occurrences(docs).select("doc_id", "digest", "pos", "h").join(few(of_line), "h")
+    gone = at.where(F.struct("doc_id", "digest", "pos") != F.col("keeper"))
+    out = materialise(gone.groupBy("doc_id", "digest").agg(F.collect_set("pos").alias("drop")), "dropped")
     discard(of_line)
     return out
 
@@ -256,7 +260,7 @@ def without(text: Column, drop: Column) -> Column:
 def dedup(docs: DataFrame) -> DataFrame:
     """All rows with `text` less the lines that go."""
     own = docs.columns
-    rows = docs.select(F.struct(*own).alias("__own"), F.col("doc_id").alias("__id"))
-    gone = dropped(docs.select("doc_id", "text")).select(F.col("doc_id").alias("__id"), F.col("drop").alias("__drop"))
+    rows = docs.select(F.struct(*own).alias("__own"), F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__digest"))
+    gone = dropped(docs.select("doc_id", "text")).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.col("drop").alias("__drop"))
     text = F.when(F.col("__drop").isNull(), F.col("__own.text")).otherwise(without(F.col("__own.text"), F.col("__drop")))
-    return rows.join(gone, "__id", "left").select(*(text.alias(c) if c == "text" else F.col("__own")[c].alias(c) for c in own))
+    return rows.join(gone, ["__id", "__digest"], "left").select(*(text.alias(c) if c == "text" else F.col("__own")[c].alias(c) for c in own))
