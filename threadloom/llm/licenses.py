@@ -179,18 +179,21 @@ class Templates:
 def scan(files: DataFrame, path: Column, text: str = "text", least: float = 0.6, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """Add license, license_score, license_from (own, inherited or null) and license_dir; they replace columns of these names.
 
-    `text` itself is left out of the result: nothing but the scan needs it.
+    `text` itself is left out of the result: nothing but the scan needs it. Other columns stay, whatever their names.
     """
     new = ["license", "license_score", "license_from", "license_dir"]
-    rows = files.drop(*new).withColumn("__path", path).withColumn("__file", F.coalesce(F.col("__path").rlike(FILE_NAME), F.lit(False)))
-    kept = [f for f in rows.schema.fields if f.name != text]
+    stay = [c for c in files.columns if c not in (*new, text)]
+    # The given columns lie in a struct, so that no name clashes.
+    carried = F.struct(*(F.col(c) for c in stay)) if stay else F.lit(None).cast("string")
+    rows = files.select(carried.alias("own"), path.alias("__path"), F.col(text).alias("text")).withColumn("__file", F.coalesce(F.col("__path").rlike(FILE_NAME), F.lit(False)))
+    kept = [f for f in rows.schema.fields if f.name != "text"]
     names = [f.name for f in kept]
 
     def run(batches):
         known = Templates(templates, least)
         for batch in batches:
             for part in slices(batch):
-                found = [known.scan(t or "", w) for t, w in zip(part.column(text).to_pylist(), part.column("__file").to_pylist())]
+                found = [known.scan(t or "", w) for t, w in zip(part.column("text").to_pylist(), part.column("__file").to_pylist())]
                 own = [s >= least for s, _ in found]
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(n) for n in names), pa.array([n if o else None for (_, n), o in zip(found, own)], pa.string()), pa.array([s if o else None for (s, _), o in zip(found, own)], pa.float64())],
@@ -212,7 +215,7 @@ def scan(files: DataFrame, path: Column, text: str = "text", least: float = 0.6,
     near = F.broadcast(near) if size <= BROADCAST_BYTES else near
     out = seen.withColumn("__own", F.when(F.col("__license").isNull(), folder)).join(near, "__own", "left")
     return out.select(
-        *[n for n in names if n not in ("__path", "__file")],
+        *(F.col("own")[c].alias(c) for c in stay),
         F.coalesce("__license", F.col("near.b.l")).alias("license"),
         F.coalesce("__score", -F.col("near.b.s")).alias("license_score"),
         F.when(F.col("__license").isNotNull(), "own").when(F.col("near").isNotNull(), "inherited").alias("license_from"),

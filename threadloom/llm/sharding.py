@@ -91,13 +91,13 @@ def row_of(at: int, counts: np.ndarray, row: np.ndarray, seed: list[int]) -> np.
 
 
 def shards(df: DataFrame, n_shards: int = 8, seed: int = 0, size: Column | None = None) -> DataFrame:
-    """Add `shard` (0 to n_shards - 1; row counts at most one apart) and `slot` (gapless from 0, a uniform order).
+    """Add `shard` (0 to n_shards - 1; row counts at most one apart) and `slot` (gapless from 0, a uniform order); they replace columns of these names, all others stay.
 
     A long text is not moved: pass the narrow columns that are wanted and join by key.
     """
-    own = df.columns
-    pid, at, target = "__pid", "__at", "__target"
-    df = materialise(df.withColumn(pid, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id()), "shards")
+    names = df.columns
+    own, pid, at, target = "own", "pid", "at", "target"  # beside a struct of all given columns, whatever their names
+    df = materialise(df.select(F.struct(*names).alias(own), F.spark_partition_id().alias(pid), F.monotonically_increasing_id().alias(at)), "shards")
     counts = {r[0]: r[1] for r in df.groupBy(pid).count().collect()}  # one row per partition
     total, parts = sum(counts.values()), sorted(counts)
     sizes = [total * (s + 1) // n_shards - total * s // n_shards for s in range(n_shards)]
@@ -112,7 +112,7 @@ def shards(df: DataFrame, n_shards: int = 8, seed: int = 0, size: Column | None
         left -= row
         deal.append((begin, end, np.flatnonzero(row).astype(np.int32), row[row > 0]))
     sent = df.sparkSession.sparkContext.broadcast((part_of, rows_of, ends, deal))  # at most MAX_CELLS counts, and two numbers per partition
-    names = [*own, pid, at]
+    wide = [own, pid, at]
 
     def run(batches):
         # Files keep a partition's rows together, but a task may hold several partitions, or parts of one.
@@ -129,17 +129,17 @@ def shards(df: DataFrame, n_shards: int = 8, seed: int = 0, size: Column | None
                     order[q] = np.random.default_rng([seed, q]).permutation(np.repeat(ids, n))
                 mine = p == q
                 out[mine] = order[q][a[mine]]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(out)], names=[*names, target])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in wide), pa.array(out)], names=[*wide, target])
 
-    dealt = df.select(*names).mapInArrow(run, T.StructType([*df.select(*names).schema.fields, T.StructField(target, T.IntegerType())]))
+    dealt = df.select(*wide).mapInArrow(run, T.StructType([*df.select(*wide).schema.fields, T.StructField(target, T.IntegerType())]))
     shard = (F.col(target) / per).cast("int")
     shard_sizes = F.array(*(F.lit(s).cast("long") for s in sizes))
-    base = F.expr(f"__n * (__target % {per}) div {per}")
+    base = F.expr(f"n * (target % {per}) div {per}")
     w = Window.partitionBy(target).orderBy(F.xxhash64(F.lit(seed), F.col(at)), F.col(at))
     return (
-        dealt.withColumn("__rn", F.row_number().over(w))
+        dealt.withColumn("rn", F.row_number().over(w))
         .withColumn("shard", shard)
-        .withColumn("__n", F.element_at(shard_sizes, F.col("shard") + 1))
-        .withColumn("slot", base + F.col("__rn") - 1)
-        .select(*[c for c in own if c not in ("shard", "slot")], "shard", "slot")
+        .withColumn("n", F.element_at(shard_sizes, F.col("shard") + 1))
+        .withColumn("slot", base + F.col("rn") - 1)
+        .select(*(F.col(own)[c].alias(c) for c in names if c not in ("shard", "slot")), "shard", "slot")
     )
