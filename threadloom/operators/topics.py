@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as fx
+from . import density
 
 
 def window_records(index: DataFrame, chat_id: str | None = None, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
@@ -20,8 +20,8 @@ def window_records(index: DataFrame, chat_id: str | None = None, date_from: str
     return rows.where((start == "") | (start <= date_to)) if date_to else rows
 
 
-def subsample(records: DataFrame, most: int | None = 20_000, seed: int = 42) -> DataFrame:
-    """A seeded sample of at most `most` rows; 0 or None keeps all. Clustering compares all pairs and so is bounded."""
+def subsample(records: DataFrame, most: int | None = None, seed: int = 42) -> DataFrame:
+    """A seeded sample of at most `most` rows, for a quick look; 0 or None keeps all."""
     return records.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(most) if most else records
 
 
@@ -37,7 +37,7 @@ def reduce(x: np.ndarray, dim: int = 48) -> np.ndarray:
 
 
 def density_clusters(x: np.ndarray, least: int) -> np.ndarray:
-    """HDBSCAN: mutual reachability, minimum spanning tree, condensed tree, excess of mass; -1 is noise."""
+    """HDBSCAN of one array, against which density.clusters is tested: mutual reachability, minimum spanning tree, condensed tree, excess of mass; -1 is noise."""
     n = len(x)
     if n < max(2, least):
         return np.full(n, -1)
@@ -45,16 +45,7 @@ def density_clusters(x: np.ndarray, least: int) -> np.ndarray:
     dist = lambda i: np.sqrt(np.maximum(sq + sq[i] - 2 * x @ x[i], 0))
     k = min(least, n) - 1
     core = np.array([np.partition(dist(i), k)[k] for i in range(n)])
-    # Prim's algorithm over mutual reachability, a row of distances at a time.
-    best, via, inside, now, edges = np.full(n, np.inf), np.zeros(n, int), np.zeros(n, bool), 0, []
-    for _ in range(n - 1):
-        inside[now] = True
-        d = np.maximum(np.maximum(dist(now), core), core[now])
-        closer = ~inside & (d < best)
-        best[closer], via[closer] = d[closer], now
-        now = int(np.argmin(np.where(inside, np.inf, best)))
-        edges.append((best[now], int(via[now]), now))
-    edges.sort()
+    edges = sorted((w, int(a), int(b)) for a, b, w in zip(*density.spanning_tree(np.arange(n), x, core)))
     # Single linkage as a dendrogram.
     parent, node, size = list(range(n)), list(range(n)), [1] * n
     children, height = {}, {}
@@ -134,23 +125,8 @@ def density_clusters(x: np.ndarray, least: int) -> np.ndarray:
 
 
 def cluster(records: DataFrame, least: int = 5, dim: int = 48) -> DataFrame:
-    """records with `label` and `to_centre`, the distance to the cluster's centre in the reduced space.
-
-    All records meet in one task: bound them with subsample().
-    """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id")
-        x = reduce(np.stack(rows["embedding"].to_numpy()).astype(np.float64), dim)
-        labels, far = density_clusters(x, least), np.full(len(rows), np.nan)
-        for c in set(labels) - {-1}:
-            mine = labels == c
-            centre = x[mine].mean(axis=0)
-            far[mine] = np.linalg.norm(x[mine] - centre / max(np.linalg.norm(centre), 1e-12), axis=1)
-        return pd.DataFrame({"id": rows["id"], "label": labels.astype(np.int32), "to_centre": far})
-
-    found = records.select("id", "embedding", F.lit(0).alias("all")).groupBy("all").applyInPandas(run, "id string, label int, to_centre double")
-    return records.join(found, "id")
+    """All records with `label` and `to_centre`, the distance to the cluster's centre in the reduced space."""
+    return records.join(density.clusters(records.select("id", "embedding"), least, dim), "id")
 
 
 def terms(docs: DataFrame, top: int = 8) -> DataFrame:
@@ -182,7 +158,7 @@ def evolution(clustered: DataFrame, bucket: str = "month", top: int = 5) -> Data
     return found.join(F.broadcast(largest), "label", "left_semi").groupBy("label", fx.period(F.col("start_date"), bucket, week="-").alias("period")).agg(F.count("*").alias("count")).where("period is not null").orderBy("label", "period")
 
 
-def analyse(index: DataFrame, chat_id: str | None = None, date_from: str | None = None, date_to: str | None = None, least: int = 5, most: int | None = 20_000, bucket: str | None = None, n_terms: int = 8, n_examples: int = 3) -> dict[str, DataFrame]:
+def analyse(index: DataFrame, chat_id: str | None = None, date_from: str | None = None, date_to: str | None = None, least: int = 5, most: int | None = None, bucket: str | None = None, n_terms: int = 8, n_examples: int = 3) -> dict[str, DataFrame]:
     records = window_records(index, chat_id, date_from, date_to)
     labelled = cluster(subsample(records, most), least)
     available = records.agg(F.count("*").alias("available"))

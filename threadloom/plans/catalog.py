@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as fx
-from ..operators import filters, fulltext, ingest, media, phrases, search, stats, topics, vectors, windows
+from ..operators import density, filters, fulltext, ingest, media, ordered, phrases, search, stats, topics, vectors, windows
 from ..schema import MESSAGES, RUNS, STOP_WORDS, TRANSCRIPTS
 from ..sources import export
-from ..sources.store import shared_folder
+from ..sources.store import shared_folder, stored
 from ..streaming import incremental
 from . import tools
 
@@ -550,10 +550,19 @@ def emoji_frequency_conversations(spark, d):
     return stats.emoji_frequency(conversations(spark, d))
 
 
+@query("""WITH e AS MATERIALIZED (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)),
+ d AS (SELECT a.vec_id, list_distance(a.u, b.u) AS d FROM e a, e b) SELECT CAST(vec_id AS VARCHAR) AS id, round(list_sort(list(d))[5], 4) AS core FROM d GROUP BY vec_id""")
+def topic_core_distances(spark, d):
+    """What density clustering rests on: the distance of every vector to its fifth nearest, itself the first."""
+    rows = ordered.numbered(_read(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "embedding"), "id")
+    points = stored(density.reduced(rows, 64), "reduced")
+    return rows.join(density.core_distances(points, points.count(), 5), "g").select("id", F.round("core", 4).alias("core"))
+
+
 @query()
 def topic_clusters(spark, d):
     rows = embedded(spark, d).withColumn("id", F.col("id").cast("string")).drop("label")
-    return topics.summary(topics.cluster(topics.subsample(rows), 5))
+    return topics.summary(topics.cluster(rows, 5))
 
 
 @query()

@@ -47,7 +47,7 @@ class Settings:
     embed_dim: int = 64
     window_size: int = 6
     window_stride: int = 3
-    max_windows: int = 20_000
+    max_windows: int = 0
 
     @classmethod
     def load(cls) -> Settings:
