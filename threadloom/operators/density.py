@@ -75,12 +75,11 @@ def reduced(points: DataFrame, dim: int = 48) -> DataFrame:
     return points.select("g", "embedding").mapInArrow(project, "g long, x array<double>")
 
 
-def _pairs(points: DataFrame, blocks: int, half: bool) -> tuple[DataFrame, DataFrame]:
-    """Both sides of all pairs of blocks (i, j), or of those with i <= j."""
+def _pairs(points: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of all pairs of blocks (i, j) with i <= j."""
     own = F.floor(F.col("g") / BLOCK).cast("int")
-    last = F.lit(blocks - 1)
-    left = points.withColumn("i", own).withColumn("j", F.explode(F.sequence(F.col("i") if half else F.lit(0), last)))
-    right = points.withColumn("j", own).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j") if half else last)))
+    left = points.withColumn("i", own).withColumn("j", F.explode(F.sequence(F.col("i"), F.lit(blocks - 1))))
+    right = points.withColumn("j", own).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j"))))
     return left.toDF(*left.columns), right.toDF(*right.columns)
 
 
@@ -97,13 +96,20 @@ def core_distances(points: DataFrame, n: int, least: int) -> DataFrame:
     """(g, core): the distance to the least-th nearest point, itself the first."""
     k = min(least, n)
 
-    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        (g, x), (_, y) = _matrix(left), _matrix(right)
-        some = min(k, len(y))
-        found = np.concatenate([np.partition(_distances(x[a : a + SLAB], y), some - 1, axis=1)[:, :some] for a in range(0, len(x), SLAB)])
-        return pd.DataFrame({"g": g, "d": list(found)})
+    def least_of(d: np.ndarray) -> np.ndarray:
+        return np.partition(d, k - 1, axis=1)[:, :k] if d.shape[1] > k else d
 
-    left, right = _pairs(points, -(-n // BLOCK), False)
+    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        (g, x), (h, y) = _matrix(left), _matrix(right)
+        same = bool(left["i"].iloc[0] == left["j"].iloc[0])
+        own, others = [], np.empty((len(y), 0))
+        for a in range(0, len(x), SLAB):
+            d = _distances(x[a : a + SLAB], y)
+            own += list(least_of(d))
+            others = others if same else least_of(np.concatenate([others, d.T], axis=1))
+        return pd.DataFrame({"g": g, "d": own}) if same else pd.DataFrame({"g": np.concatenate([g, h]), "d": own + list(others)})
+
+    left, right = _pairs(points, -(-n // BLOCK))
     near = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(nearest, "g long, d array<double>")
     # A list of at most `least` numbers per pair of blocks.
     return near.groupBy("g").agg(F.get(F.array_sort(F.flatten(F.collect_list("d"))), F.lit(k - 1)).alias("core"))
@@ -139,7 +145,7 @@ def tree_edges(points: DataFrame, n: int) -> DataFrame:
         u, v, w = spanning_tree(rows["g"].to_numpy(), np.stack(rows["x"].to_numpy()), rows["core"].to_numpy())
         return pd.DataFrame({"u": u, "v": v, "w": w})
 
-    left, right = _pairs(points, blocks, True)
+    left, right = _pairs(points, blocks)
     edges = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(of_pair, "u long, v long, w double")
     if blocks == 1:
         return edges
