@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from threadloom.functions import text as fx
 from threadloom.operators import fulltext, phrases, search
 from threadloom.operators.fulltext import FullText
 from threadloom.sources.store import Conflict, shared_folder
@@ -80,3 +81,9 @@ def test_two_writers_conflict(spark, messages):
     with pytest.raises(Conflict):
         b.add(messages.limit(2))
     assert FullText(spark, path).totals()[0] == 3 and FullText(spark, path).vacuum() == 2
+
+
+def test_tokens_are_counted_as_made(spark):
+    odd = [None, "", "...", "a b", "Perché è", "e\u0301te\u0301 \u0301 x\u0301", "\u0301a", "İstanbul ΣΑΣ", "日本 12_34", "a\ue000b", "👍 ok"]
+    rows = spark.createDataFrame([(t,) for t in odd], "text string").select("text", F.size(fx.search_tokens(F.col("text"))).alias("n"), fx.token_count(F.col("text")).alias("c")).collect()
+    assert [r.c for r in rows] == [r.n for r in rows]

@@ -45,6 +45,11 @@ def search_tokens(text: Column) -> Column:
     return F.filter(F.split(plain, r"[^\p{L}\p{N}\p{Co}]+"), lambda t: t != "")
 
 
+def token_count(text: Column) -> Column:
+    """How many search_tokens a text has, without making them; marks neither begin nor part one."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{N}\p{Co}][\p{L}\p{N}\p{Co}\x{300}-\x{36F}]*"))
+
+
 def emojis(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(EMOJI), 1)
 

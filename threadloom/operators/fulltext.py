@@ -25,13 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as fx
-from ..sources.store import Store
+from ..sources.store import Store, write
 from .filters import condition
 from .search import B, K1
 
 BLOCK = 128
 #: Tokens of messages that are grouped at a time.
-TOKENS = 1 << 20
+TOKENS = 1 << 21
 #: Postings of a token side by side: ids, seqs, lengths and frequencies of the messages, and all positions one after the other.
 LISTS = "ids array<string>, seqs array<long>, lens array<int>, tfs array<int>, at array<int>"
 BLOCKS = f"token string, n int, max_tf int, min_len int, {LISTS}"
@@ -174,8 +174,8 @@ class FullText:
         dealt = postings.repartition(tasks, bucket, share).withColumn("bucket", bucket).sortWithinPartitions("bucket", "token")
         names = {k: self.store.new_folder(k) for k in ("postings", "messages")}
         blocks = dealt.drop("task", "bucket").mapInArrow(_blocks, BLOCKS)
-        blocks.withColumn("bucket", bucket).sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{self.store.folder(names['postings'])}/no={no}")
-        messages.write.parquet(f"{self.store.folder(names['messages'])}/no={no}")
+        write(blocks.withColumn("bucket", bucket).sortWithinPartitions("bucket", "token"), f"{self.store.folder(names['postings'])}/no={no}", "bucket")
+        write(messages, f"{self.store.folder(names['messages'])}/no={no}")
         count = self.spark.read.parquet(f"{self.store.folder(names['messages'])}/no={no}").agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("t")).first()
         return names | {"no": no, "docs": count.n, "tokens": count.t}
 
@@ -184,9 +184,9 @@ class FullText:
 
     def add(self, messages: DataFrame, replace: bool = True) -> None:
         """Index these messages; a known id is replaced. With replace=False ids must be new, and nothing that is stored is read."""
-        rows = messages.where("id is not null").withColumn("tokens", fx.search_tokens(F.col("text")))
-        size = F.size("tokens").alias("len")
-        segment = self._write(rows.select("id", F.col("seq").cast("long").alias("seq"), "tokens").mapInArrow(_postings, f"task int, token string, {LISTS}"), rows.select(*MESSAGE, size))
+        rows = messages.where("id is not null")
+        size = fx.token_count(F.col("text")).alias("len")
+        segment = self._write(rows.select("id", F.col("seq").cast("long").alias("seq"), fx.search_tokens(F.col("text")).alias("tokens")).mapInArrow(_postings, f"task int, token string, {LISTS}"), rows.select(*MESSAGE, size))
         state = dict(self.state)
         if replace and self.state["segments"]:
             known = self.messages().join(messages.select("id"), "id", "left_semi")
@@ -196,7 +196,7 @@ class FullText:
     def _removal(self, ids: DataFrame) -> list[dict]:
         name = self.store.new_folder("removed")
         last = self.state["next"] - 1
-        ids.distinct().write.parquet(f"{self.store.folder(name)}/upto={last}")
+        write(ids.distinct(), f"{self.store.folder(name)}/upto={last}")
         gone = self.messages().join(self.spark.read.parquet(self.store.folder(name)), "id", "left_semi").agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("t")).first()
         return [{"name": name, "docs": gone.n, "tokens": gone.t}] if gone.n else []
 

@@ -32,10 +32,28 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{path.rstrip('/')}/store-{uuid.uuid4().hex}"
 
 
+#: Lets Spark delete the shuffle files of a query as soon as that query has ended.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write(df: DataFrame, path: str, *by: str) -> None:
+    """Write as Parquet, partitioned by these columns; the shuffle files of the write go with it, as nothing after it reads them."""
+    conf = df.sparkSession.conf
+    before = conf.get(SHUFFLE_CLEANUP, None)
+    conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.select("*").write.parquet(path, partitionBy=[*by])
+    finally:
+        if before is None:
+            conf.unset(SHUFFLE_CLEANUP)
+        else:
+            conf.set(SHUFFLE_CLEANUP, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Written to the shared folder and read back: cuts lineage and survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}-{name}"
-    df.write.parquet(path)
+    write(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
