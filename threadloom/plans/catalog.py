@@ -243,6 +243,26 @@ def export_messages(spark, d):
     return found.select("chat_id", "sender_name", "line_no", "n_lines", "ts", "local_date", "local_time", "text", "raw_line", "msg_type")
 
 
+@query(f"WITH {EX} SELECT sender_name, n_lines, ts, local_date, local_time, text, raw_line FROM ex")
+def export_files(spark, d):
+    """Export files in the shared folder, each of many conversations, read by ranges of bytes."""
+    folder = shared_folder(spark)
+    lines = exported(spark, d).repartitionByRange("source_file").sortWithinPartitions("source_file", "line_no")
+    lines.select(F.coalesce("value", F.lit(""))).write.text(folder)
+    return export.parse(export.read_lines(spark, folder), "UTC").select("sender_name", "n_lines", "ts", "local_date", "local_time", "text", "raw_line")
+
+
+@query(f"WITH {EX} SELECT sender_name, local_date, count(*) AS messages, CAST(sum(n_lines) AS BIGINT) AS lines FROM ex GROUP BY sender_name, local_date")
+def stream_landing(spark, d):
+    """Export files that a stream takes from a landing folder into an archive."""
+    landing, archive, checkpoint = (shared_folder(spark) for _ in range(3))
+    lines = exported(spark, d).repartitionByRange("source_file").sortWithinPartitions("source_file", "line_no")
+    lines.select(F.coalesce("value", F.lit(""))).write.text(landing)
+    ingest.follow(spark, landing, archive, checkpoint, "UTC").awaitTermination()
+    held = ingest.Archive(spark, archive).messages()
+    return held.groupBy("sender_name", "local_date").agg(F.count("*").alias("messages"), F.sum(F.size(F.split("raw_line", "\n"))).alias("lines"))
+
+
 @query(f"""WITH {EX}, b AS (SELECT chat_id, line_no, substr(sha1(concat_ws('|', chat_id, ts, sender_name, text, raw_line)), 1, 16) AS base FROM ex), n AS (SELECT *, row_number() OVER (PARTITION BY chat_id, base ORDER BY line_no) - 1 AS again FROM b)
  SELECT chat_id, line_no, CASE WHEN again > 0 THEN base || '-' || again ELSE base END AS id FROM n""")
 def export_ids(spark, d):
@@ -323,12 +343,35 @@ OV = """ov AS (SELECT f || '/' || lpad(CAST(conv_id AS VARCHAR), 8, '0') || '.tx
  FROM conversations, (VALUES ('a'), ('b')) v(f) WHERE CASE f WHEN 'a' THEN turn <= 3 ELSE turn >= 2 END)"""
 
 
-@query(f"WITH {OV} SELECT source_file, chat_id, CAST(sum(n_lines) AS BIGINT) AS total_lines, count(*) AS parsed, count(*) FILTER (f = 'a' OR turn > 3) AS inserted, count(*) FILTER (f = 'b' AND turn <= 3) AS skipped, CAST(sum(n_lines - 1) AS BIGINT) AS continuations, 'done' AS status FROM ov GROUP BY source_file, chat_id")
+LEDGER = f"WITH {OV} SELECT source_file, chat_id, CAST(sum(n_lines) AS BIGINT) AS total_lines, count(*) AS parsed, count(*) FILTER (f = 'a' OR turn > 3) AS inserted, count(*) FILTER (f = 'b' AND turn <= 3) AS skipped, CAST(sum(n_lines - 1) AS BIGINT) AS continuations, 'done' AS status FROM ov GROUP BY source_file, chat_id"
+
+
+@query(LEDGER)
 def load_overlapping(spark, d):
     """The ledger of a load of two overlapping exports of each conversation: what both hold comes in once."""
     return ingest.additions(overlapping(spark, d), spark.createDataFrame([], RUNS), spark.createDataFrame([], MESSAGES), "UTC")[1].drop("file_hash")
 
 
+@query(LEDGER)
+def load_staged(spark, d):
+    """The ledger of an archive after a load of the earlier exports and one of all."""
+    lines = overlapping(spark, d)
+    archive = ingest.Archive(spark, shared_folder(spark))
+    archive.load(lines.where("source_file like 'a/%'"), "UTC")
+    archive.load(lines, "UTC")
+    return archive.runs().drop("file_hash")
+
+
+@query(f"WITH {OV} SELECT chat_id, count(*) AS messages FROM ov WHERE f = 'a' OR turn > 3 GROUP BY chat_id")
+def load_staged_messages(spark, d):
+    """What the archive holds of each chat: every message once."""
+    lines = overlapping(spark, d)
+    archive = ingest.Archive(spark, shared_folder(spark))
+    archive.load(lines.where("source_file like 'a/%'"), "UTC")
+    archive.load(lines, "UTC")
+    return archive.messages().groupBy("chat_id").agg(F.count("*").alias("messages"))
+
+
 @query(f"WITH {OV} SELECT source_file, chat_id, count(*) AS messages FROM ov WHERE f = 'b' AND turn > 3 GROUP BY source_file, chat_id")
 def load_later(spark, d):
     """A later load: the earlier exports are in the ledger and their messages known, so only what is new in the later ones comes in."""

@@ -1,14 +1,19 @@
 """Exported chats: text files to message rows.
 
-A file is read whole (files are megabytes) and numbered by line. A line that
-begins with a date and a time opens a message, other lines continue it. Only
-the first line of a message decides its type.
+Files are read by ranges of bytes, so that one of any size spreads over all
+tasks, and numbered by line: what precedes a range in its file follows from a
+row per range. A line that begins with a date and a time opens a message, other
+lines continue it. Messages are put together in blocks of BLOCK line numbers;
+only those that may reach over a block's edge meet in a second step. Only the
+first line of a message decides its type.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from .store import stored
+
 # The grammar of a line and the phrases of the export format.
 LINE = r"(?Us)^(\d{1,2}/\d{1,2}/\d{2,4}),?\s+(\d{1,2}:\d{2}(?::\d{2})?)\s*([AaPp]\.?\s?[Mm]\.?)?\s*[-–]\s*(.*)$"
 CALL = r"(?iu)^(?:chiamata|videochiamata|voice call|video call|missed voice call|missed video call|hai perso una|hai effettuato una|ha effettuato una|ha avviato una|call ended)"
@@ -20,13 +25,35 @@ EXTENSIONS = {"voice": "opus ogg m4a aac amr", "image": "jpg jpeg png webp heic
 CHAT_NAME = r"(?iu)^(?:chat whatsapp con|whatsapp chat with|whatsapp chat -|chat whatsapp -)\s*"
 
 
+#: Line numbers of a block, and how far the numbers of neighbouring lines may lie apart.
+BLOCK, STEP = 8192, 64
+
+
+def raw_lines(reader, path: str) -> DataFrame:
+    """source_file, at (where the range of bytes begins) and value of every line, by spark.read or spark.readStream; bad bytes become U+FFFD."""
+    name = F.try_url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return reader.format("text").load(path).select(name.alias("source_file"), F.col("_metadata.file_block_start").alias("at"), F.make_valid_utf8("value").alias("value"))
+
+
+def number(raw: DataFrame) -> DataFrame:
+    """source_file, file_hash, line_no and value of raw lines, stored.
+
+    A range's lines are in order within a task, which `g` keeps; the ranges of a file follow each other by where they begin.
+    The hash is one of all numbered lines, whatever the ranges were: the same lines in the same order have the same.
+    """
+    held = stored(raw.withColumn("g", F.monotonically_increasing_id()), "lines")
+    file = Window.partitionBy("source_file").orderBy("at")  # a row per range
+    ranges = held.groupBy("source_file", "at").agg(F.min("g").alias("low"), F.count("*").alias("n"))
+    ranges = stored(ranges.select("source_file", "at", (F.sum("n").over(file) - F.col("n") - F.col("low") + 1).alias("shift")), "ranges")
+    lines = held.join(ranges, ["source_file", "at"]).select("source_file", (F.col("g") + F.col("shift")).alias("line_no"), "value")
+    parts = [F.bit_xor(F.xxhash64(F.lit(k), "line_no", "value")) for k in range(4)]
+    hashes = stored(lines.groupBy("source_file").agg(F.concat(*(F.lpad(F.hex(p), 16, "0") for p in parts)).alias("file_hash")), "hashes")
+    return lines.join(hashes, "source_file").select("source_file", "file_hash", "line_no", "value")
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """source_file, file_hash, line_no, value of every line of every file; bad bytes become U+FFFD."""
-    files = spark.read.format("binaryFile").load(path)
-    text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "^﻿", "")
-    lines = F.split(text, "\r\n|\r|\n")
-    lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
-    return files.select(F.col("path").alias("source_file"), F.sha2("content", 256).alias("file_hash"), F.posexplode(lines).alias("n", "value")).select("source_file", "file_hash", (F.col("n") + 1).cast("long").alias("line_no"), "value")
+    """source_file, file_hash, line_no, value of every line of every file."""
+    return number(raw_lines(spark.read, path))
 
 
 def chat_id_of(path: Column) -> Column:
@@ -54,23 +81,37 @@ def _media(name: Column) -> Column:
 
 
 def parse(lines: DataFrame, timezone: str = "Europe/Rome", chat_id: str | None = None) -> DataFrame:
-    """Messages of numbered lines, as schema.MESSAGES without id and ingested_at; one system row per file takes what comes before the first stamp."""
+    """Messages of numbered lines, as schema.MESSAGES without id and ingested_at; one system row per file takes what comes before the first stamp.
+
+    Numbers begin at 1 and rise by STEP at most; an empty table gives an empty one. A message is one row, however many lines it has.
+    """
     cut = {n: F.regexp_extract("value", LINE, k) for k, n in enumerate(("d", "t", "ap", "rest"), 1)}
     rows = lines.withColumns(cut).withColumn("local", F.when(F.col("d") != "", _stamp()))
     head = F.col("local").isNotNull()
-    order = Window.partitionBy("source_file").orderBy("line_no")
-    rows = rows.withColumn("island", F.sum(head.cast("int")).over(order))
+    rows = rows.withColumn("block", F.floor((F.col("line_no") - 1) / BLOCK)).withColumn("opens", F.when(head, F.col("line_no")))
+    block = Window.partitionBy("source_file", "block")
+    upto = block.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"start": F.max("opens").over(upto), "last": F.max("opens").over(block), "end": F.max("line_no").over(block)})
+    # A block that ends before its last numbers is its file's last.
+    goes_on = (F.col("end") > (F.col("block") + 1) * BLOCK - STEP) & F.col("start").eqNullSafe(F.col("last"))
+    edge = goes_on | ((F.col("block") > 0) & F.col("start").isNull())
     first = lambda c: F.min_by(c, "line_no")
     body = F.when(head, F.col("rest")).otherwise(F.col("value"))
-    fold = rows.groupBy("source_file", "file_hash", "island").agg(
-        F.min("line_no").alias("line_no"), F.count("*").alias("n_lines"), first("local").alias("local"), first(body).alias("rest"),
-        F.array_sort(F.collect_list(F.struct("line_no", "value"))).alias("all"),
-    )
+
+    def folded(some: DataFrame, *by: str) -> DataFrame:
+        return some.groupBy("source_file", "file_hash", *by).agg(
+            F.min("line_no").alias("line_no"), F.count("*").alias("n_lines"), first("local").alias("local"), first(body).alias("rest"),
+            F.array_sort(F.collect_list(F.struct("line_no", "value"))).alias("all"),
+        ).drop("block")
+
+    # Lines of the one or two messages of a block that may reach over its edges.
+    on_edge = rows.where(edge).withColumn("start", F.last("start", ignorenulls=True).over(Window.partitionBy("source_file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)))
+    fold = folded(rows.where(~edge), "block", "start").union(folded(on_edge, "start"))
     joined = lambda skip: F.array_join(F.transform(F.slice("all", 1 + skip, F.greatest(F.size("all") - skip, F.lit(0))), lambda s: s["value"]), "\n")
     at = F.instr("rest", ": ")
     name = F.trim(F.substring("rest", F.lit(1), at - 1))
-    named = (F.col("island") > 0) & (at > 0) & (F.length(name) > 0) & (F.length(name) <= 60)
-    call = (F.col("island") > 0) & F.col("rest").rlike(CALL)
+    named = F.col("start").isNotNull() & (at > 0) & (F.length(name) > 0) & (F.length(name) <= 60)
+    call = F.col("start").isNotNull() & F.col("rest").rlike(CALL)
     fold = fold.withColumn("sender_name", F.when(named & ~call, name)).withColumn("said", F.when(named & ~call, F.substring("rest", at + 2, F.length("rest"))).otherwise(F.col("rest")))
     omitted, attached = F.lower(F.regexp_extract(F.trim("said"), OMITTED, 1)), F.regexp_extract("said", ATTACHED, 1)
     kind = (

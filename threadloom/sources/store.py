@@ -103,10 +103,13 @@ class Store:
     def folder(self, name: str) -> str:
         return f"{self.path}/{name}"
 
+    def delete(self, name: str) -> None:
+        fs, p = self._at(self.folder(name))
+        fs.delete(p, True)
+
     def vacuum(self, kinds: tuple[str, ...], used: set[str]) -> int:
         """Delete folders that `used` does not name, and all manifests but the last; returns how many folders went."""
         gone = [f"{kind}/{name}" for kind in kinds for name in self._names(kind) if f"{kind}/{name}" not in used]
         for name in [*gone, *(f"manifest/{m}" for m in self._names("manifest")[:-1])]:
-            fs, p = self._at(self.folder(name))
-            fs.delete(p, True)
+            self.delete(name)
         return len(gone)
