@@ -5,9 +5,9 @@ import re
 
 import numpy as np
 import pytest
-from pyspark.sql import types as T
+from pyspark.sql import functions as F, types as T
 
-from threadloom.llm import codes, whitening, winnowing
+from threadloom.llm import ann, codes, whitening, winnowing
 
 VECTORS = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("label", T.StringType()), T.StructField("code", T.StringType()), T.StructField("row", T.StringType())])
 
@@ -163,3 +163,16 @@ def test_every_shared_window_shares_a_fingerprint():
             lead, tail = (rng.integers(0, 1 << 62, (2, n), dtype=np.uint64) for n in rng.integers(0, 30, 2))
             both = [set(winnowing.fingerprints(x, length)[1].tolist()) for x in (w, np.concatenate([lead, w, tail], axis=1))]
             assert both[0] & both[1]
+
+
+def test_every_vector_of_a_repeated_id_is_a_candidate(spark):
+    rng = np.random.default_rng(9)
+    rows = [(k % 40, rng.normal(size=6).tolist()) for k in range(100)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    found = ann.search(df, F.col("vec_id") % 20 == 1, k=200, window=1.0).collect()
+    for q in (1, 21):
+        asks = [np.array(v) for k, v in rows if k == q]
+        want = sorted((-max(float(np.dot(a, v)) for a in asks), k) for k, v in rows if k != q)
+        got = sorted((r.rank, r.vec_id, r.score) for r in found if r.query_id == q)
+        assert [k for _, k in want] == [k for _, k, _ in got] and [r for r, _, _ in got] == list(range(1, len(want) + 1))
+        np.testing.assert_allclose([-s for s, _ in want], [s for _, _, s in got], atol=1e-12)

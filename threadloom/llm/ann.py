@@ -18,7 +18,8 @@ are told apart by a hash of curve and id.
 
 Null ids and unsound vectors take no part (see vectors.usable); equal rows count
 once, an empty table gives no rows, and other columns are ignored. An id that
-stands for several different vectors is compared by one of them.
+stands for several different vectors is a candidate with each of them; as a query
+it is searched by each, and a candidate counts with its best score.
 """
 
 from __future__ import annotations
@@ -130,7 +131,7 @@ def search(df: DataFrame, is_query: Column, k: int = 20, curves: int = 8, window
 
     placed = materialise(ordered.select("curve", "kind", "vec_id", "vector").mapInArrow(number, "pid int, curve int, kind int, vec_id long, vector array<double>, at long"), "curves")
     counts = placed.where("kind = 0").groupBy("curve", "pid").count().orderBy("curve", "pid").collect()  # at most curves x partitions
-    before, base = {}, {}
+    before, base, held = {}, {}, {(r.curve, r.pid): r["count"] for r in counts}
     for r in counts:
         base[r.curve, r.pid] = before.get(r.curve, 0)
         before[r.curve] = before.get(r.curve, 0) + r["count"]
@@ -138,7 +139,7 @@ def search(df: DataFrame, is_query: Column, k: int = 20, curves: int = 8, window
         done = 0
         for p in range(parts):
             base.setdefault((c, p), done)
-            done = max(done, base[c, p] + sum(r["count"] for r in counts if (r.curve, r.pid) == (c, p)))
+            done = max(done, base[c, p] + held.get((c, p), 0))
     offsets = spark.createDataFrame([(c, p, b) for (c, p), b in base.items()], "curve int, pid int, base long")
     ranked = placed.join(F.broadcast(offsets), ["curve", "pid"]).withColumn("r", F.col("base") + F.col("at"))
     n = before.get(0, 0)  # candidates
@@ -147,7 +148,7 @@ def search(df: DataFrame, is_query: Column, k: int = 20, curves: int = 8, window
     sub = F.pmod(F.col("tie"), F.lit(subs)).cast("int")
     block = lambda r: F.least(F.lit(last), F.greatest(F.lit(0), F.floor(r / BLOCK)))
     ask = ranked.where("kind = 1").withColumn("tie", tie).select("curve", F.explode(F.sequence(block(F.col("r") - half), block(F.col("r") + half))).alias("block"), sub.alias("sub"), "vec_id", "vector")
-    have = ranked.where("kind = 0").select("curve", block(F.col("r")).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(subs - 1))).alias("sub"), "vec_id", "vector")
+    have = ranked.where("kind = 0").select("curve", block(F.col("r")).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(subs - 1))).alias("sub"), "vec_id", "vector", F.xxhash64("vector").alias("copy"))
 
     have, ask = have.toDF(*have.columns), ask.toDF(*ask.columns)  # columns of their own on either side
 
@@ -158,20 +159,18 @@ def search(df: DataFrame, is_query: Column, k: int = 20, curves: int = 8, window
             for at in range(0, len(asks), 256):
                 own = asks["vec_id"].to_numpy()[at : at + 256]
                 q = matrix(asks["vector"].iloc[at : at + 256])
-                row, found, score = best(q @ d.T, ids, own, k)
-                out.append(pd.DataFrame({"query_id": own[row], "vec_id": found, "a": row + at}))
-        found = pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "a": []}).astype("int64")
+                row, col, _ = best(q @ d.T, ids, own, k)
+                out.append(pd.DataFrame({"query_id": own[row], "vec_id": ids[col], "copy": rows["copy"].to_numpy()[col], "a": row + at, "b": col}))
+        found = pd.concat(out) if out else pd.DataFrame({c: [] for c in ("query_id", "vec_id", "copy", "a", "b")}).astype("int64")
         # Scores again, one product at a time in one order of summation: equal wherever a pair is met.
         if len(found):
             x = matrix(asks["vector"])[found["a"].to_numpy()]
-            where = np.argsort(ids, kind="stable")
-            y = d[where[np.searchsorted(ids[where], found["vec_id"].to_numpy())]]
-            found["score"] = np.einsum("ij,ij->i", x, y)
+            found["score"] = np.einsum("ij,ij->i", x, d[found["b"].to_numpy()])
         else:
             found["score"] = np.zeros(0)
-        return found[["query_id", "vec_id", "score"]]
+        return found[["query_id", "vec_id", "copy", "score"]]
 
-    met = ask.groupBy("curve", "block", "sub").cogroup(have.groupBy("curve", "block", "sub")).applyInPandas(compare, "query_id long, vec_id long, score double")
-    met = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    met = ask.groupBy("curve", "block", "sub").cogroup(have.groupBy("curve", "block", "sub")).applyInPandas(compare, "query_id long, vec_id long, copy long, score double")
+    met = met.groupBy("query_id", "vec_id", "copy").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -40,7 +40,7 @@ def matrix(column) -> np.ndarray:
 
 
 def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per row of scores the k largest, ties to the smaller id, without the row's own id: (row, id, score)."""
+    """Per row of scores the k largest, ties to the smaller id, without the row's own id: (row, column, score)."""
     s = np.where(ids[None, :] == own[:, None], -np.inf, scores)
     if s.shape[1] > 4 * k:
         kth = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
@@ -54,4 +54,4 @@ def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[
     row, col, v = row[order], col[order], v[order]
     first = np.searchsorted(row, row, side="left")
     keep = np.arange(len(row)) - first < k
-    return row[keep], ids[col[keep]], v[keep]
+    return row[keep], col[keep], v[keep]
