@@ -86,19 +86,28 @@ def index_messages(messages: DataFrame, index: DataFrame, embedder: Embedder, co
     return upsert(index, embed_distinct(todo, embedder), collection, embedder.model)
 
 
+def vanished(index: DataFrame, found: DataFrame, collection: str) -> DataFrame:
+    """Keys of indexed windows that are not among the windows found, of the chats of those."""
+    old = index.where((F.col("kind") == "window") & (F.col("collection") == collection))
+    return old.join(found.select("chat_id").distinct(), "chat_id", "left_semi").join(found.select("id"), "id", "left_anti").select("collection", "kind", "id")
+
+
+def window_vectors(todo: DataFrame, index: DataFrame, embedder: Embedder, collection: str, mode: str) -> DataFrame:
+    """Windows with `embedding`, by the model or as the mean of their indexed messages' vectors."""
+    if mode == "model":
+        return embed_distinct(todo, embedder)
+    members = index.where((F.col("kind") == "message") & (F.col("collection") == collection) & (F.col("model") == embedder.model)).select(F.col("id").alias("member"), "embedding")
+    return todo.join(mean_pool(todo.select("id", F.explode("members").alias("member")).join(members, "member"), "id"), "id")
+
+
 def index_windows(messages: DataFrame, index: DataFrame, embedder: Embedder, collection: str = "chat", mode: str = "model", size: int = 6, stride: int = 3, chat_id: str | None = None) -> DataFrame:
     """Windows, embedded by the model or as the mean of their messages' vectors. Windows that no longer exist go."""
     if mode not in ("model", "mean"):
         raise ValueError(f"mode must be 'model' or 'mean', not {mode!r}")
     found = window_documents(messages, size, stride, chat_id)
-    gone = index.where((F.col("kind") == "window") & (F.col("collection") == collection)).join(found.select("chat_id").distinct(), "chat_id", "left_semi").join(found.select("id"), "id", "left_anti").select("collection", "kind", "id")
-    index = index.join(gone, ["collection", "kind", "id"], "left_anti").select(*VECTORS.fieldNames())
+    index = index.join(vanished(index, found, collection), ["collection", "kind", "id"], "left_anti").select(*VECTORS.fieldNames())
     todo = pending(found, index, collection, embedder.model)
-    if mode == "model":
-        return upsert(index, embed_distinct(todo, embedder), collection, embedder.model)
-    members = index.where((F.col("kind") == "message") & (F.col("collection") == collection) & (F.col("model") == embedder.model)).select(F.col("id").alias("member"), "embedding")
-    pooled = mean_pool(todo.select("id", F.explode("members").alias("member")).join(members, "member"), "id")
-    return upsert(index, todo.join(pooled, "id"), collection, embedder.model)
+    return upsert(index, window_vectors(todo, index, embedder, collection, mode), collection, embedder.model)
 
 
 def mean_pool(rows: DataFrame, *by: str) -> DataFrame:

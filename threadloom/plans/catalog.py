@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as fx
-from ..operators import density, filters, fulltext, ingest, media, ordered, phrases, search, stats, topics, vectors, windows
+from ..operators import collection, density, filters, fulltext, ingest, media, ordered, phrases, search, stats, topics, vectors, windows
 from ..schema import MESSAGES, RUNS, STOP_WORDS, TRANSCRIPTS
 from ..sources import export
 from ..sources.store import shared_folder, stored
@@ -614,3 +614,50 @@ def indexed_windows(spark, d):
     m, bag = conversations(spark, d), vectors.HashedBag(32)
     index = vectors.index_messages(m, vectors.empty_index(spark), bag)
     return vectors.index_windows(m, index, bag, mode="mean", size=3, stride=2).select("id", "kind", "text_hash", "embedding")
+
+
+def vector_rows(spark: SparkSession, d: str, word: str) -> DataFrame:
+    """Embeddings as rows of a vector collection: chats are labels, and texts are a word and the id."""
+    text = F.concat(F.lit(word), F.col("vec_id").cast("string"))
+    return _read(spark, d, "embeddings").select("vec_id", F.col("vec_id").cast("string").alias("id"), F.lit("message").alias("kind"), text.alias("text"), F.sha1(text).alias("text_hash"), "embedding", F.col("label").cast("string").alias("chat_id"))
+
+
+@query("""SELECT CAST(vec_id AS VARCHAR) AS id, 'chat' AS collection, CASE WHEN vec_id % 5 = 3 THEN 'new ' ELSE 'old ' END || vec_id AS text, CAST(label AS VARCHAR) AS chat_id, round(CAST(embedding[1] AS DOUBLE) * CASE WHEN vec_id % 5 = 3 THEN -1 ELSE 1 END, 4) AS e FROM embeddings WHERE vec_id % 7 <> 2
+ UNION ALL SELECT CAST(vec_id AS VARCHAR), 'keep', 'old ' || vec_id, CAST(label AS VARCHAR), round(CAST(embedding[1] AS DOUBLE), 4) FROM embeddings""")
+def collection_rows(spark, d):
+    """A stored collection after two loads, of which the later one replaces some rows and adds others, a removal, and the reset of another model."""
+    held = collection.Collection(spark, shared_folder(spark), 16)
+    old, new = vector_rows(spark, d, "old "), vector_rows(spark, d, "new ").withColumn("embedding", F.transform("embedding", lambda x: -x))
+    held.upsert(old.where("vec_id % 10 <> 3"), "chat", "m")
+    held.upsert(old, "keep", "m")
+    held.upsert(old, "chat", "other")
+    held.upsert(new.where("vec_id % 5 = 3"), "chat", "m")
+    held.remove(old.where("vec_id % 7 = 2").withColumns({"collection": F.lit("chat"), "model": F.lit("m")}))
+    held.reset("chat", "other")
+    return held.rows().select("id", "collection", "text", "chat_id", F.round(F.col("embedding")[0].cast("double"), 4).alias("e"))
+
+
+@query(
+    f"""WITH {CV}, n AS (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY ts, seq) - 1 AS a, count(*) OVER (PARTITION BY chat_id) AS n FROM cv),
+ s AS (SELECT chat_id, a, n FROM n WHERE (a % 2 = 0 AND a <= n - 3) OR a = n - 3 OR (n <= 3 AND a = 0))
+ SELECT s.chat_id || ':w:' || min_by(n.id, n.a) || '_' || max_by(n.id, n.a) AS id, CAST(count(*) AS INTEGER) AS members, sha1(string_agg(n.sender_name || ': ' || n.text, chr(10) ORDER BY n.a)) AS text_hash FROM s JOIN n ON n.chat_id = s.chat_id AND n.a BETWEEN s.a AND s.a + 2 GROUP BY s.chat_id, s.a"""
+)
+def collection_windows(spark, d):
+    """Windows of three messages take the place of the windows of two that were stored before; their vectors are means of the messages'."""
+    held, m, bag = collection.Collection(spark, shared_folder(spark), 16), conversations(spark, d), vectors.HashedBag(32)
+    held.index_messages(m, bag)
+    held.index_windows(m, bag, mode="mean", size=2, stride=1)
+    held.index_windows(m, bag, mode="mean", size=3, stride=2)
+    return held.rows().where("kind = 'window' and size(embedding) = 32").select("id", F.size("members").alias("members"), "text_hash")
+
+
+@query(f"""WITH q AS (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1), e AS (SELECT CAST(vec_id AS VARCHAR) AS id, CASE WHEN vec_id % 11 = 0 THEN 'new ' ELSE 'old ' END || vec_id AS text, round({_cosine('embedding', 'q')} * CASE WHEN vec_id % 11 = 0 THEN -1 ELSE 1 END, 4) AS score FROM embeddings, q)
+ SELECT id, text, score FROM e ORDER BY score DESC, id LIMIT 50""")
+def collection_search(spark, d):
+    """Exact search by cells, of which rows have been replaced since."""
+    held = collection.Collection(spark, shared_folder(spark), 16)
+    held.upsert(vector_rows(spark, d, "old "), "chat", "m")
+    held.build_cells("chat", "m")
+    held.upsert(vector_rows(spark, d, "new ").where("vec_id % 11 = 0").withColumn("embedding", F.transform("embedding", lambda x: -x)), "chat", "m")
+    asked = _read(spark, d, "embeddings").orderBy("vec_id").first().embedding
+    return held.search([float(x) for x in asked], "chat", "m", 50).select("id", "text", "score")
