@@ -129,8 +129,9 @@ class Collection:
         return self._change(version, state, self._shaped(vectors.window_vectors(todo, index, embedder, collection, mode), collection, embedder.model), gone)
 
     def _shaped(self, rows: DataFrame, collection: str, model: str) -> DataFrame:
-        rows = rows.withColumns({"collection": F.lit(collection), "model": F.lit(model)})
-        return vectors.empty_index(self.spark).unionByName(rows, allowMissingColumns=True).select(*VECTORS.fieldNames())
+        given = {"collection": F.lit(collection), "model": F.lit(model)}
+        value = lambda name: given.get(name, F.col(name) if name in rows.columns else F.lit(None))
+        return rows.select(*(value(f.name).cast(f.dataType).alias(f.name) for f in VECTORS))
 
     def tidy(self) -> int:
         """Delete the folders that the last version does not need; nobody may read or write meanwhile."""

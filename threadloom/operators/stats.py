@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as fx
 from ..schema import NOT_TALK, TEXT_TYPES
@@ -125,11 +125,20 @@ def top_senders(messages: DataFrame, top: int = 25) -> DataFrame:
     return messages.where("sender_name is not null").groupBy("sender_name").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "sender_name").limit(top)
 
 
+def speaks_of_group() -> Column:
+    """Whether a message is a system notice about a group."""
+    return (F.col("msg_type") == "system") & (F.lower("text").contains("group") | F.lower("text").contains("gruppo"))
+
+
 def list_chats(messages: DataFrame, timezone: str = "UTC") -> DataFrame:
     """Chats with counts and days; a chat is a group with more than two senders or a system notice that speaks of one."""
+    by = messages.groupBy("chat_id").agg(F.count("*").alias("messages"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.countDistinct("sender_name").alias("senders"), F.max(speaks_of_group().cast("int")).alias("notice"))
+    return shown_chats(by, timezone)
+
+
+def shown_chats(by: DataFrame, timezone: str = "UTC") -> DataFrame:
+    """Chats as they are listed, from a row of counts each."""
     day = lambda c: F.coalesce(F.when(F.col(c) != 0, F.date_format(F.from_utc_timestamp(F.timestamp_seconds(c), timezone), "yyyy-MM-dd")), F.lit(""))
-    notice = (F.col("msg_type") == "system") & F.lower("text").contains("group") | (F.col("msg_type") == "system") & F.lower("text").contains("gruppo")
-    by = messages.groupBy("chat_id").agg(F.count("*").alias("messages"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.countDistinct("sender_name").alias("senders"), F.max(notice.cast("int")).alias("notice"))
     return by.select("chat_id", "messages", ((F.col("senders") > 2) | (F.coalesce("notice", F.lit(0)) == 1)).alias("is_group"), "first_ts", "last_ts", day("first_ts").alias("first"), day("last_ts").alias("last")).orderBy(F.desc("messages"), "chat_id")
 
 

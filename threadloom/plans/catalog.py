@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as fx
-from ..operators import collection, density, filters, fulltext, ingest, media, ordered, phrases, search, stats, topics, vectors, windows
+from ..operators import collection, density, filters, fulltext, ingest, media, ordered, phrases, rollup, search, stats, topics, vectors, windows
 from ..schema import MESSAGES, RUNS, STOP_WORDS, TRANSCRIPTS
 from ..sources import export
 from ..sources.store import shared_folder, stored
@@ -299,19 +299,28 @@ def kinds_preview(spark, d):
     return stats.samples(mixed(spark, d))
 
 
-@query(f"WITH {MX} SELECT sender_name, count(*) AS messages, round(count(*) / sum(count(*)) OVER (), 6) AS share, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(len(regexp_extract_all(text, '(?i)[0-9a-zàáèéìíòóùúâêîôûäëïöüç'']+'))) AS BIGINT) AS words, round(sum(length(text)) / count(*), 6) AS avg_chars, min(local_date) AS first_date, max(local_date) AS last_date FROM mx WHERE msg_type IN ('text', 'edited') AND sender_name IS NOT NULL GROUP BY sender_name")
+MX_PER_SENDER = f"WITH {MX} SELECT sender_name, count(*) AS messages, round(count(*) / sum(count(*)) OVER (), 6) AS share, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(len(regexp_extract_all(text, '(?i)[0-9a-zàáèéìíòóùúâêîôûäëïöüç'']+'))) AS BIGINT) AS words, round(sum(length(text)) / count(*), 6) AS avg_chars, min(local_date) AS first_date, max(local_date) AS last_date FROM mx WHERE msg_type IN ('text', 'edited') AND sender_name IS NOT NULL GROUP BY sender_name"
+
+
+@query(MX_PER_SENDER)
 def kinds_per_sender(spark, d):
     """Only text and edited messages count."""
     return rounded(stats.per_sender(mixed(spark, d)), "share", "avg_chars")
 
 
-@query(f"WITH {MX} SELECT strftime(CAST(local_date AS DATE), '%Y-W%W') AS period, count(*) AS count FROM mx WHERE msg_type <> 'system' AND chat_id = 'click' AND sender_name = 'u1' GROUP BY 1")
+MX_VOLUME = f"WITH {MX} SELECT strftime(CAST(local_date AS DATE), '%Y-W%W') AS period, count(*) AS count FROM mx WHERE msg_type <> 'system' AND chat_id = 'click' AND sender_name = 'u1' GROUP BY 1"
+
+
+@query(MX_VOLUME)
 def kinds_volume(spark, d):
     """No system rows, one chat, one sender."""
     return stats.volume(mixed(spark, d), "week", chat_id="click", sender="u1")
 
 
-@query(f"WITH {MX} SELECT chat_id, count(*) AS messages, count(DISTINCT sender_name) > 2 OR bool_or(msg_type = 'system' AND contains(lower(text), 'group')) AS is_group, min(ts) AS first_ts, max(ts) AS last_ts, strftime(make_timestamp((min(ts) + 3600) * 1000000), '%Y-%m-%d') AS first, strftime(make_timestamp((max(ts) + 3600) * 1000000), '%Y-%m-%d') AS last FROM mx GROUP BY chat_id")
+MX_CHATS = f"WITH {MX} SELECT chat_id, count(*) AS messages, count(DISTINCT sender_name) > 2 OR bool_or(msg_type = 'system' AND contains(lower(text), 'group')) AS is_group, min(ts) AS first_ts, max(ts) AS last_ts, strftime(make_timestamp((min(ts) + 3600) * 1000000), '%Y-%m-%d') AS first, strftime(make_timestamp((max(ts) + 3600) * 1000000), '%Y-%m-%d') AS last FROM mx GROUP BY chat_id"
+
+
+@query(MX_CHATS)
 def kinds_chats(spark, d):
     """A chat of two is a group where a system notice says so."""
     return stats.list_chats(mixed(spark, d), "Europe/Rome")
@@ -661,3 +670,28 @@ def collection_search(spark, d):
     held.upsert(vector_rows(spark, d, "new ").where("vec_id % 11 = 0").withColumn("embedding", F.transform("embedding", lambda x: -x)), "chat", "m")
     asked = _read(spark, d, "embeddings").orderBy("vec_id").first().embedding
     return held.search([float(x) for x in asked], "chat", "m", 50).select("id", "text", "score")
+
+
+def kept(spark: SparkSession, d: str) -> rollup.Rollup:
+    """Statistics of an archive that the exported events came into by three loads, the last of which holds all files, kept after each."""
+    lines, archive = exported_events(spark, d), ingest.Archive(spark, shared_folder(spark))
+    states, part = rollup.Rollup(archive, shared_folder(spark)), F.pmod(F.xxhash64("source_file"), F.lit(3))
+    for these in (part == 0, part == 1, F.lit(True)):
+        archive.load(lines.where(these), "Europe/Rome")
+        states.refresh()
+    return states
+
+
+@query(MX_PER_SENDER)
+def kept_per_sender(spark, d):
+    return rounded(kept(spark, d).per_sender(), "share", "avg_chars")
+
+
+@query(MX_CHATS)
+def kept_chats(spark, d):
+    return stats.shown_chats(kept(spark, d).chats(), "Europe/Rome")
+
+
+@query(MX_VOLUME)
+def kept_volume(spark, d):
+    return kept(spark, d).volume("week", chat_id="click", sender="u1")
