@@ -162,25 +162,29 @@ class Collection:
                 centres = KMeans(k=max(2, wanted), distanceMeasure="cosine", initMode="random", maxIter=8, seed=seed).fit(sample).clusterCenters()
             self.store.delete(name)
         units = [(c / np.linalg.norm(c)).tolist() for c in centres if np.linalg.norm(c) > 0]
-        state["cells"] = state["cells"] | {f"{collection}/{model}": self._write_cells(rows, state, F.when(fit, F.transform(e, lambda x: x / F.sqrt(square))), units)}
+        state["cells"] = state["cells"] | {f"{collection}/{model}": self._write_cells(rows, state, units)}
         self.store.commit(version, state)
         return len(units)
 
-    def _write_cells(self, rows: DataFrame, state: dict, unit, centres: list[list[float]]) -> dict:
+    def _write_cells(self, rows: DataFrame, state: dict, centres: list[list[float]]) -> dict:
         """Every row under its nearest centre. The centres are 1,024 at most, so a task holds them all and multiplies by a batch of rows at a time."""
         at = np.array(centres).T
 
         def nearest(batches):
             for part in batches:
                 cell, angle = np.full(len(part), APART, np.int32), np.full(len(part), np.nan)
-                have = part["unit"].notna().to_numpy() & bool(len(centres))
-                if have.any():
-                    cos = np.stack(part["unit"][have].to_numpy()) @ at
+                have = np.flatnonzero([x is not None and len(x) == len(at) for x in part["embedding"]])
+                if len(have) and len(centres):
+                    e = np.stack([np.asarray(x, float) for x in part["embedding"].iloc[have]])
+                    with np.errstate(all="ignore"):
+                        length = np.linalg.norm(e, axis=1)
+                    fit = np.isfinite(length) & (length > 0)
+                    have, cos = have[fit], e[fit] / length[fit, None] @ at
                     cell[have] = cos.argmax(1)
                     angle[have] = np.arccos(np.clip(cos.max(1), -1.0, 1.0))
-                yield part.drop(columns="unit").assign(angle=angle, cell=cell)
+                yield part.assign(angle=angle, cell=cell)
 
-        placed = rows.withColumns({"bucket": self._bucket(state), "unit": unit}).mapInPandas(nearest, CELL_ROWS)
+        placed = rows.withColumn("bucket", self._bucket(state)).mapInPandas(nearest, CELL_ROWS)
         folder = self.store.new_folder("cells")
         # Ranges of (cell, angle, id): a large cell fills many tasks, and a file of it holds a range of angles.
         write(placed.repartitionByRange("cell", "angle", "id").sortWithinPartitions("cell", "angle"), self.store.folder(folder), "cell")
