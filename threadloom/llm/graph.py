@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import discard, materialise
 
@@ -67,10 +67,10 @@ def union_find(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if hooks.isEmpty():
             discard(hooks)
             break
-        while True:  # pointer jumping: hooks lead to smaller nodes, so they have no cycle
-            up = hooks.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            jumped = hooks.select("node", "up").join(up, "up", "left").select("node", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved"))
-            before, hooks = hooks, materialise(jumped, "hooks")
+        while True:  # pointer jumping, two steps at a time: hooks lead to smaller nodes, so they have no cycle
+            up, over = (hooks.select(F.col("node").alias(low), F.col("up").alias(high)) for low, high in (("up", "top"), ("top", "peak")))
+            jumped = hooks.select("node", "up").join(up, "up", "left").join(over, "top", "left")
+            before, hooks = hooks, materialise(jumped.select("node", F.coalesce("peak", "top", "up").alias("up"), F.col("peak").isNotNull().alias("moved")), "hooks")
             discard(before)
             if hooks.where("moved").isEmpty():
                 break
@@ -103,10 +103,13 @@ def open_members(placed: DataFrame, least: float) -> DataFrame:
     member of the bucket; the triangle inequality excludes members.
     """
     # Per bucket the two components with the least lower bounds: what stands nearest beside a member's own component.
-    span = placed.groupBy("bucket", "component").agg(F.min("lo").alias("lo0"))
-    first = span.groupBy("bucket").agg(F.min(F.struct("lo0", "component")).alias("first"), F.count("*").alias("c")).where("c > 1")
-    second = span.join(first, "bucket").where("component <> first.component").groupBy("bucket").agg(F.first("first").alias("first"), F.min("lo0").alias("second"))
-    other = F.when(F.col("component") == F.col("first.component"), F.col("second")).otherwise(F.col("first.lo0"))
+    # Each task sends on two rows of a bucket at most, however many components it has.
+    nearest = Window.partitionBy("bucket").orderBy("lo0", "component")
+    two = placed.groupBy("bucket", "component").agg(F.min("lo").alias("lo0")).withColumn("k", F.row_number().over(nearest)).where("k <= 2")
+    ends = F.struct("lo0", "component")
+    second = two.groupBy("bucket").agg(F.min(ends).alias("first"), F.max(ends).alias("second"), F.count("*").alias("c")).where("c > 1")
+    other = F.when(F.col("component") == F.col("first.component"), F.col("second.lo0")).otherwise(F.col("first.lo0"))
+    second = second.select("bucket", "first", "second")
     return placed.join(second, "bucket").where(other - F.col("hi") <= 1 - least + 1e-9).select(*placed.columns)
 
 

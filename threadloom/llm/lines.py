@@ -151,26 +151,24 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def buckets(signed: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Pairs (a, b) that have a bucket to themselves, and the members of larger buckets (bucket, x, leader), by pass."""
-    pairs, inside = [], []
+    """Buckets (bucket, leader, other, c: the number of members) of several members, and the members of those of more than two (bucket, x, leader), by pass."""
+    several, inside = [], []
     for k in range(PASSES):
         member = band_keys(signed, k)
         # Every pass has an order of its own, so that a group meets several leaders.
         turn, back = F.col("h").bitwiseXOR(F.lit(ORDERS[k])), lambda c, k=k: F.col(c).bitwiseXOR(F.lit(ORDERS[k]))
         found = member.groupBy("bucket").agg(F.min(turn).alias("low"), F.max(turn).alias("high"), F.count("*").alias("c")).where("c > 1")
         found = materialise(found.select("bucket", back("low").alias("leader"), back("high").alias("other"), "c"), "found")
-        two = found.where("c = 2").select(F.least("leader", "other").alias("a"), F.greatest("leader", "other").alias("b"))
-        pairs.append(materialise(two.distinct(), "alone-in-bucket"))
-        large = materialise(found.where("c > 2").select("bucket", "leader"), "large")
+        several.append(found)
+        large = found.where("c > 2").select("bucket", "leader")
         inside.append(materialise(member.join(few(large), "bucket").select("bucket", F.col("h").alias("x"), "leader"), "inside"))
-        discard(found, large)
-    return pairs, inside
+    return several, inside
 
 
 def components(lines: DataFrame) -> DataFrame:
     """(node, component) of the lines (h, line, distinct) that have near copies."""
     signed = materialise(signatures(lines), "signatures")
-    alone_in_bucket, parts = buckets(signed)
+    held, parts = buckets(signed)
     inside = reduce(DataFrame.union, parts)
     signs = materialise(signs_of(signed), "signs")
     discard(signed)
@@ -196,9 +194,10 @@ def components(lines: DataFrame) -> DataFrame:
         return union_find(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
     stars = inside.where("x <> leader").select(F.least("leader", "x").alias("a"), F.greatest("leader", "x").alias("b"))
-    stars = reduce(DataFrame.union, alone_in_bucket, stars).distinct()
+    alone_in_bucket = reduce(DataFrame.union, held).where("c = 2").select(F.least("leader", "other").alias("a"), F.greatest("leader", "other").alias("b"))
+    stars = stars.union(alone_in_bucket).distinct()
     first = materialise(stars.join(end("a"), "a").join(end("b"), "b").where(agree(("a", "b"))).select("a", "b"), "stars")
-    discard(*alone_in_bucket)
+    discard(*held)
     sets = line_sets(first.select(F.explode(F.array("a", "b")).alias("h")).distinct(), lines)
     seen = materialise(verify(first, sets), "stars-verified")
     discard(first, sets)
