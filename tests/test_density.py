@@ -73,3 +73,32 @@ def test_few_and_odd_rows(spark):
     rows = table(spark, same).union(spark.createDataFrame([("none", None)], "id string, embedding array<float>"))
     got = {r.id: r.label for r in density.clusters(rows).collect()}
     assert got["none"] == -1 and len({got[f"{k:05d}"] for k in range(8)}) == 1 and got["00000"] != got["00008"] and min(got["00000"], got["00008"]) >= 0
+
+
+def test_tree_between_two_sides_equals_all_edges():
+    rng = np.random.default_rng(6)
+    for n, left in ((80, 0), (80, 30), (7, 1), (2, 1)):
+        x, core = np.round(rng.standard_normal((n, 3))), np.round(rng.random(n))  # many ties
+        d = np.maximum(np.maximum(density._distances(x, x), core[:, None]), core)
+        a, b = np.triu_indices(n, 1)
+        a, b = (a[(a < left) & (b >= left)], b[(a < left) & (b >= left)]) if left else (a, b)
+        inside = density.lightest(a, b, d[a, b])
+        u, v, w, _ = density.spanning_tree(x, core, left)
+        assert sorted(zip(u, v)) == sorted(zip(a[inside], b[inside])) and np.allclose(w, d[u, v])
+
+
+def test_pairs_of_blocks_make_few_edges(spark, monkeypatch):
+    """A pair adds edges between its blocks only, and none that the blocks' own trees make needless."""
+    monkeypatch.setattr(density, "BLOCK", 32)
+    given, whole = [], density.boruvka
+    monkeypatch.setattr(density, "boruvka", lambda edges: given.append(edges) or whole(edges))
+    x = np.random.default_rng(8).standard_normal((128, 4))
+    points = spark.createDataFrame([(k, v.tolist(), 0.0) for k, v in enumerate(x)], "g long, x array<double>, core double")
+    assert density.tree_edges(points, 128).count() == 127
+    made = [(r.u, r.v) for r in given[0].collect()]
+    assert len(made) == len(set(made)) and len(made) < 4 * 31 + 6 * 63
+
+
+def test_nearest_do_not_keep_their_slab():
+    source = density.least_of(np.random.default_rng(1).random((10, 50)), 3)
+    assert source.shape == (10, 3) and source.base is None

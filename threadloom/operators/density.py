@@ -4,9 +4,9 @@ Vectors are scaled to length one, reduced to their principal axes by a Gram matr
 that tasks sum up, numbered by id and cut into blocks. A pair of blocks is a task:
 first for the nearest neighbours of each point, whose `least`-th is its core
 distance, then for the minimum spanning tree of mutual reachability among the
-pair's points. An edge of the whole tree is in the tree of every pair that holds
-both its ends, so the pairs' trees together contain it; Boruvka rounds (every
-component takes its least edge) pick it from them. Edges are told apart by weight
+edges between its two blocks. An edge of the whole tree is in the tree of any
+edges that it is among, so the pairs' trees together contain it; Boruvka rounds
+(every component takes its least edge) pick it from them. Edges are told apart by weight
 and ends, so the tree is one and the same whatever the blocks.
 
 The tree's edges, sorted and numbered, give the dendrogram in runs of a bounded
@@ -92,21 +92,23 @@ def _matrix(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return rows["g"].to_numpy(), np.stack(rows["x"].to_numpy())
 
 
+def least_of(d: np.ndarray, k: int) -> np.ndarray:
+    """The k least of each row, as a copy: a view would keep the whole slab."""
+    return np.partition(d, k - 1, axis=1)[:, :k].copy() if d.shape[1] > k else d
+
+
 def core_distances(points: DataFrame, n: int, least: int) -> DataFrame:
     """(g, core): the distance to the least-th nearest point, itself the first."""
     k = min(least, n)
 
-    def least_of(d: np.ndarray) -> np.ndarray:
-        return np.partition(d, k - 1, axis=1)[:, :k] if d.shape[1] > k else d
-
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         (g, x), (h, y) = _matrix(left), _matrix(right)
         same = bool(left["i"].iloc[0] == left["j"].iloc[0])
         own, others = [], np.empty((len(y), 0))
         for a in range(0, len(x), SLAB):
             d = _distances(x[a : a + SLAB], y)
-            own += list(least_of(d))
-            others = others if same else least_of(np.concatenate([others, d.T], axis=1))
+            own += list(least_of(d, k))
+            others = others if same else least_of(np.concatenate([others, d.T], axis=1), k)
         return pd.DataFrame({"g": g, "d": own}) if same else pd.DataFrame({"g": np.concatenate([g, h]), "d": own + list(others)})
 
     left, right = _pairs(points, -(-n // BLOCK))
@@ -115,43 +117,105 @@ def core_distances(points: DataFrame, n: int, least: int) -> DataFrame:
     return near.groupBy("g").agg(F.get(F.array_sort(F.flatten(F.collect_list("d"))), F.lit(k - 1)).alias("core"))
 
 
-def spanning_tree(g: np.ndarray, x: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Prim's algorithm over mutual reachability, by (weight, smaller end, larger end): ends and weights."""
-    n, sq = len(x), (x * x).sum(axis=1)
-    best, via, inside, now = np.full(n, np.inf), np.zeros(n, np.int64), np.zeros(n, bool), 0
-    low, high, out = np.full(n, n), np.full(n, n), []
-    at = np.arange(n)
-    for _ in range(n - 1):
-        inside[now] = True
-        d = np.maximum(np.maximum(np.sqrt(np.maximum(sq + sq[now] - 2 * x @ x[now], 0)), core), core[now])
-        a, b = np.minimum(at, now), np.maximum(at, now)
-        closer = ~inside & ((d < best) | (d == best) & ((a < low) | (a == low) & (b < high)))
-        best[closer], via[closer], low[closer], high[closer] = d[closer], now, a[closer], b[closer]
-        open_best = np.where(inside, np.inf, best)
-        ties = np.flatnonzero(open_best == open_best.min())
-        now = int(ties[np.lexsort((high[ties], low[ties]))[0]]) if len(ties) > 1 else int(ties[0])
-        out.append((low[now], high[now], best[now]))
-    u, v, w = (np.array(c) for c in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-    return g[u.astype(np.int64)], g[v.astype(np.int64)], w
+def spanning_tree(x: np.ndarray, core: np.ndarray, left: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Prim's algorithm over mutual reachability, by (weight, smaller end, larger end): ends, weights and the end that each edge adds, by row.
+
+    With `left`, only edges between the first so many rows and the others count.
+    """
+    cuts = [(0, left), (left, len(x))] if left else [(0, len(x))]
+    # Of each side the rows that are not in the tree yet, at the front; what leaves is overwritten by the last of them.
+    at, rows = [np.arange(a, b) for a, b in cuts], [x[a:b].copy() for a, b in cuts]
+    sq, own = [(r * r).sum(axis=1) for r in rows], [core[a:b].copy() for a, b in cuts]
+    best, via, count = [np.full(b - a, np.inf) for a, b in cuts], [np.full(b - a, -1) for a, b in cuts], [b - a for a, b in cuts]
+
+    def key(side: int, k: int) -> tuple[int, int]:
+        return tuple(sorted((int(at[side][k]), int(via[side][k]))))
+
+    out, side, k = [], 0, 0
+    for _ in range(len(x)):
+        now, v, s, c = int(at[side][k]), rows[side][k].copy(), sq[side][k], own[side][k]
+        if out or via[side][k] >= 0:
+            out.append((*key(side, k), best[side][k], now))
+        last = count[side] = count[side] - 1
+        for column in (at, rows, sq, own, best, via):
+            column[side][k] = column[side][last]
+        to = 1 - side if left else side
+        n = count[to]
+        d = rows[to][:n] @ v
+        d *= -2
+        d += sq[to][:n]
+        d += s
+        np.maximum(d, 0, out=d)
+        np.sqrt(d, out=d)
+        np.maximum(d, own[to][:n], out=d)
+        np.maximum(d, c, out=d)
+        some = np.flatnonzero(d <= best[to][:n])
+        new, old = d[some], best[to][some]
+        if not (closer := new < old).all():
+            ends, before = at[to][some], via[to][some]
+            low, high, low0, high0 = np.minimum(ends, now), np.maximum(ends, now), np.minimum(ends, before), np.maximum(ends, before)
+            some = some[closer | (low < low0) | (low == low0) & (high < high0)]
+        best[to][some], via[to][some] = d[some], now
+        least = [(best[t][:m].min(), t) for t, m in enumerate(count) if m]
+        if not least:
+            break
+        w = min(least)[0]
+        ties = [(t, int(q)) for m, t in least if m == w for q in np.flatnonzero(best[t][: count[t]] == w)]
+        side, k = ties[0] if len(ties) == 1 else min(ties, key=lambda q: key(*q))
+    u, v, w, new = (np.array(c) for c in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))
+    return u.astype(np.int64), v.astype(np.int64), w, new.astype(np.int64)
+
+
+def lightest(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Which edges are in the minimum spanning forest of these, by the order of (w, u, v)."""
+    up: dict[int, int] = {}
+
+    def root(k: int) -> int:
+        while k in up:
+            if up[k] in up:
+                up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    inside = np.zeros(len(u), bool)
+    order = np.lexsort((v, u, w))
+    for k, a, b in zip(order.tolist(), u[order].tolist(), v[order].tolist()):
+        a, b = root(a), root(b)
+        if a != b:
+            up[a], inside[k] = b, True
+    return inside
 
 
 def tree_edges(points: DataFrame, n: int) -> DataFrame:
-    """(u, v, w), u < v: the minimum spanning tree of points (g, x, core)."""
+    """(u, v, w), u < v: the minimum spanning tree of points (g, x, core).
+
+    A block's own tree first; a pair of blocks then adds the edges between them that are in the tree of all edges between them
+    and in that of these and both blocks' own trees. So every edge is made by one task.
+    """
     blocks = -(-n // BLOCK)
 
-    def of_pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = pd.concat([left, right]) if left["i"].iloc[0] != left["j"].iloc[0] else left
+    def of_block(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("g")
-        u, v, w = spanning_tree(rows["g"].to_numpy(), np.stack(rows["x"].to_numpy()), rows["core"].to_numpy())
-        return pd.DataFrame({"u": u, "v": v, "w": w})
+        g = rows["g"].to_numpy()
+        u, v, w, new = spanning_tree(np.stack(rows["x"].to_numpy()), rows["core"].to_numpy())
+        return pd.DataFrame({"g": g[new], "u": g[u], "v": g[v], "w": w})
 
-    left, right = _pairs(points, blocks)
-    edges = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(of_pair, "u long, v long, w double")
+    def of_pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left, right = left.sort_values("g"), right.sort_values("g")
+        rows = pd.concat([left, right])
+        g, own = rows["g"].to_numpy(), rows[rows["w"].notna()]
+        u, v, w, _ = spanning_tree(np.stack(rows["x"].to_numpy()), rows["core"].to_numpy(), len(left))
+        found = pd.DataFrame({"u": g[u], "v": g[v], "w": w})
+        ends = pd.concat([found, own[["u", "v", "w"]].astype({"u": "int64", "v": "int64"})])
+        return found[lightest(*(ends[c].to_numpy() for c in "uvw"))[: len(found)]]
+
+    each = points.withColumn("i", F.floor(F.col("g") / BLOCK)).groupBy("i").applyInPandas(of_block, "g long, u long, v long, w double")
+    own = stored(each, "own-edges")
     if blocks == 1:
-        return edges
-    # Two tasks may round one edge's weight differently: the lesser holds.
-    edges = edges.groupBy("u", "v").agg(F.min("w").alias("w"))
-    return boruvka(stored(edges, "candidates"))
+        return own.select("u", "v", "w")
+    left, right = (side.where("i < j") for side in _pairs(stored(points.join(own, "g", "left"), "with-edges"), blocks))
+    between = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(of_pair, "u long, v long, w double")
+    return boruvka(stored(own.select("u", "v", "w").union(between), "candidates"))
 
 
 def boruvka(edges: DataFrame) -> DataFrame:

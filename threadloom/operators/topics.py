@@ -45,7 +45,7 @@ def density_clusters(x: np.ndarray, least: int) -> np.ndarray:
     dist = lambda i: np.sqrt(np.maximum(sq + sq[i] - 2 * x @ x[i], 0))
     k = min(least, n) - 1
     core = np.array([np.partition(dist(i), k)[k] for i in range(n)])
-    edges = sorted((w, int(a), int(b)) for a, b, w in zip(*density.spanning_tree(np.arange(n), x, core)))
+    edges = sorted((w, int(a), int(b)) for a, b, w in zip(*density.spanning_tree(x, core)[:3]))
     # Single linkage as a dendrogram.
     parent, node, size = list(range(n)), list(range(n)), [1] * n
     children, height = {}, {}
