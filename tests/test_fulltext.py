@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +88,15 @@ def test_tokens_are_counted_as_made(spark):
     odd = [None, "", "...", "a b", "Perché è", "e\u0301te\u0301 \u0301 x\u0301", "\u0301a", "İstanbul ΣΑΣ", "日本 12_34", "a\ue000b", "👍 ok"]
     rows = spark.createDataFrame([(t,) for t in odd], "text string").select("text", F.size(fx.search_tokens(F.col("text"))).alias("n"), fx.token_count(F.col("text")).alias("c")).collect()
     assert [r.c for r in rows] == [r.n for r in rows]
+
+
+def test_postings_are_grouped_for_a_merge_and_cut_for_blocks(spark):
+    schema = "token string, id string, seq long, len int, tf int, at array<int>"
+    rows = [(f"t{k % 7}", f"{k:04d}", k, 9, 1 + k % 2, [k, 3][: 1 + k % 2]) for k in range(700)]
+    whole = spark.createDataFrame(rows, schema).coalesce(1).mapInArrow(fulltext._together, f"task int, token string, {fulltext.LISTS}").collect()
+    assert len(whole) == 7
+    for r in whole:
+        own = [x for x in rows if x[0] == r.token]
+        assert r.ids == [x[1] for x in own] and r.tfs == [x[4] for x in own] and r["at"] == [p for x in own for p in x[5]]
+    batch = pa.RecordBatch.from_arrays([pa.array([[1] * n for n in (3, 0, 5, 30, 2)], pa.list_(pa.int32()))], names=["ids"])
+    assert [[len(x) for x in p.column("ids").to_pylist()] for p in fulltext._slices([batch], "ids", 8)] == [[3, 0, 5], [30], [2]]

@@ -9,8 +9,8 @@ filters ask for. Removals are kept beside the segments and hold for those before
 them; `merge` writes one segment of all that lives. A version of the index is a
 manifest (sources.store), so readers never see half a load.
 
-Postings are put together in the task that reads the messages, some thousand
-messages a row, and dealt by bucket and a share of these tasks, so that a token
+Postings are put together in the task that reads the messages, some hundreds of
+thousands of tokens a row, and dealt by bucket and a share of these tasks, so that a token
 that is everywhere fills many blocks in many tasks. Ids are unique: adding a known one replaces it.
 """
 
@@ -30,8 +30,10 @@ from .filters import condition
 from .search import B, K1
 
 BLOCK = 128
-#: Tokens of messages that are grouped at a time.
-TOKENS = 1 << 21
+#: Tokens of messages, and postings, that a worker groups at a time.
+TOKENS, POSTINGS = 1 << 19, 1 << 18
+#: Bytes that Spark hands to a worker at a time, so that one takes no more memory for longer messages or larger tables.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
 #: Postings of a token side by side: ids, seqs, lengths and frequencies of the messages, and all positions one after the other.
 LISTS = "ids array<string>, seqs array<long>, lens array<int>, tfs array<int>, at array<int>"
 BLOCKS = f"token string, n int, max_tf int, min_len int, {LISTS}"
@@ -87,9 +89,19 @@ def _postings(batches):
             )
 
 
+def _slices(batches, lists: str, most: int):
+    """Batches in parts of rows whose lists hold at most `most` entries, but for single rows."""
+    for batch in batches:
+        upto, low = np.cumsum(np.diff(batch.column(lists).offsets.to_numpy())), 0
+        while low < batch.num_rows:
+            high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + most, "right")))
+            yield batch.slice(low, high - low)
+            low = high
+
+
 def _blocks(batches):
     """Rows sorted by token, with lists of postings, to blocks of one token each."""
-    for batch in batches:
+    for batch in _slices(batches, "ids", POSTINGS):
         if not batch.num_rows:
             continue
         many = np.diff(batch.column("ids").offsets.to_numpy())
@@ -110,7 +122,7 @@ def _blocks(batches):
 
 def _apart(batches):
     """Blocks (token, no, lists) to a row per posting with its positions."""
-    for batch in batches:
+    for batch in _slices(batches, "ids", POSTINGS):
         many = np.diff(batch.column("ids").offsets.to_numpy())
         own = pa.array(np.repeat(np.arange(batch.num_rows), many))
         tf = batch.column("tfs").flatten()
@@ -119,12 +131,32 @@ def _apart(batches):
 
 
 def _together(batches):
-    """Rows per posting to rows with lists of one posting each."""
+    """Rows per posting to a row per token and some POSTINGS of them, with lists."""
+    task = TaskContext.get().partitionId()
+
+    def grouped(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(parts)
+        columns = {c: whole.column(c).combine_chunks() for c in ("token", "id", "seq", "len", "tf", "at")}
+        coded = columns["token"].dictionary_encode()
+        code = coded.indices.to_numpy()
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+        head = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        ends = np.append(head, len(code))
+        ids, seqs, lens, tfs, at = (columns[c].take(pa.array(order)) for c in ("id", "seq", "len", "tf", "at"))
+        places = np.append(0, np.cumsum(tfs.to_numpy()))[ends]
+        lists = [*(_cut(v, ends) for v in (ids, seqs, lens, tfs)), _cut(at.flatten(), places)]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(head), task, np.int32)), coded.dictionary.take(pa.array(code[head])), *lists], names=["task", "token", "ids", "seqs", "lens", "tfs", "at"])
+
+    held, n = [], 0
     for batch in batches:
-        ends = np.arange(batch.num_rows + 1)
-        task = pa.array(np.full(batch.num_rows, TaskContext.get().partitionId(), np.int32))
-        at = batch.column("at")
-        yield pa.RecordBatch.from_arrays([task, batch.column("token"), *(_cut(batch.column(c), ends) for c in ("id", "seq", "len", "tf")), at], names=["task", "token", "ids", "seqs", "lens", "tfs", "at"])
+        if batch.num_rows:
+            held, n = [*held, batch], n + batch.num_rows
+        if n >= POSTINGS:
+            yield grouped(held)
+            held, n = [], 0
+    if held:
+        yield grouped(held)
 
 
 def _runs(n: int, offsets: list[list[int]]):
@@ -174,7 +206,16 @@ class FullText:
         dealt = postings.repartition(tasks, bucket, share).withColumn("bucket", bucket).sortWithinPartitions("bucket", "token")
         names = {k: self.store.new_folder(k) for k in ("postings", "messages")}
         blocks = dealt.drop("task", "bucket").mapInArrow(_blocks, BLOCKS)
-        write(blocks.withColumn("bucket", bucket).sortWithinPartitions("bucket", "token"), f"{self.store.folder(names['postings'])}/no={no}", "bucket")
+        name, most = BATCH_BYTES
+        before = self.spark.conf.get(name, None)
+        self.spark.conf.set(name, most)
+        try:
+            write(blocks.withColumn("bucket", bucket).sortWithinPartitions("bucket", "token"), f"{self.store.folder(names['postings'])}/no={no}", "bucket")
+        finally:
+            if before is None:
+                self.spark.conf.unset(name)
+            else:
+                self.spark.conf.set(name, before)
         write(messages, f"{self.store.folder(names['messages'])}/no={no}")
         count = self.spark.read.parquet(f"{self.store.folder(names['messages'])}/no={no}").agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("t")).first()
         return names | {"no": no, "docs": count.n, "tokens": count.t}
