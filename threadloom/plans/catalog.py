@@ -79,8 +79,10 @@ def exported_events(spark: SparkSession, d: str) -> DataFrame:
     body = F.element_at(F.array(*said), (kind + 1).cast("int"))
     sender = F.when(kind.isin(6, 7), "").otherwise(F.concat(F.lit("u"), (F.col("user_id") % 2).cast("string"), F.lit(": ")))
     value = F.concat(F.date_format("ts", "dd/MM/yy, hh:mm:ss a"), F.lit(" - "), sender, body)
-    number = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")).cast("long")
-    return e.select(F.concat("event_type", F.lit(".txt")).alias("source_file"), F.lit("").alias("file_hash"), number.alias("line_no"), value.alias("value"))
+    lines = e.select("event_id", F.col("event_type").alias("chat_id"), value.alias("value"))
+    # A file is as long as its event type has events: its lines are numbered over ranges of them.
+    placed = ordered.placed(ordered.numbered(lines, "chat_id", "event_id"))
+    return placed.select(F.concat("chat_id", F.lit(".txt")).alias("source_file"), F.lit("").alias("file_hash"), (F.col("at") + 1).alias("line_no"), "value")
 
 
 def mixed(spark: SparkSession, d: str) -> DataFrame:
