@@ -23,3 +23,32 @@ def test_long_paths_are_one_component(spark):
     edges = [*zip(order, order[1:]), (500, 501), (501, 502)]
     found = graph.union_find(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r.node: r.component for r in found} == dict.fromkeys(range(200), 0) | dict.fromkeys((500, 501, 502), 500)
+
+
+def test_further_links_are_solved_between_components_only(spark):
+    edges = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    for solve in (graph.union_find, graph.star_components):
+        first = [(1, 2), (2, 3), (5, 6), (8, 9)]
+        comp = solve(edges(first))
+        assert graph.extended(comp, edges([(3, 1), (6, 5)]), solve) is comp and comp.count() == 7  # nothing is joined
+        assert graph.extended(comp, edges([]), solve) is comp
+        given = []
+
+        def watched(between, solve=solve):
+            given.extend(sorted((r.a, r.b) for r in between.collect()))
+            return solve(between)
+
+        found = graph.extended(comp, edges([(6, 3), (3, 1), (2, 5), (0, 9), (20, 21)]), watched)
+        assert {r.node: r.component for r in found.collect()} == dict.fromkeys((1, 2, 3, 5, 6), 1) | dict.fromkeys((0, 8, 9), 0) | {20: 20, 21: 20}
+        assert given == [(0, 8), (1, 5), (20, 21)] and found.count() == 10
+
+
+def test_empty_edges_and_few_queries(spark):
+    none = spark.createDataFrame([], "a long, b long")
+    assert graph.union_find(none).count() == 0 and graph.star_components(none).count() == 0
+    store = spark._jsparkSession.sharedState().statusStore()
+    pairs = spark.createDataFrame([(k, k + 1000) for k in range(50)], "a long, b long")
+    before = store.executionsCount()
+    assert graph.union_find(pairs).count() == 100
+    # edges, hooks, jump, parents, edges, components and the count: emptiness is seen while tables are written.
+    assert store.executionsCount() - before == 7

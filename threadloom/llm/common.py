@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 #: Rows, and bytes of several rows, that a Python worker turns into Python objects at a time.
 SLICE_ROWS, SLICE_BYTES = 256, 4 << 20
@@ -53,6 +53,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def counted(df: DataFrame, name: str, **figures: Column) -> tuple[DataFrame, dict]:
+    """`materialise`, and aggregates of the rows that are taken while they are written, so that no query of its own reads them for that."""
+    seen = Observation()
+    return materialise(df.observe(seen, *(c.alias(k) for k, c in figures.items())), name), seen.get
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that `materialise` wrote and that nothing reads any more."""
     for t in tables:

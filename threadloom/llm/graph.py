@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import discard, materialise
+from .common import counted, discard, materialise
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -38,10 +40,10 @@ def star_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = materialise(edges.where("a <> b").select("a", "b").distinct(), "edges")
     mark = None
     for _ in range(max_rounds):
-        before, now = now, materialise(_small_star(_large_star(now)), "star")
+        before = now
+        now, state = counted(_small_star(_large_star(now)), "star", n=F.count("*"), s=F.sum(F.xxhash64("a", "b") % (1 << 40)))
         discard(before)
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40))).first()
-        if state == mark or not state[0]:
+        if state == mark or not state["n"]:
             break
         mark = state
     else:
@@ -63,16 +65,17 @@ def union_find(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     parent = None
     for _ in range(max_rounds):
         hooks = _both_ways(edges).groupBy("a").agg(F.min("b").alias("m")).where("m < a").select(F.col("a").alias("node"), F.col("m").alias("up"))
-        hooks = materialise(hooks, "hooks")
-        if hooks.isEmpty():
+        hooks, some = counted(hooks, "hooks", n=F.count("*"))
+        if not some["n"]:
             discard(hooks)
             break
         while True:  # pointer jumping, two steps at a time: hooks lead to smaller nodes, so they have no cycle
             up, over = (hooks.select(F.col("node").alias(low), F.col("up").alias(high)) for low, high in (("up", "top"), ("top", "peak")))
             jumped = hooks.select("node", "up").join(up, "up", "left").join(over, "top", "left")
-            before, hooks = hooks, materialise(jumped.select("node", F.coalesce("peak", "top", "up").alias("up"), F.col("peak").isNotNull().alias("moved")), "hooks")
+            before = hooks
+            hooks, some = counted(jumped.select("node", F.coalesce("peak", "top", "up").alias("up"), F.col("peak").isNotNull().alias("moved")), "hooks", moved=F.count_if("moved"))
             discard(before)
-            if hooks.where("moved").isEmpty():
+            if not some["moved"]:
                 break
         roots = hooks.select(F.col("node").alias("r"), F.col("up").alias("top"))
         new = hooks.select("node", "up")
@@ -82,8 +85,11 @@ def union_find(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         for end in ("a", "b"):
             left = left.join(roots, F.col(end) == F.col("r"), "left").withColumn(end, F.coalesce("top", end)).select("a", "b")
         before = [edges, hooks] + [parent] * (parent is not None)
-        parent, edges = materialise(new, "parents"), materialise(_ordered(left), "edges")
+        parent = materialise(new, "parents")
+        edges, some = counted(_ordered(left), "edges", n=F.count("*"))
         discard(*before)
+        if not some["n"]:
+            break
     else:
         raise RuntimeError("components did not settle")
     if parent is None:
@@ -96,6 +102,27 @@ def union_find(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return out
 
 
+def extended(comp: DataFrame, links: DataFrame, solve: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The components (node, component), stored, with further links (a, b); comp itself if these join nothing, else it is deleted.
+
+    Only links between different components are solved, with a component as one node: these are far fewer than what
+    comp was made of.
+    """
+    for end in "ab":
+        of = comp.select(F.col("node").alias(end), F.col("component").alias("top"))
+        links = links.join(of, end, "left").withColumn(end, F.coalesce("top", end)).select("a", "b")
+    between, some = counted(_ordered(links), "between", n=F.count("*"))
+    if not some["n"]:
+        discard(between)
+        return comp
+    roots = solve(between)
+    up = roots.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    old = comp.join(up, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    out = materialise(old.union(roots.join(comp, "node", "left_anti").select("node", "component")), "components")
+    discard(comp, between, roots)
+    return out
+
+
 def open_members(placed: DataFrame, least: float) -> DataFrame:
     """Rows of a bucket's members that may reach a Jaccard similarity of `least` to one in another component.
 

@@ -34,8 +34,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import discard, materialise
-from .graph import in_blocks, open_members, open_pairs, purest_leaders, union_find
+from .common import counted, discard, materialise
+from .graph import extended, in_blocks, open_members, open_pairs, purest_leaders, union_find
 
 WIDTH = 5
 LEAST = 0.75
@@ -122,15 +122,15 @@ def agree(ends: tuple[str, str]) -> Column:
     return (F.least(na, nb) >= F.greatest(na, nb) * LEAST - 1e-9) & ((F.least(na, nb) < LONG) | (differ <= DIFFER))
 
 
-def few(keys: DataFrame) -> DataFrame:
+def few(keys: DataFrame, count: int) -> DataFrame:
     """For a join: stored keys, broadcast if there are at most BROADCAST_KEYS."""
-    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    return F.broadcast(keys) if count <= BROADCAST_KEYS else keys
 
 
 def line_sets(ends: DataFrame, lines: DataFrame) -> DataFrame:
     """Compared forms (h, line) of the lines in `ends` (h, distinct): shorter than their sets, which are made where they are needed."""
-    ends = materialise(ends, "ends")
-    sets = materialise(lines.join(few(ends), "h", "left_semi").select("h", "line"), "line-sets")
+    ends, have = counted(ends, "ends", n=F.count("*"))
+    sets = materialise(lines.join(few(ends, have["n"]), "h", "left_semi").select("h", "line"), "line-sets")
     discard(ends)
     return sets
 
@@ -158,10 +158,10 @@ def buckets(signed: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
         # Every pass has an order of its own, so that a group meets several leaders.
         turn, back = F.col("h").bitwiseXOR(F.lit(ORDERS[k])), lambda c, k=k: F.col(c).bitwiseXOR(F.lit(ORDERS[k]))
         found = member.groupBy("bucket").agg(F.min(turn).alias("low"), F.max(turn).alias("high"), F.count("*").alias("c")).where("c > 1")
-        found = materialise(found.select("bucket", back("low").alias("leader"), back("high").alias("other"), "c"), "found")
+        found, have = counted(found.select("bucket", back("low").alias("leader"), back("high").alias("other"), "c"), "found", large=F.count_if(F.col("c") > 2))
         several.append(found)
         large = found.where("c > 2").select("bucket", "leader")
-        inside.append(materialise(member.join(few(large), "bucket").select("bucket", F.col("h").alias("x"), "leader"), "inside"))
+        inside.append(materialise(member.join(few(large, have["large"]), "bucket").select("bucket", F.col("h").alias("x"), "leader"), "inside"))
     return several, inside
 
 
@@ -190,9 +190,6 @@ def components(lines: DataFrame) -> DataFrame:
             .select("bucket", "x", "n", "s0", "s1", F.coalesce("component", "x").alias("component"), F.when(own, 0.0).otherwise(F.coalesce("d", F.lit(0.0))).alias("lo"), F.when(own, 0.0).otherwise(F.coalesce("d", F.lit(1.0))).alias("hi"))
         )
 
-    def joined(comp: DataFrame, more: DataFrame) -> DataFrame:
-        return union_find(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-
     stars = inside.where("x <> leader").select(F.least("leader", "x").alias("a"), F.greatest("leader", "x").alias("b"))
     alone_in_bucket = reduce(DataFrame.union, held).where("c = 2").select(F.least("leader", "other").alias("a"), F.greatest("leader", "other").alias("b"))
     stars = stars.union(alone_in_bucket).distinct()
@@ -223,13 +220,12 @@ def components(lines: DataFrame) -> DataFrame:
     fits = again.where((F.col("x") != F.col("leader")) & (F.least("n", "ln") >= F.greatest("n", "ln") * LEAST - 1e-9))
     fits = fits.select(F.least("leader", "x").alias("a"), F.greatest("leader", "x").alias("b")).distinct()
     seen2 = materialise(verify(fits.join(seen, ["a", "b"], "left_anti"), sets), "again-verified")
-    both, more = seen.union(seen2), joined(comp, links(seen2))
-    discard(comp)
-    where = materialise(placed(again.select("bucket", "x", "leader"), more, both), "placed")
+    both, comp = seen.union(seen2), extended(comp, links(seen2), union_find)
+    where = materialise(placed(again.select("bucket", "x", "leader"), comp, both), "placed")
     rest = open_pairs(open_members(where, LEAST), alone, bits, LEAST, carry=("s0", "s1"), also=agree(("a", "b")))
     rest = materialise(rest.join(both, ["a", "b"], "left_anti"), "rest")
-    final = joined(more, links(verify(rest, sets)))
-    discard(signs, seen, seen2, alone, bits, again, where, rest, sets, more)
+    final = extended(comp, links(verify(rest, sets)), union_find)
+    discard(signs, seen, seen2, alone, bits, again, where, rest, sets)
     return final
 
 
@@ -241,9 +237,9 @@ def dropped(docs: DataFrame) -> DataFrame:
     known = materialise(known.select("h", "first", F.coalesce("component", "h").alias("component")), "known")
     discard(lines, comp)
     keeper = known.groupBy("component").agg(F.min("first").alias("keeper"))
-    of_line = materialise(known.join(keeper, "component").select("h", "keeper"), "keepers")
+    of_line, have = counted(known.join(keeper, "component").select("h", "keeper"), "keepers", n=F.count("*"))
     discard(known)
-    at = occurrences(docs).select("doc_id", "digest", "pos", "h").join(few(of_line), "h")
+    at = occurrences(docs).select("doc_id", "digest", "pos", "h").join(few(of_line, have["n"]), "h")
     gone = at.where(F.struct("doc_id", "digest", "pos") != F.col("keeper"))
     out = materialise(gone.groupBy("doc_id", "digest").agg(F.collect_set("pos").alias("drop")), "dropped")
     discard(of_line)

@@ -31,8 +31,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialise, slices
-from .graph import open_members, open_pairs, purest_leaders, star_components
+from .common import counted, materialise, slices
+from .graph import extended, open_members, open_pairs, purest_leaders, star_components
 
 WORDS, BANDS, ROWS, SEED = 5, 40, 5, 1
 LEAST_NUMERATOR = 75  # 100 * intersection >= 75 * union
@@ -191,8 +191,8 @@ def components(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
 
     # Texts that any comparison needs, once: those of documents that share a bucket.
-    ids = materialise(inside.select(F.col("x").alias("doc_id")).distinct(), "wanted-ids")
-    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    ids, have = counted(inside.select(F.col("x").alias("doc_id")).distinct(), "wanted-ids", n=F.count("*"))
+    few = F.broadcast(ids) if have["n"] <= BROADCAST_IDS else ids
     texts = materialise(texts.join(few, "doc_id", "left_semi").distinct().join(signs.join(few, "doc_id", "left_semi").select("doc_id", "agree"), "doc_id"), "wanted")
 
     def examine(pairs: DataFrame, name: str) -> DataFrame:
@@ -221,9 +221,6 @@ def components(docs: DataFrame) -> DataFrame:
             .select("bucket", "x", "n", "component", "lo", "hi")
         )
 
-    def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
-        return star_components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
-
     least = LEAST_NUMERATOR / 100
     seen = examine(stars(inside), "stars")
     comp = star_components(links_of(seen).union(_rows_of_one(sets, classes)))
@@ -232,11 +229,11 @@ def components(docs: DataFrame) -> DataFrame:
     alone = materialise(own_shingles(texts.join(members.select(F.col("x").alias("doc_id")).distinct(), "doc_id", "left_semi")), "alone")
     again = materialise(purest_leaders(members, alone, least), "again")
     seen2 = examine(stars(again).join(seen, ["a", "b"], "left_anti"), "again-verified")
-    seen, comp = seen.union(seen2), joined(comp, links_of(seen2))
+    seen, comp = seen.union(seen2), extended(comp, links_of(seen2), star_components)
     members = materialise(open_members(placed(again, comp, seen), least), "members")
     bits = signs.groupBy(F.col("doc_id").alias("x")).agg(F.first("sketch").alias("sketch"), F.count("*").alias("c")).select("x", F.when(F.col("c") == 1, F.col("sketch")).alias("sketch"))
     late = examine(open_pairs(members, alone, bits, least).join(seen, ["a", "b"], "left_anti"), "rest")
-    final = joined(comp, links_of(late))
+    final = extended(comp, links_of(late), star_components)
 
     out = sets.join(classes.select("digest", "rep"), "digest", "left").join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
