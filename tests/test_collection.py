@@ -100,3 +100,49 @@ def test_messages_and_windows(spark):
         assert {(r.id, r.text_hash, tuple(r.embedding)) for r in c.rows().collect()} == {(r.id, r.text_hash, tuple(r.embedding)) for r in want.collect()}
     with pytest.raises(ValueError):
         c.index_windows(m, bag, mode="other")
+
+
+def test_windows_are_made_once_and_rows_grouped_only_for_repeated_keys(spark, monkeypatch):
+    m = spark.createDataFrame([(f"m{k}", f"c{k % 3}", "s", k, k * 60, "2024-01-01", "10:00", f"words {k % 7}", "text") for k in range(60)], "id string, chat_id string, sender_name string, seq long, ts long, local_date string, local_time string, text string, msg_type string")
+    c, bag, made, make = Collection(spark, shared_folder(spark), 4), vectors.HashedBag(16), spark.sparkContext.accumulator(0), vectors.window_documents
+    c.index_messages(m, bag)
+    c.index_windows(m, bag, mode="mean", size=2, stride=1)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(vectors, "window_documents", lambda *a: (d := make(*a)).mapInArrow(counted, d.schema))
+    c.index_windows(m, bag, mode="mean", size=3, stride=2)
+    windows = c.rows().where("kind = 'window'").count()
+    assert made.value == windows > 0 and c.store._names("staged") == []
+    # Whole rows are grouped, by a sort, only if a key repeats.
+    once, twice = rows(spark, [("1", "a", [1, 0], "c"), ("2", "b", [1, 0], "c")]), rows(spark, [("1", "a", [1, 0], "c"), ("1", "b", [1, 0], "c")])
+    plan = lambda r: c._one_a_key(c._shaped(r, "chat", "m").withColumn("bucket", c._bucket(c._state()[1])))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan(once) and "Aggregate" in plan(twice)
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark):
+    rng = np.random.default_rng(2)
+    size = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", None)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        c = Collection(spark, shared_folder(spark), 1)
+        c.upsert(rows(spark, [(str(k), f"t{k}", rng.normal(size=32), "c") for k in range(4000)]).repartition(4), "chat", "m")
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size) if size else spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    (at,) = c._state()[1]["at"].values()
+    assert len([n for n in c.store._names(f"{at}/bucket=0") if n.endswith(".parquet")]) > 1 and c.rows().count() == 4000
+
+
+def test_means_of_few_equal_mean_pool(spark):
+    rng = np.random.default_rng(5)
+    data = [(f"w{k // 3}", k % 3, [float(x) for x in rng.normal(size=8)]) for k in range(300)] + [("zero", 0, [0.0] * 8), ("zero", 1, [0.0] * 8), ("none", 0, []), ("gone", 0, None), ("one", 0, [3.0, 4.0])]
+    few = spark.createDataFrame(data, "id string, pos int, embedding array<float>").repartition(5)
+    got, want = ({r.id: r.embedding for r in f.collect()} for f in (vectors.mean_of_few(few), vectors.mean_pool(few, "id")))
+    assert got.keys() == want.keys() and len(got) == 102 and all(np.allclose(got[k], want[k], rtol=0, atol=1e-7) for k in want)
+    # No buffer of a vector summary for every window.
+    assert "metrics" not in (plan := vectors.mean_of_few(few)._jdf.queryExecution().optimizedPlan().toString()) and "collect_list" in plan
+    with pytest.raises(Exception, match="differ in length"):
+        vectors.mean_of_few(spark.createDataFrame([("a", 0, [1.0]), ("a", 1, [1.0, 2.0])], few.schema)).collect()

@@ -83,12 +83,10 @@ class Collection:
                 return []
             after = self._read(state, touched).withColumn("bucket", self._bucket(state)).join(keys, ["bucket", *KEY], "left_anti")
             if new is not None:
-                # Of several new rows with one key the one with the greatest text hash stays, so that a repeated task writes the same.
-                rest = [c for c in VECTORS.fieldNames() if c not in KEY]
-                one = new.groupBy("bucket", *KEY).agg(F.max(F.struct(F.coalesce("text_hash", F.lit("")), *rest)).alias("r")).select("bucket", *KEY, *(f"r.{c}" for c in rest))
-                after = after.unionByName(one)
+                after = after.unionByName(self._one_a_key(new))
             folder = self.store.new_folder("rows")
-            write(after.select("bucket", *VECTORS.fieldNames()).repartition(len(touched), "bucket"), self.store.folder(folder), "bucket")
+            # A bucket goes to as many tasks as its bytes need, so that tasks do not grow with the collection.
+            write(after.select("bucket", *VECTORS.fieldNames()).hint("rebalance", "bucket"), self.store.folder(folder), "bucket")
             filled = {n.split("=")[1] for n in self.store._names(folder) if n.startswith("bucket=")}
             at = {b: f for b, f in state["at"].items() if b not in touched} | {b: folder for b in filled}
             self.store.commit(version, state | {"at": at})
@@ -97,6 +95,15 @@ class Collection:
             for s in filter(None, staged):
                 self.store.delete(s[0])
 
+    @staticmethod
+    def _one_a_key(new: DataFrame) -> DataFrame:
+        """Of several new rows with one key the one with the greatest text hash, so that a repeated task writes the same. Whole rows are grouped only if a key repeats."""
+        if new.groupBy("bucket", *KEY).count().where("count > 1").isEmpty():
+            return new.select("bucket", *VECTORS.fieldNames())
+        rest = [c for c in VECTORS.fieldNames() if c not in KEY]
+        best = F.max(F.struct(F.coalesce("text_hash", F.lit("")), *rest)).alias("r")
+        return new.groupBy("bucket", *KEY).agg(best).select("bucket", *KEY, *(f"r.{c}" for c in rest))
+
     def upsert(self, rows: DataFrame, collection: str, model: str) -> list[int]:
         """Add rows; one replaces the row of its key. Returns the buckets that were written."""
         return self._change(*self._state(), self._shaped(rows, collection, model))
@@ -122,11 +129,16 @@ class Collection:
         if mode not in ("model", "mean"):
             raise ValueError(f"mode must be 'model' or 'mean', not {mode!r}")
         version, state = self._state()
-        index = self._read(state)
-        found = vectors.window_documents(messages, size, stride, chat_id)
-        gone = index.join(vectors.vanished(index, found, collection), ["collection", "kind", "id"], "left_semi").select(*KEY)
-        todo = vectors.pending(found, index, collection, embedder.model)
-        return self._change(version, state, self._shaped(vectors.window_vectors(todo, index, embedder, collection, mode), collection, embedder.model), gone)
+        index, name = self._read(state), self.store.new_folder("staged")
+        try:
+            # Windows are made once: what is gone, what is new and its members all ask for them.
+            write(vectors.window_documents(messages, size, stride, chat_id), self.store.folder(name))
+            found = self.spark.read.parquet(self.store.folder(name))
+            gone = index.join(vectors.vanished(index, found, collection), ["collection", "kind", "id"], "left_semi").select(*KEY)
+            todo = vectors.pending(found, index, collection, embedder.model)
+            return self._change(version, state, self._shaped(vectors.window_vectors(todo, index, embedder, collection, mode), collection, embedder.model), gone)
+        finally:
+            self.store.delete(name)
 
     def _shaped(self, rows: DataFrame, collection: str, model: str) -> DataFrame:
         given = {"collection": F.lit(collection), "model": F.lit(model)}

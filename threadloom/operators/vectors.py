@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as fx
 from ..schema import INDEXABLE_TYPES, VECTORS
+from ..sources.store import stored
 from . import filters
 from .windows import conversation_windows
 
@@ -97,14 +98,14 @@ def window_vectors(todo: DataFrame, index: DataFrame, embedder: Embedder, collec
     if mode == "model":
         return embed_distinct(todo, embedder)
     members = index.where((F.col("kind") == "message") & (F.col("collection") == collection) & (F.col("model") == embedder.model)).select(F.col("id").alias("member"), "embedding")
-    return todo.join(mean_pool(todo.select("id", F.explode("members").alias("member")).join(members, "member"), "id"), "id")
+    return todo.join(mean_of_few(todo.select("id", F.posexplode("members").alias("pos", "member")).join(members, "member")), "id")
 
 
 def index_windows(messages: DataFrame, index: DataFrame, embedder: Embedder, collection: str = "chat", mode: str = "model", size: int = 6, stride: int = 3, chat_id: str | None = None) -> DataFrame:
     """Windows, embedded by the model or as the mean of their messages' vectors. Windows that no longer exist go."""
     if mode not in ("model", "mean"):
         raise ValueError(f"mode must be 'model' or 'mean', not {mode!r}")
-    found = window_documents(messages, size, stride, chat_id)
+    found = stored(window_documents(messages, size, stride, chat_id), "windows")  # made once, asked for several times
     index = index.join(vanished(index, found, collection), ["collection", "kind", "id"], "left_anti").select(*VECTORS.fieldNames())
     todo = pending(found, index, collection, embedder.model)
     return upsert(index, window_vectors(todo, index, embedder, collection, mode), collection, embedder.model)
@@ -119,6 +120,19 @@ def mean_pool(rows: DataFrame, *by: str) -> DataFrame:
     return whole.select(*by, F.transform("e", lambda x: F.when(norm > 0, x / norm).otherwise(x).cast("float")).alias("embedding"))
 
 
+def mean_of_few(rows: DataFrame) -> DataFrame:
+    """mean_pool by id for many groups of a few rows each (id, pos, embedding): a window's vectors are put side by side and added in order.
+
+    A buffer of sums pays where a group has many rows; here each would be made, written and merged for two or three.
+    """
+    whole = rows.where("size(embedding) > 0").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "embedding"))).alias("v"))
+    first = F.col("v")[0]["embedding"]
+    add = lambda a, x: F.when(F.size(a) == F.size(x["embedding"]), F.zip_with(a, x["embedding"], lambda p, q: p + q.cast("double"))).otherwise(F.raise_error(F.lit("vectors of a window differ in length")).cast("array<double>"))
+    sums = whole.select("id", F.aggregate("v", F.array_repeat(F.lit(0.0), F.size(first)), add).alias("e"))
+    sums = sums.select("id", "e", F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"))
+    return sums.select("id", F.when(F.col("norm") > 0, F.transform("e", lambda x: x / F.col("norm"))).otherwise(F.col("e")).cast("array<float>").alias("embedding"))
+
+
 def reset(index: DataFrame, collection: str, model: str) -> DataFrame:
     return index.where(~((F.col("collection") == collection) & (F.col("model") == model)))
 
