@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -53,6 +56,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def together(tables: list[DataFrame]) -> DataFrame:
+    """The rows of stored tables of one schema, by one scan: a union would plan and compile one for each."""
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*(t.stored_at for t in tables))
+
+
+def trimmed() -> None:
+    """Give memory that Python has freed on the driver back to the system: after training its pages stay with the process."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError, TypeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def counted(df: DataFrame, name: str, **figures: Column) -> tuple[DataFrame, dict]:
     """`materialise`, and aggregates of the rows that are taken while they are written, so that no query of its own reads them for that."""
     seen = Observation()

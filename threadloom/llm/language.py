@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import slices
+from .common import slices, trimmed
 
 UNDETERMINED = "und"
 CACHE_WORDS = 500_000
@@ -104,7 +104,10 @@ def fit(docs: DataFrame, sample: int = 3000, train_chars: int = 50_000, seed: in
     h = F.xxhash64(F.lit(seed), F.col("doc_id"))
     chosen = known.select("doc_id", h.alias("h")).distinct().orderBy("h", "doc_id").limit(sample)  # ids first: texts come for these only
     rows = known.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").orderBy("h", "doc_id", "text", "lang").limit(sample).collect()
-    return train([r.text for r in rows], [r.lang for r in rows], seed=seed, **options)
+    model = train([r.text for r in rows], [r.lang for r in rows], seed=seed, **options)
+    del rows
+    trimmed()
+    return model
 
 
 def predict(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:

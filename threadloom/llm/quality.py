@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import slices
+from .common import slices, trimmed
 
 N_BINS, THRESHOLD = 10, 0.7
 #: Byte classes whose share in a line is a feature.
@@ -184,7 +184,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, train_chars: int
         .limit(sample)
     )
     rows = docs.select("doc_id", "text").where(F.length("text") <= train_chars).join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "__q", "text").limit(2 * sample).collect()
-    return train([r.text for r in rows], [r["__q"] for r in rows], **options)
+    model = train([r.text for r in rows], [r["__q"] for r in rows], **options)
+    del rows
+    trimmed()
+    return model
 
 
 def by_length(p: np.ndarray, size: np.ndarray, n_lines: np.ndarray) -> np.ndarray:
