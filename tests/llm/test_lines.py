@@ -108,3 +108,37 @@ def test_repeated_and_empty(spark):
     got = sorted((r.doc_id or -1, r.text) for r in lines.dedup(rows).collect())
     assert got[0] == (-1, t) and got[1] == got[2] and got[3] == (2, "")
     assert lines.dedup(rows.where(F.lit(False))).schema == rows.schema
+
+
+def test_a_pass_makes_its_keys_once(spark):
+    base = "the quick brown fox jumps over the lazy dog and goes on to sleep under an old oak tree until evening comes"
+    forms = [base, base + "!", base + " x", "an entirely different line that resembles nothing else at all", "short one", "short ones"]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(forms)], "h long, line string")
+    signed = lines.materialise(lines.signatures(rows), "signatures")
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    parts = lines.buckets(signed)
+    assert store.executionsCount() - before == lines.PASSES  # one query a pass, and nothing is broadcast
+    keys = [(r.bucket, r.h) for k in range(lines.PASSES) for r in lines.band_keys(signed, k).collect()]
+    held = {}
+    for bucket, h in keys:
+        held.setdefault(bucket, set()).add(h)
+    several = {b: m for b, m in held.items() if len(m) > 1}
+    every = lines.together(parts)
+    got = {}
+    for r in every.collect():
+        got.setdefault(r.bucket, set()).add(r.x)
+        assert r.c == len(several[r.bucket]) and r.leader in several[r.bucket]
+    assert got == several and {0, 1, 2} in several.values()
+    assert every._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1  # all passes by one scan
+    lines.discard(signed, *parts)
+
+
+def test_sizes_come_with_the_lines(spark):
+    forms = ["abcdeabcde", "abcdeabcdf", "abcd", "x" * 40, "x" * 50]  # shingles that repeat, and too short for one
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(forms)], "h long, line string")
+    sets = [({x[i : i + 5] for i in range(len(x) - 4)} or {x}) for x in forms]
+    ends = spark.createDataFrame([(k, len(s)) for k, s in enumerate(sets)], "h long, n int")
+    pairs = spark.createDataFrame([(a, b) for a in range(5) for b in range(a + 1, 5)], "a long, b long")
+    found = lines.verify(pairs, lines.line_sets(ends, rows)).collect()
+    assert len(found) == 10 and all(abs(r.d - (1 - len(sets[r.a] & sets[r.b]) / len(sets[r.a] | sets[r.b]))) < 1e-12 for r in found)

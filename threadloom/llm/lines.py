@@ -34,7 +34,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import counted, discard, materialise
+from .common import counted, discard, materialise, together
 from .graph import extended, in_blocks, open_members, open_pairs, purest_leaders, union_find
 
 WIDTH = 5
@@ -52,7 +52,7 @@ _RNG = random.Random(7)
 PAIRS, TRIPLES, SIXES = ([_RNG.sample(range(RANGES), k) for _ in range(n)] for k, n in ((2, 14), (3, 24), (6, 40)))
 SPANS = [(0, SHORT, PAIRS), (FEW, LONG, TRIPLES), (int(LONG * LEAST), 1 << 30, SIXES)]
 #: Shares of the bands that are looked through one after the other, so that only one lies in shuffle files.
-PASSES = 8
+PASSES = 4
 ORDERS = [_RNG.getrandbits(63) for _ in range(PASSES)]
 #: Most keys that are broadcast (8 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_KEYS = 500_000
@@ -63,11 +63,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def runs(line: Column) -> Column:
+    """64-bit hashes of a line's shingles, in order; one that repeats is there again."""
+    step, size = F.lit(4), F.lit(4 * WIDTH)  # UTF-32: four bytes a character, so that each is found at once
+    every = let(F.encode(line, "UTF-32"), lambda b: F.transform(F.sequence(F.lit(1), F.octet_length(b) - size + 1, step), lambda i: F.xxhash64(F.substring(b, i, size))))
+    return F.when(F.length(line) < WIDTH, F.array(F.xxhash64(line))).otherwise(every)
+
+
 def shingles(line: Column) -> Column:
     """Distinct 64-bit hashes of a line's shingles."""
-    step, size = F.lit(4), F.lit(4 * WIDTH)  # UTF-32: four bytes a character, so that each is found at once
-    runs = let(F.encode(line, "UTF-32"), lambda b: F.transform(F.sequence(F.lit(1), F.octet_length(b) - size + 1, step), lambda i: F.xxhash64(F.substring(b, i, size))))
-    return F.array_distinct(F.when(F.length(line) < WIDTH, F.array(F.xxhash64(line))).otherwise(runs))
+    return F.array_distinct(runs(line))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -128,9 +133,9 @@ def few(keys: DataFrame, count: int) -> DataFrame:
 
 
 def line_sets(ends: DataFrame, lines: DataFrame) -> DataFrame:
-    """Compared forms (h, line) of the lines in `ends` (h, distinct): shorter than their sets, which are made where they are needed."""
-    ends, have = counted(ends, "ends", n=F.count("*"))
-    sets = materialise(lines.join(few(ends, have["n"]), "h", "left_semi").select("h", "line"), "line-sets")
+    """Compared forms (h, line, n) of the lines in `ends` (h, n: the size of its set, distinct): shorter than their sets, which are made where they are needed."""
+    ends, have = counted(ends, "ends", rows=F.count("*"))
+    sets = materialise(lines.select("h", "line").join(few(ends, have["rows"]), "h"), "line-sets")
     discard(ends)
     return sets
 
@@ -144,32 +149,31 @@ def sketches(elements: DataFrame) -> DataFrame:
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of line hashes (a, b) with d, the exact Jaccard distance of their shingle sets."""
-    both = pairs.join(sets.withColumnsRenamed({"h": "a", "line": "la"}), "a").join(sets.withColumnsRenamed({"h": "b", "line": "lb"}), "b")
-    both = both.select("a", "b", shingles(F.col("la")).alias("sa"), shingles(F.col("lb")).alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", (1 - common / (F.size("sa") + F.size("sb") - common)).alias("d"))
+    both = pairs
+    for k in "ab":
+        both = both.join(sets.select(F.col("h").alias(k), F.col("line").alias("l" + k), F.col("n").alias("n" + k)), k)
+    common = both.select("a", "b", (F.col("na") + F.col("nb")).alias("n"), F.size(F.array_intersect(runs(F.col("la")), runs(F.col("lb")))).alias("c"))
+    return common.select("a", "b", (1 - F.col("c") / (F.col("n") - F.col("c"))).alias("d"))
 
 
-def buckets(signed: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Buckets (bucket, leader, other, c: the number of members) of several members, and the members of those of more than two (bucket, x, leader), by pass."""
-    several, inside = [], []
+def buckets(signed: DataFrame) -> list[DataFrame]:
+    """Members of buckets of several (bucket, x, leader, c: the number of members), by pass."""
+    inside = []
     for k in range(PASSES):
-        member = band_keys(signed, k)
+        # Keys are made once and go to their bucket; the count and the join read the same shuffle.
+        member = band_keys(signed, k).repartition("bucket")
         # Every pass has an order of its own, so that a group meets several leaders.
-        turn, back = F.col("h").bitwiseXOR(F.lit(ORDERS[k])), lambda c, k=k: F.col(c).bitwiseXOR(F.lit(ORDERS[k]))
-        found = member.groupBy("bucket").agg(F.min(turn).alias("low"), F.max(turn).alias("high"), F.count("*").alias("c")).where("c > 1")
-        found, have = counted(found.select("bucket", back("low").alias("leader"), back("high").alias("other"), "c"), "found", large=F.count_if(F.col("c") > 2))
-        several.append(found)
-        large = found.where("c > 2").select("bucket", "leader")
-        inside.append(materialise(member.join(few(large, have["large"]), "bucket").select("bucket", F.col("h").alias("x"), "leader"), "inside"))
-    return several, inside
+        turn = F.col("h").bitwiseXOR(F.lit(ORDERS[k]))
+        found = member.groupBy("bucket").agg(F.min(turn).bitwiseXOR(F.lit(ORDERS[k])).alias("leader"), F.count("*").alias("c")).where("c > 1")
+        inside.append(materialise(member.join(found.hint("shuffle_hash"), "bucket").select("bucket", F.col("h").alias("x"), "leader", "c"), "inside"))
+    return inside
 
 
 def components(lines: DataFrame) -> DataFrame:
     """(node, component) of the lines (h, line, distinct) that have near copies."""
     signed = materialise(signatures(lines), "signatures")
-    held, parts = buckets(signed)
-    inside = reduce(DataFrame.union, parts)
+    parts = buckets(signed)
+    several = together(parts)
     signs = materialise(signs_of(signed), "signs")
     discard(signed)
 
@@ -190,15 +194,13 @@ def components(lines: DataFrame) -> DataFrame:
             .select("bucket", "x", "n", "s0", "s1", F.coalesce("component", "x").alias("component"), F.when(own, 0.0).otherwise(F.coalesce("d", F.lit(0.0))).alias("lo"), F.when(own, 0.0).otherwise(F.coalesce("d", F.lit(1.0))).alias("hi"))
         )
 
-    stars = inside.where("x <> leader").select(F.least("leader", "x").alias("a"), F.greatest("leader", "x").alias("b"))
-    alone_in_bucket = reduce(DataFrame.union, held).where("c = 2").select(F.least("leader", "other").alias("a"), F.greatest("leader", "other").alias("b"))
-    stars = stars.union(alone_in_bucket).distinct()
-    first = materialise(stars.join(end("a"), "a").join(end("b"), "b").where(agree(("a", "b"))).select("a", "b"), "stars")
-    discard(*held)
-    sets = line_sets(first.select(F.explode(F.array("a", "b")).alias("h")).distinct(), lines)
-    seen = materialise(verify(first, sets), "stars-verified")
+    stars = several.where("x <> leader").select(F.least("leader", "x").alias("a"), F.greatest("leader", "x").alias("b")).distinct()
+    first = materialise(stars.join(end("a"), "a").join(end("b"), "b").where(agree(("a", "b"))).select("a", "b", "na", "nb"), "stars")
+    sets = line_sets(first.select(F.inline(F.array(*(F.struct(F.col(k).alias("h"), F.col("n" + k).alias("n")) for k in "ab")))).distinct(), lines)
+    seen = materialise(verify(first.select("a", "b"), sets), "stars-verified")
     discard(first, sets)
     comp = union_find(links(seen))
+    inside = several.where("c > 2").select("bucket", "x", "leader")  # two lines alone in a bucket are compared by now
     where = materialise(placed(inside, comp, seen), "placed")
     discard(*parts)
     members = materialise(open_members(where, LEAST), "members")
@@ -211,7 +213,7 @@ def components(lines: DataFrame) -> DataFrame:
     left = u.join(v, near, "left_semi").select("bucket", F.col("a").alias("x"), *(F.col(c + "a").alias(c) for c in members.columns[2:])).distinct()
     left = materialise(left, "open")
     discard(members)
-    sets = line_sets(left.select(F.col("x").alias("h")).distinct(), lines)
+    sets = line_sets(left.select(F.col("x").alias("h"), "n").distinct(), lines)
     each = sets.select("h", F.explode(shingles(F.col("line"))).alias("e"))
     alone = materialise(each.groupBy("e").agg(F.min("h").alias("x"), F.count("*").alias("c")).where("c = 1").groupBy("x").agg(F.count("*").alias("u")), "alone")
     bits = materialise(sketches(each), "sketches")
