@@ -21,6 +21,7 @@ the table's, and the second round sorts by it, so a repeated task gives the same
 
 from __future__ import annotations
 
+import json
 import re
 from functools import lru_cache
 
@@ -30,7 +31,6 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .bpe import RankBpe
 from .common import materialise, slices
 
 #: Pre-tokenizer pattern of the lower-casing vocabulary (fixed value).
@@ -38,6 +38,8 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Texts beyond these letters go through the library whole; for these, its normalizer is str.lower.
 PLAIN = re.compile("[^\t\n\r\x20-\x7e¡-įı-ſ‐-‧]")
 CACHE_WORDS = 700_000
+#: Marks that are a piece of their own after letters, at the end of a word.
+MARKS = frozenset(".,;:!?\"')")
 
 
 class WordEncoder:
@@ -49,12 +51,44 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.words, self.parts = RankBpe(path), {}
-        self.words.pieces = regex.compile(WORDS)
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        suffix = model.get("end_of_word_suffix")
+        #: Whether an id is the last of its piece: a token with the suffix.
+        self.last = np.zeros(max(model["vocab"].values()) + 1, bool)
+        self.last[[i for token, i in model["vocab"].items() if suffix and token.endswith(suffix)]] = True
+        self.pieces, self.parts, self.known = regex.compile(WORDS), {}, {}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _learn(self, words: set[str]) -> None:
+        """Remember the ids of words: of all their new pieces by one call of the library, with white space between them."""
+        known = self.known
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        plain, cut = [], {}
+        for w in words:
+            if w.isalpha():  # one piece, as is a mark after letters
+                plain.append(w)
+            elif w[-1] in MARKS and w[:-1].isalpha():
+                cut[w] = (w[:-1], w[-1])
+            else:
+                cut[w] = self.pieces.findall(w)
+        new = [*{p for pieces in (plain, *cut.values()) for p in pieces if p not in known}]
+        if new:
+            ids = self._ids(" ".join(new))
+            ends = (4 * (np.flatnonzero(self.last[np.frombuffer(ids, "<u4")]) + 1)).tolist()
+            if len(ends) == len(new):
+                known.update((p, ids[a:b]) for p, a, b in zip(new, [0, *ends], ends))
+            else:  # a vocabulary whose pieces do not end by such a token
+                known.update((p, self._ids(p)) for p in new)
+        parts = self.parts
+        for w in plain:
+            parts[w] = known[w]
+        for w, pieces in cut.items():
+            parts[w] = b"".join([known[p] for p in pieces])
+
     def packed(self, text: str | None) -> bytes:
         """Little-endian 32-bit ids."""
         if not text:
@@ -67,9 +101,7 @@ class WordEncoder:
         except KeyError:
             if len(parts) > CACHE_WORDS:
                 parts.clear()
-            for w in words:
-                if w not in parts:
-                    parts[w] = self.words.pieces_packed(w)
+            self._learn({w for w in words if w not in parts})
             return b"".join([parts[w] for w in words])
 
 
