@@ -142,3 +142,20 @@ def test_sizes_come_with_the_lines(spark):
     pairs = spark.createDataFrame([(a, b) for a in range(5) for b in range(a + 1, 5)], "a long, b long")
     found = lines.verify(pairs, lines.line_sets(ends, rows)).collect()
     assert len(found) == 10 and all(abs(r.d - (1 - len(sets[r.a] & sets[r.b]) / len(sets[r.a] | sets[r.b]))) < 1e-12 for r in found)
+
+
+def words(rng, k):
+    return " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(k))
+
+
+def test_a_bucket_keeps_no_lines_that_meet_by_chance(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    forms = [words(rng, k) for k in (3, 8, 8, 12, 12, 20, 20, 40, 40, 80)]
+    forms.append(forms[-1].replace("a", "e", 3))
+    signed = lines.materialise(lines.signatures(spark.createDataFrame(list(enumerate(forms)), "h long, line string")), "signatures")
+    keyed = lines.band_keys
+    # Every key is the same: all lines meet in one bucket, as with very many lines in that of a few ranges.
+    monkeypatch.setattr(lines, "band_keys", lambda *a: keyed(*a).withColumn("bucket", F.lit(1).cast("bigint") * F.signum(F.abs("h") + 1).cast("bigint")))
+    parts = lines.buckets(signed)
+    assert {r.x for r in lines.together(parts).collect()} == {9, 10}
+    lines.discard(signed, *parts)

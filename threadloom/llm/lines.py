@@ -6,16 +6,20 @@ shingle. Lines with equal compared forms are one from the start. The hashes of
 a line's shingles, sorted, give a one-permutation MinHash signature: the least
 hash of each of 64 equal ranges, an empty range taking the next one's. Forty
 bands of six ranges each, drawn at random, let two long lines of Jaccard
-similarity 0.75 miss each other with a chance of 4e-4; shorter lines have bands
-of three or two.
-
-Two lines alone in a bucket are a candidate pair. In a larger bucket one line
+similarity just 0.75 miss each other with a chance of 0.7 % (simulated; 4e-4 if
+ranges were independent); shorter lines have bands of three or two.
+
+Lines meet in a bucket by chance the more often the more there are, so a line
+stays in one only beside another that sizes and signatures let be similar. Where
+the least hash of a range differs, one of the sets has an element that the other
+lacks, and similar sets differ in a seventh of their summed sizes at most: more
+such ranges exclude a pair, of whatever length. So do, with a chance of 2e-5 for a
+similar pair, more than 20 ranges by one bit each (in the bucket) or more than 29
+by three (later). Two lines alone in a bucket are then a candidate pair. In a larger bucket one line
 leads, every other is a candidate with it, and of the rest
 only lines go on that are then in different components and that sizes, the
 triangle inequality, signatures, their own shingles and sketches of their sets
-do not exclude. Signatures of two bits a range exclude pairs of long lines that agree in
-fewer than 38 of 64 ranges (a similar pair does with a chance of 2e-5). What is
-left is compared on the whole sets. Union-find gives the components; the occurrence that
+do not exclude. What is left is compared on the whole sets. Union-find gives the components; the occurrence that
 comes first by (doc_id, position) stays, all other lines of the component go.
 
 Blank lines stay, in place. Null texts stay null; a text may become empty. A row
@@ -32,7 +36,7 @@ import random
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import counted, discard, materialise, together
 from .graph import extended, in_blocks, open_members, open_pairs, purest_leaders, union_find
@@ -46,14 +50,15 @@ FEW, SHORT, LONG = 6, 16, 128
 #: Longs of a sketch: 2048 bits, each flipped by the shingles whose hash names it.
 SKETCH = 32
 RANGES = 64
-#: Ranges in which the signatures of two similar lines may differ, if both have at least LONG shingles.
-DIFFER = 26
+SIGNS = ("s0", "s1", "s2", "s3")
+#: Ranges in which two similar lines may differ, as seen by one bit of the least hash and by three.
+DIFFER_BIT, DIFFER = 20, 29
 _RNG = random.Random(7)
 PAIRS, TRIPLES, SIXES = ([_RNG.sample(range(RANGES), k) for _ in range(n)] for k, n in ((2, 14), (3, 24), (6, 40)))
 SPANS = [(0, SHORT, PAIRS), (FEW, LONG, TRIPLES), (int(LONG * LEAST), 1 << 30, SIXES)]
 #: Shares of the bands that are looked through one after the other, so that only one lies in shuffle files.
-PASSES = 4
-ORDERS = [_RNG.getrandbits(63) for _ in range(PASSES)]
+PASSES = 8
+ORDERS = [_RNG.getrandbits(63) for _ in range(4)]
 #: Most keys that are broadcast (8 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_KEYS = 500_000
 
@@ -88,7 +93,7 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """h, n (the number of shingles), and the least hash of each range."""
+    """h, n (the number of shingles), the least hash of each range, and one bit of each in `bits` (none of an empty range)."""
     rank = lambda x: F.shiftright(x, 58)  # noqa: E731  64 ranges, -32 to 31
     sets = lines.select("h", F.sort_array(shingles(F.col("line"))).alias("s"))
     # The first hash of each range: its leading bits differ from those of the hash before it.
@@ -98,33 +103,47 @@ def signatures(lines: DataFrame) -> DataFrame:
     part = lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
     fill = F.transform("f", lambda x, i: F.array_repeat(part(x), (rank(x) - F.coalesce(rank(F.get("f", i - 1)), F.lit(-33))).cast("int")))
     tail = F.array_repeat(part(F.get("f", F.lit(0))), (31 - rank(F.element_at("f", -1))).cast("int"))
-    return firsts.select("h", "n", F.concat(F.flatten(fill), tail).alias("least"))
+    one = F.lit(1).cast("bigint")
+    bits = F.aggregate("f", F.lit(0).cast("bigint"), lambda t, x: t.bitwiseOR(F.call_function("shiftleft", x.bitwiseAND(one), F.shiftrightunsigned(x, 58).cast("int"))))
+    return firsts.select("h", "n", F.concat(F.flatten(fill), tail).alias("least"), bits.alias("bits"))
 
 
-def band_keys(signed: DataFrame, k: int) -> DataFrame:
-    """h and the key of each of a line's bands in pass k, as `bucket`."""
+def band_keys(signed: DataFrame, k: int, *carry: str) -> DataFrame:
+    """h and the key of each of a line's bands in pass k, as `bucket`, with further columns of signed."""
     wide = [(j, low, high, probe) for j, (low, high, probe) in enumerate((low, high, probe) for low, high, probes in SPANS for probe in probes)]
     most = max(len(x[3]) for x in wide)
     probe = lambda j, low, high, at: F.struct(F.lit(j).alias("j"), F.lit(low).alias("low"), F.lit(high).alias("high"), *(F.lit(at[i] if i < len(at) else -1).alias(f"p{i}") for i in range(most)))
-    each = signed.select("h", "n", "least", F.inline(F.array(*(probe(*x) for x in wide[k::PASSES])))).where("n between low and high")
+    each = signed.select("h", "n", "least", *(c for c in carry if c != "n"), F.inline(F.array(*(probe(*x) for x in wide[k::PASSES])))).where("n between low and high")
     key = F.xxhash64("j", *(F.get("least", F.col(f"p{i}")) for i in range(most)))  # no range is null, and is left out
-    return each.select("h", key.alias("bucket"))
+    return each.select("h", key.alias("bucket"), *carry)
 
 
 def signs_of(signed: DataFrame) -> DataFrame:
-    """h, n, s0 and s1: two bits of each range's least hash."""
-    two = lambda at: F.aggregate(F.slice("least", at, RANGES // 2), F.lit(0).cast("bigint"), lambda t, x: F.shiftleft(t, 2).bitwiseOR(x.bitwiseAND(F.lit(3)).cast("bigint")))
-    return signed.select("h", "n", two(1).alias("s0"), two(RANGES // 2 + 1).alias("s1"))
+    """h, n and s0 to s3: four bits of each range's least hash, the first of them set, or none where a range has none."""
+    # A filled range repeats the next one's; a line with one filled range shows none.
+    least = lambda k: F.slice("round", k, RANGES // len(SIGNS))
+    four = lambda x, y: F.when(x != y, F.lit(8).bitwiseOR(F.shiftrightunsigned(x, 1).bitwiseAND(F.lit(7)))).otherwise(0)
+    packed = lambda k: F.aggregate(F.zip_with(least(k), least(k + 1), four), F.lit(0).cast("bigint"), lambda t, x: F.shiftleft(t, 4).bitwiseOR(x.cast("bigint")))
+    signed = signed.select("h", "n", F.concat("least", F.slice("least", 1, 1)).alias("round"))
+    return signed.select("h", "n", *(packed(w * RANGES // len(SIGNS) + 1).alias(s) for w, s in enumerate(SIGNS)))
+
+
+def sized(na: Column, nb: Column, differ: Column, most: int) -> Column:
+    """Whether lines of na and nb shingles whose signatures differ in so many ranges may be similar; signs_of errs by one at most."""
+    share = F.lit((1 - LEAST) / (1 + LEAST))
+    return (F.least(na, nb) >= F.greatest(na, nb) * LEAST - 1e-9) & (differ <= F.least(F.lit(most), F.floor((na + nb) * share + 1e-9) + 1))
 
 
 def agree(ends: tuple[str, str]) -> Column:
-    """Whether sizes and signatures of two lines let them be similar; columns n, s0 and s1 carry the names of the ends."""
+    """Whether sizes and signatures of two lines let them be similar; columns n and s0 to s3 carry the names of the ends."""
     a, b = ends
-    odd = 0x5555555555555555
-    changed = lambda s: F.col(s + a).bitwiseXOR(F.col(s + b))
-    differ = sum((F.bit_count(changed(s).bitwiseOR(F.shiftrightunsigned(changed(s), 1)).bitwiseAND(F.lit(odd))) for s in ("s0", "s1")), F.lit(0))
-    na, nb = F.col("n" + a), F.col("n" + b)
-    return (F.least(na, nb) >= F.greatest(na, nb) * LEAST - 1e-9) & ((F.least(na, nb) < LONG) | (differ <= DIFFER))
+
+    def differ(s: str) -> Column:
+        x = F.col(s + a).bitwiseXOR(F.col(s + b))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+
+    return sized(F.col("n" + a), F.col("n" + b), reduce(lambda p, q: p + q, map(differ, SIGNS)), DIFFER)
 
 
 def few(keys: DataFrame, count: int) -> DataFrame:
@@ -157,15 +176,17 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def buckets(signed: DataFrame) -> list[DataFrame]:
-    """Members of buckets of several (bucket, x, leader, c: the number of members), by pass."""
+    """Members of buckets that have one beside them which may be similar (bucket, x, leader, c: the number of such members), by pass."""
     inside = []
+    near = sized(F.col("u.n"), F.col("v.n"), F.bit_count(F.col("u.bits").bitwiseXOR(F.col("v.bits"))), DIFFER_BIT)
     for k in range(PASSES):
-        # Keys are made once and go to their bucket; the count and the join read the same shuffle.
-        member = band_keys(signed, k).repartition("bucket")
-        # Every pass has an order of its own, so that a group meets several leaders.
-        turn = F.col("h").bitwiseXOR(F.lit(ORDERS[k]))
-        found = member.groupBy("bucket").agg(F.min(turn).bitwiseXOR(F.lit(ORDERS[k])).alias("leader"), F.count("*").alias("c")).where("c > 1")
-        inside.append(materialise(member.join(found.hint("shuffle_hash"), "bucket").select("bucket", F.col("h").alias("x"), "leader", "c"), "inside"))
+        # Keys are made once and go to their bucket: both sides of the join are one shuffle, which a repartition of our own would
+        # make two of. What meets by chance ends here.
+        member = band_keys(signed, k, "n", "bits")
+        several = member.alias("u").join(member.alias("v").hint("shuffle_hash"), (F.col("u.bucket") == F.col("v.bucket")) & (F.col("u.h") != F.col("v.h")) & near, "left_semi")
+        # Every other pass has an order of its own, so that a group meets several leaders.
+        turn, whole = F.col("h").bitwiseXOR(F.lit(ORDERS[k % len(ORDERS)])), Window.partitionBy("bucket")
+        inside.append(materialise(several.select("bucket", F.col("h").alias("x"), F.min(turn).over(whole).bitwiseXOR(F.lit(ORDERS[k % len(ORDERS)])).alias("leader"), F.count("*").over(whole).alias("c")), "inside"))
     return inside
 
 
@@ -174,11 +195,12 @@ def components(lines: DataFrame) -> DataFrame:
     signed = materialise(signatures(lines), "signatures")
     parts = buckets(signed)
     several = together(parts)
-    signs = materialise(signs_of(signed), "signs")
-    discard(signed)
+    met, have = counted(several.select(F.col("x").alias("h")).distinct(), "met", rows=F.count("*"))
+    signs = materialise(signs_of(signed.join(few(met, have["rows"]), "h", "left_semi")), "signs")
+    discard(signed, met)
 
     def end(k: str) -> DataFrame:
-        return signs.select(F.col("h").alias(k), *(F.col(c).alias(c + k) for c in ("n", "s0", "s1")))
+        return signs.select(F.col("h").alias(k), *(F.col(c).alias(c + k) for c in ("n", *SIGNS)))
 
     def links(seen: DataFrame) -> DataFrame:
         return seen.where(F.col("d") <= 1 - LEAST).select("a", "b")
@@ -186,12 +208,12 @@ def components(lines: DataFrame) -> DataFrame:
     def placed(inside: DataFrame, comp: DataFrame, seen: DataFrame) -> DataFrame:
         """Members with their components and bounds of the Jaccard distance to the bucket's leader."""
         exact = seen.select(F.col("a").alias("leader"), F.col("b").alias("x"), "d").union(seen.select("b", "a", "d"))
-        own = F.col("x") == F.col("leader")
+        leads = F.col("x") == F.col("leader")
         return (
             inside.join(comp.select(F.col("node").alias("x"), "component"), "x", "left")
             .join(exact, ["leader", "x"], "left")
             .join(signs.withColumnRenamed("h", "x"), "x")
-            .select("bucket", "x", "n", "s0", "s1", F.coalesce("component", "x").alias("component"), F.when(own, 0.0).otherwise(F.coalesce("d", F.lit(0.0))).alias("lo"), F.when(own, 0.0).otherwise(F.coalesce("d", F.lit(1.0))).alias("hi"))
+            .select("bucket", "x", "n", *SIGNS, F.coalesce("component", "x").alias("component"), F.when(leads, 0.0).otherwise(F.coalesce("d", F.lit(0.0))).alias("lo"), F.when(leads, 0.0).otherwise(F.coalesce("d", F.lit(1.0))).alias("hi"))
         )
 
     stars = several.where("x <> leader").select(F.least("leader", "x").alias("a"), F.greatest("leader", "x").alias("b")).distinct()
@@ -206,7 +228,7 @@ def components(lines: DataFrame) -> DataFrame:
     members = materialise(open_members(where, LEAST), "members")
     discard(where)
     # Of these, the lines to which the signature of one in another component comes near.
-    u, v = (members.select("bucket", F.col("x").alias(k), *(F.col(c).alias(c + k) for c in ("component", "n", "s0", "s1", "lo", "hi"))) for k in "ab")
+    u, v = (members.select("bucket", F.col("x").alias(k), *(F.col(c).alias(c + k) for c in ("component", "n", *SIGNS, "lo", "hi"))) for k in "ab")
     u, v = in_blocks(u, v, members)
     v = v.withColumnsRenamed({c: f"{c}b" for c in ("bucket", "row", "column")})
     near = reduce(lambda p, q: p & q, (F.col(c) == F.col(f"{c}b") for c in ("bucket", "row", "column"))) & (F.col("componenta") != F.col("componentb")) & agree(("a", "b"))
@@ -224,7 +246,7 @@ def components(lines: DataFrame) -> DataFrame:
     seen2 = materialise(verify(fits.join(seen, ["a", "b"], "left_anti"), sets), "again-verified")
     both, comp = seen.union(seen2), extended(comp, links(seen2), union_find)
     where = materialise(placed(again.select("bucket", "x", "leader"), comp, both), "placed")
-    rest = open_pairs(open_members(where, LEAST), alone, bits, LEAST, carry=("s0", "s1"), also=agree(("a", "b")))
+    rest = open_pairs(open_members(where, LEAST), alone, bits, LEAST, carry=SIGNS, also=agree(("a", "b")))
     rest = materialise(rest.join(both, ["a", "b"], "left_anti"), "rest")
     final = extended(comp, links(verify(rest, sets)), union_find)
     discard(signs, seen, seen2, alone, bits, again, where, rest, sets)
