@@ -159,3 +159,21 @@ def test_a_bucket_keeps_no_lines_that_meet_by_chance(spark, monkeypatch):
     parts = lines.buckets(signed)
     assert {r.x for r in lines.together(parts).collect()} == {9, 10}
     lines.discard(signed, *parts)
+
+
+def test_signatures_exclude_no_similar_lines_of_any_length(spark):
+    rng = np.random.default_rng(4)
+    forms, pairs = [], []
+    for n in [*range(5, 40), *range(40, 400, 9)]:
+        x = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), n))
+        for y in (x[: -max(1, (n - 4) // 5)], "z" + x[1:], x[: n // 2] + "q" + x[n // 2 + 1 :], x + x[:2]):
+            a, b = ({s[i : i + 5] for i in range(len(s) - 4)} or {s} for s in (x, y))
+            if len(a & b) >= lines.LEAST * len(a | b):
+                pairs.append((len(forms), len(forms) + 1))
+            forms += [x, y]
+    signed = lines.signatures(spark.createDataFrame(list(enumerate(forms)), "h long, line string"))
+    signs = lines.signs_of(signed).join(signed.select("h", "bits"), "h").toPandas().set_index("h")
+    u, v = (spark.createDataFrame(signs.loc[[p[i] for p in pairs]].reset_index(drop=True).add_suffix(k).assign(i=range(len(pairs)))) for i, k in ((0, "a"), (1, "b")))
+    near = lines.sized(F.col("na"), F.col("nb"), F.bit_count(F.col("bitsa").bitwiseXOR(F.col("bitsb"))), lines.DIFFER_BIT)
+    got = u.join(v, "i").select(F.count("*"), F.count_if(lines.agree(("a", "b"))), F.count_if(near)).first()
+    assert len(pairs) > 100 and tuple(got) == (len(pairs),) * 3
