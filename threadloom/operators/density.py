@@ -28,7 +28,9 @@ from ..sources.store import stored
 from . import ordered
 
 #: Most points of a block; a task compares two.
-BLOCK = 1 << 15
+BLOCK = 1 << 14
+#: Blocks on each side that a block is compared with by one query, for which it is copied so many times.
+WAVE = 8
 #: Edges of a run.
 RUN = 1 << 18
 #: Rows and columns whose distances are made at a time, so that they stay in a core's cache, and pairs of which differences are made at a time.
@@ -164,6 +166,11 @@ def _size(n: int) -> int:
     return min(BLOCK, max(LEAF, -(-n // 12)))
 
 
+def _apart_by(count: int, low: int, high: int) -> list[tuple[int, int]]:
+    """The pairs of blocks, in a ring of `count`, that are at least `low` and less than `high` apart."""
+    return [tuple(sorted((b, (b + o) % count))) for o in range(low, min(high, count // 2 + 1)) for b in range(count if 2 * o < count else o)]
+
+
 def _best(r: np.ndarray, h: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The k least d of each r, in order, and their ranks."""
     order = np.argsort(d)
@@ -217,8 +224,8 @@ def _within(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def near(points: DataFrame, n: int, k: int) -> DataFrame:
     """(g, h, d): of every point of (g, x) the k nearest others and their distances, nearest first.
 
-    Pairs of blocks come in waves, each of twice as many blocks as a point has met before, so that few pairs come within the distance of the
-    k nearest so far. Between waves a row per block is kept.
+    Pairs of blocks come in waves, each of at most twice as many blocks as a point has met before, so that few pairs come within the distance of
+    the k nearest so far. Between waves a row per block is kept.
     """
     size = _size(n)
     count = -(-n // size)
@@ -249,10 +256,10 @@ def near(points: DataFrame, n: int, k: int) -> DataFrame:
     met = stored(_over_pairs(blocks, [(b, b) for b in range(count)], of_pair, shape).groupBy("b").applyInArrow(merged, shape + ", far binary"), "near")
     low = 1
     while low <= count // 2:
-        wave = [(b, (b + o) % count) for o in range(low, min(2 * low, count // 2 + 1)) for b in range(count if 2 * o < count else o)]
-        found = stored(_over_pairs(blocks.join(met.select("b", "far"), "b"), [tuple(sorted(p)) for p in wave], of_pair, shape), "found")
+        high = min(2 * low, low + WAVE)
+        found = stored(_over_pairs(blocks.join(met.select("b", "far"), "b"), _apart_by(count, low, high), of_pair, shape), "found")
         met = stored(found.union(met.drop("far")).groupBy("b").applyInArrow(merged, shape + ", far binary"), "near")
-        low *= 2
+        low = high
 
     def lists(batches):
         for batch in batches:
@@ -509,7 +516,11 @@ def _lighter(points: DataFrame, ranked: DataFrame, tree: DataFrame, runs: int, n
         lighten()
         return pa.Table.from_arrays([pa.array(c) for c in kept[0]], names=["u", "v", "w"])
 
-    return _over_pairs(blocks, [(i, j) for i in range(count) for j in range(i, count)], of_pair, "u long, v long, w double")
+    whole = None
+    for low in range(0, count // 2 + 1, WAVE):
+        found = stored(_over_pairs(blocks, _apart_by(count, low, low + WAVE), of_pair, "u long, v long, w double"), "lighter")
+        whole = found if whole is None else whole.union(found)
+    return whole
 
 
 def _between(edges: DataFrame) -> DataFrame:
